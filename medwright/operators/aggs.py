@@ -53,7 +53,10 @@ def aligned_lists(order_key: ColumnOrName, fields: Mapping[str, ColumnOrName], s
     names = list(fields)
     row = F.struct(_c(order_key).alias("_k"), *[_c(v).cast("string").alias(n) for n, v in fields.items()])
     rows = F.array_sort(F.collect_list(F.when(_c(order_key).isNotNull(), row)))
-    return {n: _join_or_null(_non_null(F.transform(rows, lambda r, n=n: r[n])), sep) for n in names}
+    def field(name):
+        return lambda r: r[name]
+
+    return {n: _join_or_null(_non_null(F.transform(rows, field(n))), sep) for n in names}
 
 
 def int_avg(value: ColumnOrName) -> Column:

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans import measures
+from ..plans import measures, turnaround
 from . import oracle
 from .testmap import TestTables
 
 M = oracle.MEASURE
-FLAGSHIP = "Q2"
+FLAGSHIP = "Q8"
+T = oracle.TAT
 
 
 def _q2(stage, counts=False):
@@ -29,6 +30,25 @@ def _q3(counts=False):
     return run
 
 
+def _tat(kind, option=None, flags=None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = TestTables(spark, sf_dir).tat_tables()
+        if kind == "report":
+            return turnaround.turnaround_report(t, T["start"], T["end"], flags=flags, report_option=option)
+        detail = turnaround.tat_detail(t, T["start"], T["end"], flags=flags, report_option=option)
+        if kind == "detail":
+            return detail
+        if kind == "flags":
+            return turnaround.tat_flags(t, detail, flags)
+        if kind == "steps":
+            return turnaround.tat_step_durations(detail)
+        return turnaround.tat_pharmacy_averages(detail)
+    return run
+
+
+INTERVENTION_SAMPLE = ["90024", "90025", "90026", "90027", "90031"]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "Q2": _q2("pre"),
@@ -37,6 +57,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "Q2_post_counts": _q2("post", True),
         "Q3": _q3(),
         "Q3_counts": _q3(True),
+        "Q8a": _tat("detail"),
+        "Q8a_clean": _tat("detail", "2"),
+        "Q8a_intervention": _tat("detail", "3"),
+        "Q8a_flags": _tat("detail", None, INTERVENTION_SAMPLE),
+        "Q8b": _tat("flags"),
+        "Q8c": _tat("steps"),
+        "Q8d": _tat("avgs"),
+        "Q8": _tat("report"),
+        "Q8_clean": _tat("report", "2"),
+        "Q8_intervention": _tat("report", "3"),
+        "Q8_intervention_flags": _tat("report", "3", INTERVENTION_SAMPLE),
     }
 
 
@@ -48,4 +79,15 @@ def oracle_sql() -> dict[str, str]:
         "Q2_post_counts": oracle.q2("post", True),
         "Q3": oracle.q3(),
         "Q3_counts": oracle.q3(True),
+        "Q8a": oracle.q8a(),
+        "Q8a_clean": oracle.q8a("2"),
+        "Q8a_intervention": oracle.q8a("3"),
+        "Q8a_flags": oracle.q8a(None, INTERVENTION_SAMPLE),
+        "Q8b": oracle.q8b(),
+        "Q8c": oracle.q8c(),
+        "Q8d": oracle.q8d(),
+        "Q8": oracle.q8(),
+        "Q8_clean": oracle.q8("2"),
+        "Q8_intervention": oracle.q8("3"),
+        "Q8_intervention_flags": oracle.q8("3", INTERVENTION_SAMPLE),
     }
