@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans import measures, turnaround
+from ..plans import measures, safety, turnaround
 from . import oracle
 from .testmap import TestTables
 
@@ -46,6 +46,18 @@ def _tat(kind, option=None, flags=None):
     return run
 
 
+RX = oracle.RX
+
+
+def _rx(kind="report", los_fixed=False):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = TestTables(spark, sf_dir).rx_tables()
+        if kind == "cohort":
+            return safety.discharge_cohort(t, RX["start"], RX["end"], RX["service_areas"])
+        return safety.concurrent_rx(t, RX["start"], RX["end"], RX["service_areas"], los_fixed=los_fixed)
+    return run
+
+
 INTERVENTION_SAMPLE = ["90024", "90025", "90026", "90027", "90031"]
 
 
@@ -57,6 +69,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "Q2_post_counts": _q2("post", True),
         "Q3": _q3(),
         "Q3_counts": _q3(True),
+        "Q1": _rx(),
+        "Q1_cohort": _rx("cohort"),
+        "Q1_los_fixed": _rx(los_fixed=True),
         "Q8a": _tat("detail"),
         "Q8a_clean": _tat("detail", "2"),
         "Q8a_intervention": _tat("detail", "3"),
@@ -79,6 +94,9 @@ def oracle_sql() -> dict[str, str]:
         "Q2_post_counts": oracle.q2("post", True),
         "Q3": oracle.q3(),
         "Q3_counts": oracle.q3(True),
+        "Q1": oracle.q1(),
+        "Q1_cohort": oracle.q1_cohort(),
+        "Q1_los_fixed": oracle.q1(los_fixed=True),
         "Q8a": oracle.q8a(),
         "Q8a_clean": oracle.q8a("2"),
         "Q8a_intervention": oracle.q8a("3"),
