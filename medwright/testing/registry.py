@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans import measures, safety, turnaround
+from ..plans import dispense, measures, safety, turnaround
 from . import oracle
 from .testmap import TestTables
 
@@ -58,6 +58,16 @@ def _rx(kind="report", los_fixed=False):
     return run
 
 
+D = oracle.DISPENSE
+
+
+def _q7(null_as_zero=False, days=None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = TestTables(spark, sf_dir).dispense_tables()
+        return dispense.dispense_payer_detail(t, D["as_of"], D["npis"], days or D["days"], null_as_zero=null_as_zero)
+    return run
+
+
 INTERVENTION_SAMPLE = ["90024", "90025", "90026", "90027", "90031"]
 
 
@@ -72,6 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "Q1": _rx(),
         "Q1_cohort": _rx("cohort"),
         "Q1_los_fixed": _rx(los_fixed=True),
+        "Q7": _q7(),
+        "Q7_null_as_zero": _q7(True),
+        "Q7_year": _q7(days=365),
         "Q8a": _tat("detail"),
         "Q8a_clean": _tat("detail", "2"),
         "Q8a_intervention": _tat("detail", "3"),
@@ -97,6 +110,9 @@ def oracle_sql() -> dict[str, str]:
         "Q1": oracle.q1(),
         "Q1_cohort": oracle.q1_cohort(),
         "Q1_los_fixed": oracle.q1(los_fixed=True),
+        "Q7": oracle.q7(),
+        "Q7_null_as_zero": oracle.q7(null_as_zero=True),
+        "Q7_year": oracle.q7(dict(D, days=365)),
         "Q8a": oracle.q8a(),
         "Q8a_clean": oracle.q8a("2"),
         "Q8a_intervention": oracle.q8a("3"),
