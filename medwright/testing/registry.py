@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans import dispense, measures, safety, turnaround
+from ..plans import dispense, measures, outreach, safety, turnaround
 from . import oracle
 from .testmap import TestTables
 
@@ -68,6 +68,14 @@ def _q7(null_as_zero=False, days=None):
     return run
 
 
+OUT = oracle.OUTREACH
+
+
+def _q6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = TestTables(spark, sf_dir).outreach_tables()
+    return outreach.future_lab_outreach(t, OUT["as_of"], OUT["rules"])
+
+
 INTERVENTION_SAMPLE = ["90024", "90025", "90026", "90027", "90031"]
 
 
@@ -82,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "Q1": _rx(),
         "Q1_cohort": _rx("cohort"),
         "Q1_los_fixed": _rx(los_fixed=True),
+        "Q6": _q6,
         "Q7": _q7(),
         "Q7_null_as_zero": _q7(True),
         "Q7_year": _q7(days=365),
@@ -110,6 +119,7 @@ def oracle_sql() -> dict[str, str]:
         "Q1": oracle.q1(),
         "Q1_cohort": oracle.q1_cohort(),
         "Q1_los_fixed": oracle.q1(los_fixed=True),
+        "Q6": oracle.q6(),
         "Q7": oracle.q7(),
         "Q7_null_as_zero": oracle.q7(null_as_zero=True),
         "Q7_year": oracle.q7(dict(D, days=365)),
