@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans import dispense, measures, outreach, safety, turnaround
+from ..plans import dispense, load, measures, outreach, safety, schema_gate, turnaround
 from . import oracle
 from .testmap import TestTables
 
@@ -76,6 +76,27 @@ def _q6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outreach.future_lab_outreach(t, OUT["as_of"], OUT["rules"])
 
 
+L = oracle.LOAD
+
+
+def _load(kind):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        src = TestTables(spark, sf_dir).patientwic_source
+        target0 = load.initial_target(src, L["load_date"], L["initial_ts"])
+        res = load.load_incremental(src, target0, L["load_date"], L["run_ts"])
+        return res.target if kind == "target" else res.log
+    return run
+
+
+def _gate(kind):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        src = TestTables(spark, sf_dir).patientwic_source
+        detail = schema_gate.validate_schema(schema_gate.expected_schema(spark),
+                                             schema_gate.actual_columns(src, "dbo", "PatientWIC_Source"))
+        return detail if kind == "detail" else schema_gate.mismatch_count(detail)
+    return run
+
+
 INTERVENTION_SAMPLE = ["90024", "90025", "90026", "90027", "90031"]
 
 
@@ -90,6 +111,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "Q1": _rx(),
         "Q1_cohort": _rx("cohort"),
         "Q1_los_fixed": _rx(los_fixed=True),
+        "Q4": _load("target"),
+        "Q4_log": _load("log"),
+        "Q5": _gate("detail"),
+        "Q5_count": _gate("count"),
         "Q6": _q6,
         "Q7": _q7(),
         "Q7_null_as_zero": _q7(True),
@@ -119,6 +144,10 @@ def oracle_sql() -> dict[str, str]:
         "Q1": oracle.q1(),
         "Q1_cohort": oracle.q1_cohort(),
         "Q1_los_fixed": oracle.q1(los_fixed=True),
+        "Q4": oracle.q4(),
+        "Q4_log": oracle.q4_log(),
+        "Q5": oracle.q5(),
+        "Q5_count": oracle.q5_count(),
         "Q6": oracle.q6(),
         "Q7": oracle.q7(),
         "Q7_null_as_zero": oracle.q7(null_as_zero=True),
