@@ -23,8 +23,9 @@ def split_pair(value: ColumnOrName, sep: str = "/", as_type: str = "int") -> tup
     """Split ``'a/b'`` into two typed parts (S16). Malformed parts become NULL
     instead of failing the query (K31)."""
     v = _c(value)
-    first = F.split_part(v, F.lit(sep), F.lit(1))
-    second = F.split_part(v, F.lit(sep), F.lit(2))
+    has_sep = F.instr(v, sep) > 0
+    first = F.when(has_sep, F.split_part(v, F.lit(sep), F.lit(1)))
+    second = F.when(has_sep, F.split_part(v, F.lit(sep), F.lit(2)))
     return first.try_cast(as_type), second.try_cast(as_type)
 
 

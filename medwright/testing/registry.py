@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans import dispense, load, measures, outreach, safety, schema_gate, turnaround
 from . import oracle
-from .testmap import TestTables
+from .testmap import tables_for as TestTables
 
 M = oracle.MEASURE
 FLAGSHIP = "Q8"

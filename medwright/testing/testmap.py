@@ -39,14 +39,31 @@ def _money(cents: Column, pct: int) -> Column:
     return ((cents * pct / 100).cast("long") / 100.0).cast("decimal(18,2)")
 
 
+_SESSIONS: dict[tuple[int, str], "TestTables"] = {}
+
+
+def tables_for(spark: SparkSession, sf_dir: str) -> "TestTables":
+    """The view set for a session and directory, defined once and reused, like
+    views in a catalog (plans only: no data is cached)."""
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    if key not in _SESSIONS:
+        _SESSIONS[key] = TestTables(spark, sf_dir)
+    return _SESSIONS[key]
+
+
 class TestTables:
     """Lazily built clinical views for one scale-factor directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self._base: dict[str, DataFrame] = {}
+        self._groups: dict[str, dict[str, DataFrame]] = {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """The supplied table (file listing and footer schema resolved once)."""
+        if name not in self._base:
+            self._base[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._base[name]
 
     # ------------------------------------------------------------------ shared
     @cached_property
@@ -339,6 +356,11 @@ class TestTables:
                         F.concat(F.lit("PCN"), _s("n_regionkey")).alias("processor_cntrl_num"))
 
     def dispense_tables(self) -> dict[str, DataFrame]:
+        if "dispense" not in self._groups:
+            self._groups["dispense"] = self._dispense_tables()
+        return self._groups["dispense"]
+
+    def _dispense_tables(self) -> dict[str, DataFrame]:
         c, p, s = self.base("customer"), self.base("part"), self.base("supplier")
         return {"medicationdispensefact": self.medicationdispensefact,
                 "patientdim": c.select(F.col("c_custkey").alias("durablekey"), F.col("c_name").alias("name")),
@@ -349,6 +371,11 @@ class TestTables:
 
     # ---------------------------------------------------------------- outreach
     def outreach_tables(self) -> dict[str, DataFrame]:
+        if "outreach" not in self._groups:
+            self._groups["outreach"] = self._outreach_tables()
+        return self._groups["outreach"]
+
+    def _outreach_tables(self) -> dict[str, DataFrame]:
         e, r, c = self.base("events"), self.base("region"), self.base("customer")
         eid, u, rk = F.col("event_id"), F.col("user_id"), F.col("r_regionkey")
         order_proc = e.select(
