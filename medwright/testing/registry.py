@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans import dispense, load, measures, outreach, safety, schema_gate, turnaround
-from . import oracle
+from . import oracle, ops
 from .testmap import tables_for as TestTables
 
 M = oracle.MEASURE
@@ -101,6 +101,14 @@ INTERVENTION_SAMPLE = ["90024", "90025", "90026", "90027", "90031"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {**_pipelines(), **ops.queries()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {**_pipeline_sql(), **ops.oracle_sql()}
+
+
+def _pipelines() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "Q2": _q2("pre"),
         "Q2_post": _q2("post"),
@@ -133,7 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
+def _pipeline_sql() -> dict[str, str]:
     return {
         "Q2": oracle.q2("pre"),
         "Q2_post": oracle.q2("post"),
