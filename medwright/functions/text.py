@@ -38,13 +38,23 @@ def percent_text(numerator: ColumnOrName, denominator: ColumnOrName, digits: int
     return F.concat(text, F.lit("%"))
 
 
+def _like_literal(prefix: str) -> str:
+    escaped = prefix.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("'", "\\'")
+    return f"'{escaped}%'"
+
+
 def starts_with_any(value: ColumnOrName, prefixes) -> Column:
-    """``v LIKE 'p1%' OR v LIKE 'p2%' ..`` (P11). Catalyst turns each into a
-    StartsWith predicate evaluated in generated code."""
-    v = _c(value)
+    """``v LIKE 'p1%' OR v LIKE 'p2%' ..`` (P11). Catalyst turns each LIKE into a
+    StartsWith predicate evaluated in generated code. For a column name the
+    predicate is built as one SQL expression (one driver->JVM call instead of
+    two per prefix)."""
+    prefixes = list(prefixes)
+    if isinstance(value, str):
+        col = "`" + value.replace("`", "``") + "`"
+        return F.expr(" OR ".join(f"{col} LIKE {_like_literal(p)}" for p in prefixes) or "false")
     pred = F.lit(False)
     for p in prefixes:
-        pred = pred | v.startswith(p)
+        pred = pred | value.startswith(p)
     return pred
 
 

@@ -32,7 +32,7 @@ def denominator(tables: Mapping[str, DataFrame], start, end, as_of, dx_match, ag
                         & (F.col("enc_type_c") == K.OFFICE_VISIT_ENC_TYPE) & F.col("appt_cancel_date").isNull())
               .select("pat_id"))
     problems = pl.filter(F.col("problem_status_c") == K.PROBLEM_ACTIVE).select("pat_id", "dx_id")
-    dx = edg.filter(dx_match(F.col("current_icd10_list"))).select("dx_id", "current_icd10_list")
+    dx = edg.filter(dx_match("current_icd10_list")).select("dx_id", "current_icd10_list")
     age = exact_age("birth_date", lit_date(as_of))
     return (visits.join(pat.select("pat_id", "birth_date"), "pat_id")
             .join(problems, "pat_id")

@@ -1 +1,8 @@
+"""Streaming.
 
+The reports and loads this package re-expresses contain no streaming
+operator (no watermark, event-time window or stateful operator): the
+third-party load is a daily batch increment over a date slice, run by an
+outside scheduler. It is implemented as a batch job in
+:mod:`medwright.plans.load` and intentionally has no streaming twin here.
+"""
