@@ -31,7 +31,10 @@ def lit_ts(value: str | _dt.datetime) -> Column:
         value = _dt.datetime.fromisoformat(value)
     elif isinstance(value, _dt.date) and not isinstance(value, _dt.datetime):
         value = _dt.datetime.combine(value, _dt.time())
-    return F.lit(value).cast("timestamp_ntz")
+    # From text, not from a Python datetime: the string -> TIMESTAMP_NTZ cast
+    # involves no time zone, so neither the driver's nor the session's zone
+    # can shift the wall-clock value.
+    return F.lit(value.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def trunc_div(a: Column, b: int) -> Column:

@@ -206,7 +206,7 @@ class TestTables:
         g = li.groupBy("l_orderkey", "l_linenumber").agg(
             F.min("l_partkey").alias("medication_id"), F.min("l_shipdate").alias("ordering_date"))
         ln = F.col("l_linenumber")
-        discon = (F.when(ln % 4 == 0, F.lit(dt.datetime(1900, 1, 1)).cast("timestamp_ntz"))
+        discon = (F.when(ln % 4 == 0, F.lit("1900-01-01 00:00:00").cast("timestamp_ntz"))
                   .when(ln % 4 == 1, F.timestamp_add("DAY", F.lit(3), F.col("ordering_date"))))
         return g.select((F.col("l_orderkey") * 8 + ln).alias("order_med_id"), F.col("l_orderkey").alias("pat_enc_csn_id"),
                         "medication_id", discon.alias("discon_time"), "ordering_date")
