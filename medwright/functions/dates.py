@@ -61,6 +61,11 @@ def exact_age(birth: ColumnOrName, as_of: ColumnOrName) -> Column:
     return years - not_yet
 
 
+def add_days(ts: ColumnOrName, days: Column | int) -> Column:
+    """``DATEADD(day, n, ts)`` on a timestamp."""
+    return F.timestamp_add("DAY", days if isinstance(days, Column) else F.lit(days), _c(ts))
+
+
 def day_boundaries(start: ColumnOrName, end: ColumnOrName) -> Column:
     """``DATEDIFF(day, start, end)`` (S5): midnights crossed."""
     return F.datediff(F.to_date(_c(end)), F.to_date(_c(start)))

@@ -358,6 +358,139 @@ def io13(spark, sf):
     return schema_gate.actual_columns(tables_for(spark, sf).patientwic_source, "dbo", "PatientWIC_Source")
 
 
+# --------------------------------------------------------------- more filters
+
+
+@op("S4", "SELECT event_id, ts + INTERVAL 7 DAY AS expected_completion FROM events")
+def s4(spark, sf):
+    return tables_for(spark, sf).base("events").select("event_id", dates.add_days("ts", 7).alias("expected_completion"))
+
+
+@op("P4", O.with_views(["patient"], f"SELECT pat_id FROM patient WHERE {O._age('birth_date', AS_OF)} BETWEEN 18 AND 75"))
+def p4(spark, sf):
+    p = tables_for(spark, sf).patient
+    return p.filter(dates.exact_age("birth_date", dates.lit_date(AS_OF)).between(18, 75)).select("pat_id")
+
+
+@op("P5", O.with_views(["medicationdispensefact"], f"""
+    SELECT rxnumber, fillnumber FROM medicationdispensefact
+    WHERE dispensesentinstant >= DATE '{O.DISPENSE['as_of']}' - INTERVAL 30 DAY AND dispensesentinstant < DATE '{O.DISPENSE['as_of']}'"""))
+def p5(spark, sf):
+    f = tables_for(spark, sf).medicationdispensefact
+    return f.filter(dates.trailing_days_window("dispensesentinstant", O.DISPENSE["as_of"], 30)).select("rxnumber", "fillnumber")
+
+
+@op("P6", O.with_views(["pat_enc_hsp"], f"""
+    SELECT pat_enc_csn_id FROM pat_enc_hsp
+    WHERE CAST(hosp_disch_time AS DATE) >= DATE '{O.RX['start']}' AND CAST(hosp_disch_time AS DATE) < DATE '{O.RX['end']}' + 1"""))
+def p6(spark, sf):
+    h = tables_for(spark, sf).pat_enc_hsp
+    return h.filter(dates.inclusive_date_window("hosp_disch_time", O.RX["start"], O.RX["end"])).select("pat_enc_csn_id")
+
+
+@op("P8", O.with_views(["lab_order"], f"""
+    SELECT order_proc_id FROM lab_order WHERE proc_id NOT IN ({O.sql_list(K.OUTREACH_EXCLUDED_PROC_IDS)})"""))
+def p8(spark, sf):
+    o = tables_for(spark, sf).outreach_tables()["order_proc"]
+    return o.filter(predicates.not_in("proc_id", K.OUTREACH_EXCLUDED_PROC_IDS)).select("order_proc_id")
+
+
+@op("P13", O.with_views(["clarity_epm"], "SELECT payor_id FROM clarity_epm WHERE financial_class NOT LIKE 'Hospice'"))
+def p13(spark, sf):
+    e = tables_for(spark, sf).clarity_epm
+    return e.filter(predicates.not_equal("financial_class", K.HOSPICE_FINANCIAL_CLASS)).select("payor_id")
+
+
+# ------------------------------------------------------------- more joins/aggs
+
+
+@op("J4", O.with_views(["pat_enc_dx", "edg_current_icd10"], """
+    SELECT dx.pat_enc_csn_id, dx.dx_id, icd.code
+    FROM pat_enc_dx dx LEFT JOIN edg_current_icd10 icd ON icd.dx_id = dx.dx_id AND icd.line = 1"""))
+def j4(spark, sf):
+    t = tables_for(spark, sf)
+    return joins.left_filtered(t.pat_enc_dx, t.edg_current_icd10.select("dx_id", "line", "code"), "dx_id",
+                               F.col("line") == 1).select("pat_enc_csn_id", "dx_id", "code")
+
+
+@op("J13", """
+    SELECT n.patients, d.encounters FROM (SELECT count(DISTINCT o_custkey) AS patients FROM orders) n
+    CROSS JOIN (SELECT count(*) AS encounters FROM orders) d""")
+def j13(spark, sf):
+    o = tables_for(spark, sf).base("orders")
+    return o.agg(F.count_distinct("o_custkey").alias("patients")).crossJoin(o.agg(F.count(F.lit(1)).alias("encounters")))
+
+
+@op("A1", """
+    SELECT l_orderkey, max(l_shipdate) AS last_ship, max(l_returnflag) AS max_flag, max(l_extendedprice * (1 - l_discount)) AS max_net
+    FROM lineitem GROUP BY l_orderkey""")
+def a1(spark, sf):
+    li = tables_for(spark, sf).base("lineitem")
+    return li.groupBy("l_orderkey").agg(*aggs.max_all({
+        "last_ship": "l_shipdate", "max_flag": "l_returnflag",
+        "max_net": F.col("l_extendedprice") * (1 - F.col("l_discount"))}))
+
+
+@op("A13", "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
+def a13(spark, sf):
+    return tables_for(spark, sf).base("customer").select("c_nationkey", "c_mktsegment").distinct()
+
+
+@op("A17", f"""
+    SELECT n_regionkey, {O._pct('n', 'd')} AS finished_pct FROM (
+      SELECT n.n_regionkey, count(*) FILTER (WHERE o.o_orderstatus = 'F') AS n, count(*) AS d
+      FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
+      GROUP BY n.n_regionkey)""")
+def a17(spark, sf):
+    t = tables_for(spark, sf)
+    o, c, n = t.base("orders"), t.base("customer"), t.base("nation")
+    g = (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).groupBy("n_regionkey")
+         .agg(F.count_if(F.col("o_orderstatus") == "F").alias("n"), F.count(F.lit(1)).alias("d")))
+    return g.select("n_regionkey", text.percent_text("n", "d").alias("finished_pct"))
+
+
+_W45 = """
+    SELECT pat_id, result_date, line, ord_num_value FROM (
+      SELECT *, row_number() OVER (PARTITION BY pat_id ORDER BY result_date DESC, line DESC, ord_num_value DESC) AS rn
+      FROM a1c {pre}) WHERE rn = 1 {post}"""
+
+
+def _a1c_rows(spark, sf):
+    t = tables_for(spark, sf)
+    return (t.pat_enc.select("pat_id", "pat_enc_csn_id")
+            .join(t.lab_order_proc.select("order_proc_id", "pat_enc_csn_id"), "pat_enc_csn_id")
+            .join(t.order_results, "order_proc_id").select("pat_id", "result_date", "line", "ord_num_value"))
+
+
+@op("W4", O.with_views(["pat_enc", "lab_order_proc", "order_results"],
+                       _W45.format(pre="WHERE ord_num_value < 7.5", post=""), {"a1c": _A1C_ROWS}))
+def w4(spark, sf):
+    rows = _a1c_rows(spark, sf)
+    return latest(rows.filter(F.col("ord_num_value") < K.A1C_THRESHOLD), "pat_id", ["result_date", "line", "ord_num_value"])
+
+
+@op("W5", O.with_views(["pat_enc", "lab_order_proc", "order_results"],
+                       _W45.format(pre="", post="AND ord_num_value < 7.5"), {"a1c": _A1C_ROWS}))
+def w5(spark, sf):
+    rows = _a1c_rows(spark, sf)
+    return latest(rows, "pat_id", ["result_date", "line", "ord_num_value"]).filter(F.col("ord_num_value") < K.A1C_THRESHOLD)
+
+
+ENTRIES["T1"] = ENTRIES["W1"]
+
+
+@op("IO14", O.q6())
+def io14(spark, sf):
+    """Write the outreach extract as a headed CSV on shared storage, read it back."""
+    from ..plans import outreach as outreach_plan
+    from ..session import shared_dir
+    from ..sources.sinks import write_extract
+    from .registry import OUT
+    df = outreach_plan.future_lab_outreach(tables_for(spark, sf).outreach_tables(), OUT["as_of"], OUT["rules"])
+    path = write_extract(df, shared_dir(spark, "extracts", "future_labs"))
+    return spark.read.option("header", True).schema(df.schema).csv(path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: fn for k, (fn, _) in ENTRIES.items()}
 
