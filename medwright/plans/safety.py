@@ -9,9 +9,12 @@ Two aggregation levels, as in the report definition:
    orders, one row per external CSN with aligned medication lists, the
    order count and the "no concurrent prescription" flag.
 
-The qualifying-orders subquery joins the cohort only to restrict it to
-cohort encounters; the outer left join on the same key already does that,
-so the cohort is computed once and never self-joined.
+The qualifying-orders subquery joins the cohort only to restrict orders to
+cohort encounters. Here orders (and diagnosis codes) are restricted by a
+semi-join to the encounters discharged in the window — one filtered scan,
+a superset of the cohort — and aggregated per CSN before the final left
+join, which then matches the cohort 1:1. The cohort is consumed once, never
+self-joined, and no hot encounter is fanned out through a join.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from .. import constants as K
 from ..functions.dates import day_boundaries, fmt_iso, inclusive_date_window, null_or_sentinel, year_boundaries
 from ..functions.predicates import not_equal, optional_in, required_in
 from ..functions.text import starts_with_any
-from ..operators.aggs import aligned_lists, count_flag, string_agg
+from ..operators.aggs import aligned_lists, string_agg
 
 CSN = "pat_enc_csn_id"
 
@@ -68,16 +71,28 @@ def discharge_cohort(tables: Mapping[str, DataFrame], start, end, service_areas:
             .filter((age >= K.ADULT_AGE) & (stay <= K.MAX_STAY_DAYS))
             .join(cancer_encounters(tables, cancer_prefixes), CSN, "left_anti")
             .withColumn("age_at_encounter", age))
-    return (rows.join(encounter_codes(tables), CSN, "left")
-            .groupBy(CSN).agg(
-                F.max("pat_id").alias("pat_id"),
-                F.max("age_at_encounter").alias("age_at_encounter"),
-                F.max("csn").alias("csn"),
-                F.max("hsp_account_id").alias("hsp_account_id"),
-                F.max("adt_pat_class_c").alias("adt_pat_class_c"),
-                F.max(F.to_date("hosp_disch_time")).alias("discharge_date"),
-                string_agg("code", "; ").alias("diagnosis"),
-                F.max("department_id").alias("department_id")))
+    cohort = rows.groupBy(CSN).agg(
+        F.max("pat_id").alias("pat_id"),
+        F.max("age_at_encounter").alias("age_at_encounter"),
+        F.max("csn").alias("csn"),
+        F.max("hsp_account_id").alias("hsp_account_id"),
+        F.max("adt_pat_class_c").alias("adt_pat_class_c"),
+        F.max(F.to_date("hosp_disch_time")).alias("discharge_date"),
+        F.max("department_id").alias("department_id"))
+    # The code list is aggregated per encounter before it meets the cohort
+    # (map-side partial lists), so an encounter with a huge number of codes is
+    # never shipped row by row through a join. Codes are first limited to
+    # encounters discharged in the window: a cheap superset of the cohort.
+    codes = (encounter_codes(tables).join(window_encounters(tables, start, end), CSN, "left_semi")
+             .groupBy(CSN).agg(string_agg("code", "; ").alias("diagnosis")))
+    return cohort.join(codes, CSN, "left").select(
+        CSN, "pat_id", "age_at_encounter", "csn", "hsp_account_id", "adt_pat_class_c", "discharge_date",
+        "diagnosis", "department_id")
+
+
+def window_encounters(tables: Mapping[str, DataFrame], start, end) -> DataFrame:
+    """Encounters discharged in the report window (one filtered scan)."""
+    return tables["pat_enc_hsp"].filter(inclusive_date_window("hosp_disch_time", start, end)).select(CSN)
 
 
 def qualifying_orders(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -99,25 +114,31 @@ def concurrent_rx(tables: Mapping[str, DataFrame], start, end, service_areas: It
 
     The flag is 0 when two or more qualifying orders exist (K8). The four
     medication lists are ordered by order id so their entries line up (A11).
+    Orders are grouped by the external CSN, as the report groups its joined
+    rows, but aggregated before they meet the cohort (semi-join to the
+    window's encounters, partial + final aggregation), so no encounter's
+    orders are fanned out through a join into one task.
     """
     cohort = discharge_cohort(tables, start, end, service_areas, rev_locs, los_fixed)
-    meds = qualifying_orders(tables).select(CSN, "order_med_id", "thera_class_c", "name", "ordering_date")
+    meds = (qualifying_orders(tables).join(window_encounters(tables, start, end), CSN, "left_semi")
+            .join(tables["ept_csn"].select(F.col("uci").alias(CSN), "csn"), CSN)
+            .select("csn", "order_med_id", "thera_class_c", "name", "ordering_date"))
     lists = aligned_lists("order_med_id", {
         "thera_class_c": "thera_class_c", "medication_name": "name",
         "med_order_date": fmt_iso("ordering_date"), "med_id": "order_med_id"}, "; ")
-    return (cohort.join(meds, CSN, "left")
-            .groupBy("csn").agg(
-                F.max("department_id").alias("department_id"),
-                F.max("pat_id").alias("pat_id"),
-                F.max("age_at_encounter").alias("age_at_encounter"),
-                F.max("hsp_account_id").alias("hsp_account_id"),
-                F.max("adt_pat_class_c").alias("adt_pat_class_c"),
-                F.max("discharge_date").alias("discharge_date"),
-                F.max("diagnosis").alias("diagnosis"),
-                *[c.alias(n) for n, c in lists.items()],
-                F.count("order_med_id").alias("counts"),
-                count_flag("order_med_id").alias("no_concurrent_prescription_flag"),
-                F.lit("Y").alias("first_order"))
+    per_csn = meds.groupBy("csn").agg(*[c.alias(n) for n, c in lists.items()], F.count("order_med_id").alias("counts"))
+    encounters = cohort.groupBy("csn").agg(
+        F.max("department_id").alias("department_id"),
+        F.max("pat_id").alias("pat_id"),
+        F.max("age_at_encounter").alias("age_at_encounter"),
+        F.max("hsp_account_id").alias("hsp_account_id"),
+        F.max("adt_pat_class_c").alias("adt_pat_class_c"),
+        F.max("discharge_date").alias("discharge_date"),
+        F.max("diagnosis").alias("diagnosis"))
+    counts = F.coalesce(F.col("counts"), F.lit(0))
+    return (encounters.join(per_csn, "csn", "left")
             .select("department_id", "pat_id", "age_at_encounter", "csn", "hsp_account_id", "adt_pat_class_c",
                     "discharge_date", "diagnosis", "thera_class_c", "medication_name", "med_order_date", "med_id",
-                    "counts", "no_concurrent_prescription_flag", "first_order"))
+                    counts.alias("counts"),
+                    F.when(counts > 1, 0).otherwise(1).alias("no_concurrent_prescription_flag"),
+                    F.lit("Y").alias("first_order")))
