@@ -88,20 +88,28 @@ def tat_detail(tables: Mapping[str, DataFrame], start, end, pharmacies: Iterable
     elif report_option not in (None, "", "1", "2", "3"):
         rows = rows.filter(F.lit(False))  # an unknown option selects nothing, as the OR-chain does
 
-    rows = rows.join(verified, "action_id", "left_semi").join(acts, "action_id").join(emp, "user_id")
-
+    # Pivot the action log per action first (MAX is associative, so the max
+    # per order+fill of per-action maxes equals the report's single MAX over
+    # the joined lines). Lines are pre-aggregated map-side and one row per
+    # action meets the order rows, so a busy action never fans out a join.
     t, ts, who = "action_type_c", "action_dttm_local", "user_name"
+    per_action = (acts.join(emp, "user_id").join(verified, "action_id", "left_semi")
+                  .groupBy("action_id").agg(
+                      pivot_max(t, ts, K.ACTION_ENTERED).alias("entered_dttm"),
+                      pivot_max(t, who, K.ACTION_ENTERED).alias("entered_user"),
+                      pivot_max(t, ts, K.ACTION_FILLED).alias("filled_dttm"),
+                      pivot_max(t, who, K.ACTION_FILLED).alias("filled_user"),
+                      pivot_max(t, ts, K.ACTION_VERIFIED).alias("verified_dttm"),
+                      pivot_max(t, who, K.ACTION_VERIFIED).alias("verified_user")))
+    rows = rows.join(per_action, "action_id")
+
     return (rows.groupBy(F.col("order_med_id").alias("_order"), F.col("fill_number").alias("_fill")).agg(
         F.max("pharmacy_name").alias("pharmacy_name"),
         F.max("rx_num_formatted_hx").alias("rx_number"),
         F.max("fill_number").alias("fill_number"),
         F.max("pharmacy_id").alias("pharmacy_id"),
-        pivot_max(t, ts, K.ACTION_ENTERED).alias("entered_dttm"),
-        pivot_max(t, who, K.ACTION_ENTERED).alias("entered_user"),
-        pivot_max(t, ts, K.ACTION_FILLED).alias("filled_dttm"),
-        pivot_max(t, who, K.ACTION_FILLED).alias("filled_user"),
-        pivot_max(t, ts, K.ACTION_VERIFIED).alias("verified_dttm"),
-        pivot_max(t, who, K.ACTION_VERIFIED).alias("verified_user"),
+        *[F.max(c).alias(c) for c in ("entered_dttm", "entered_user", "filled_dttm", "filled_user",
+                                      "verified_dttm", "verified_user")],
         F.max("action_id").alias("action_id"),
         F.max(concat_ws_null_empty("order_med_id", F.lit("-"), "fill_number")).alias("order_med_id"),
     ).select(*DETAIL_COLUMNS))
