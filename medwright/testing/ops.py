@@ -491,6 +491,397 @@ def io14(spark, sf):
     return spark.read.option("header", True).schema(df.schema).csv(path)
 
 
+# ------------------------------------------------------- third batch: filters
+
+
+@op("P3", O.with_views(["pat_enc"], """
+    SELECT pat_enc_csn_id FROM pat_enc
+    WHERE enc_type_c = 101 AND contact_date >= DATE '1998-01-01' AND contact_date <= DATE '2000-12-31'"""))
+def p3(spark, sf):
+    pe = tables_for(spark, sf).pat_enc
+    return pe.filter((F.col("enc_type_c") == K.OFFICE_VISIT_ENC_TYPE) & (F.col("contact_date") >= dates.lit_date("1998-01-01"))
+                     & (F.col("contact_date") <= dates.lit_date("2000-12-31"))).select("pat_enc_csn_id")
+
+
+@op("P7", O.with_views(["medicationdispensefact"], """
+    SELECT rxnumber, fillnumber, fillstatus FROM medicationdispensefact WHERE fillstatus IN ('Shipped', 'Dispensed')"""))
+def p7(spark, sf):
+    f = tables_for(spark, sf).medicationdispensefact
+    return f.filter(F.col("fillstatus").isin(*K.DISPENSE_FILL_STATUSES)).select("rxnumber", "fillnumber", "fillstatus")
+
+
+@op("P9", O.with_views(["pat_enc"], "SELECT pat_enc_csn_id FROM pat_enc WHERE appt_cancel_date IS NULL"))
+def p9(spark, sf):
+    return tables_for(spark, sf).pat_enc.filter(F.col("appt_cancel_date").isNull()).select("pat_enc_csn_id")
+
+
+@op("P14", O.with_views(["order_disp_info"], "SELECT order_med_id FROM order_disp_info WHERE NOT fill_status_c = '100'"))
+def p14(spark, sf):
+    odi = tables_for(spark, sf).order_disp_info
+    return odi.filter(predicates.not_equal("fill_status_c", K.EXCLUDED_FILL_STATUS)).select("order_med_id")
+
+
+@op("P16", O.with_views(["pat_enc_hsp", "clarity_dep"], """
+    SELECT h.pat_enc_csn_id FROM pat_enc_hsp h JOIN clarity_dep d ON d.department_id = h.department_id
+    WHERE d.serv_area_id IN (9503)"""))
+def p16(spark, sf):
+    t = tables_for(spark, sf)
+    dep = t.clarity_dep.filter(predicates.required_in("serv_area_id", O.RX["service_areas"])).select("department_id")
+    return t.pat_enc_hsp.join(dep, "department_id").select("pat_enc_csn_id")
+
+
+@op("P19", O.with_views(["medicationdispensefact"], """
+    SELECT fillstatus, count(*) AS fills FROM medicationdispensefact WHERE _isdeleted = 0 GROUP BY fillstatus"""))
+def p19(spark, sf):
+    f = tables_for(spark, sf).medicationdispensefact
+    return f.filter(predicates.active("_isdeleted", 0)).groupBy("fillstatus").agg(F.count(F.lit(1)).alias("fills"))
+
+
+@op("P20", O.with_views(["problem_list"], "SELECT pat_id, dx_id FROM problem_list WHERE problem_status_c = 1"))
+def p20(spark, sf):
+    pl = tables_for(spark, sf).problem_list
+    return pl.filter(predicates.active("problem_status_c", K.PROBLEM_ACTIVE)).select("pat_id", "dx_id")
+
+
+@op("P22", O.with_views(["pat_enc", "patient"], """
+    SELECT pe.pat_enc_csn_id FROM pat_enc pe JOIN patient p ON p.pat_id = pe.pat_id
+    WHERE year(pe.contact_date) - year(p.birth_date) >= 18"""))
+def p22(spark, sf):
+    t = tables_for(spark, sf)
+    return (t.pat_enc.join(t.patient, "pat_id")
+            .filter(dates.year_boundaries("birth_date", "contact_date") >= K.ADULT_AGE).select("pat_enc_csn_id"))
+
+
+@op("P23", O.with_views(["pat_enc_hsp"], """
+    SELECT pat_enc_csn_id FROM pat_enc_hsp
+    WHERE date_diff('day', CAST(hosp_admsn_time AS DATE), CAST(hosp_disch_time AS DATE)) <= 3"""))
+def p23(spark, sf):
+    h = tables_for(spark, sf).pat_enc_hsp
+    return h.filter(dates.day_boundaries("hosp_admsn_time", "hosp_disch_time") <= 3).select("pat_enc_csn_id")
+
+
+# --------------------------------------------------------- third batch: joins
+
+
+@op("J1", """
+    SELECT l.l_orderkey, l.l_linenumber, n.n_name FROM lineitem l
+    JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey
+    JOIN nation n ON n.n_nationkey = c.c_nationkey""")
+def j1(spark, sf):
+    t = tables_for(spark, sf)
+    li, o, c, n = (t.base(x) for x in ("lineitem", "orders", "customer", "nation"))
+    return (li.select("l_orderkey", "l_linenumber").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+            .join(n.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+            .select("l_orderkey", "l_linenumber", "n_name"))
+
+
+@op("J2", O.with_views(["patient", "identity_id"], """
+    SELECT p.pat_id, i.identity_id FROM patient p
+    LEFT JOIN identity_id i ON i.pat_id = p.pat_id AND i.identity_type_id = 9502"""))
+def j2(spark, sf):
+    t = tables_for(spark, sf)
+    ident = t.outreach_tables()["identity_id"]
+    return joins.left_filtered(t.patient.select("pat_id"), ident, "pat_id",
+                               F.col("identity_type_id") == K.OUTREACH_IDENTITY_TYPE).select("pat_id", "identity_id")
+
+
+@op("J3", O.with_views(["pat_enc", "pat_enc_hsp"], f"""
+    SELECT pe.pat_enc_csn_id, pe.pat_id FROM pat_enc pe JOIN pat_enc_hsp h ON h.pat_enc_csn_id = pe.pat_enc_csn_id
+      AND CAST(h.hosp_disch_time AS DATE) >= DATE '{O.RX['start']}' AND CAST(h.hosp_disch_time AS DATE) < DATE '{O.RX['end']}' + 1"""))
+def j3(spark, sf):
+    t = tables_for(spark, sf)
+    h = t.pat_enc_hsp.filter(dates.inclusive_date_window("hosp_disch_time", O.RX["start"], O.RX["end"])).select("pat_enc_csn_id")
+    return t.pat_enc.join(h, "pat_enc_csn_id").select("pat_enc_csn_id", "pat_id")
+
+
+@op("J6", O.with_views(["order_disp_info", "ord_act_ord_info"], """
+    SELECT odi.order_med_id, oaoi.action_id FROM order_disp_info odi
+    JOIN ord_act_ord_info oaoi ON oaoi.order_id = odi.order_med_id AND oaoi.order_date = odi.contact_date_real"""))
+def j6(spark, sf):
+    t = tables_for(spark, sf)
+    link = t.ord_act_ord_info.select("action_id", F.col("order_id").alias("order_med_id"),
+                                     F.col("order_date").alias("contact_date_real"))
+    return t.order_disp_info.join(link, ["order_med_id", "contact_date_real"]).select("order_med_id", "action_id")
+
+
+@op("J9", O.with_views(["order_disp_info", "ord_act_ot"], """
+    SELECT odi.order_med_id, v.verified_dttm FROM order_disp_info odi
+    JOIN (SELECT action_id, max(CASE WHEN action_type_c = 60 THEN action_dttm_local END) AS verified_dttm
+          FROM ord_act_ot GROUP BY action_id) v ON v.action_id = odi.order_med_id"""))
+def j9(spark, sf):
+    t = tables_for(spark, sf)
+    derived = t.ord_act_ot.groupBy("action_id").agg(
+        aggs.pivot_max("action_type_c", "action_dttm_local", K.ACTION_VERIFIED).alias("verified_dttm"))
+    return t.order_disp_info.join(derived, F.col("order_med_id") == F.col("action_id")).select("order_med_id", "verified_dttm")
+
+
+@op("J11", O.with_views(["pat_enc", "pat_enc_dx", "rx_edg", "edg_current_icd10"], f"""
+    SELECT pe.pat_enc_csn_id FROM pat_enc pe WHERE NOT EXISTS (
+      SELECT 1 FROM pat_enc_dx dx JOIN rx_edg e ON e.dx_id = dx.dx_id
+      JOIN edg_current_icd10 icd ON icd.dx_id = e.dx_id AND icd.line = 1 AND {O.like_any('icd.code', K.CANCER_ICD10_PREFIXES)}
+      WHERE dx.pat_enc_csn_id = pe.pat_enc_csn_id)"""))
+def j11(spark, sf):
+    from ..plans import safety
+    t = tables_for(spark, sf)
+    return joins.not_exists(t.pat_enc.select("pat_enc_csn_id"), safety.cancer_encounters(t.rx_tables()), "pat_enc_csn_id")
+
+
+@op("J14", O.with_views(["lab_order", "order_proc_2", "clarity_dep_4", "code_assc_map"], """
+    SELECT op.order_proc_id, cam.code_assc_value AS split_reg FROM lab_order op
+    JOIN order_proc_2 op2 ON op2.order_proc_id = op.order_proc_id
+    JOIN clarity_dep_4 d4 ON d4.department_id = op2.login_dep_id
+    JOIN code_assc_map cam ON cam.code_name = 'pos.pos_id' AND cam.code_value = CAST(d4.region_id AS VARCHAR)
+         AND cam.active_flag = 'Y' AND cam.usage = 'salesforce_lab_orders' AND cam.code_assc_name = 'region_abbr'"""))
+def j14(spark, sf):
+    t = tables_for(spark, sf).outreach_tables()
+    cm = K.OUTREACH_CODE_MAP
+    cam = t["code_assc_map"].filter(
+        (F.col("code_name") == cm["code_name"]) & (F.col("active_flag") == cm["active_flag"])
+        & (F.col("usage") == cm["usage"]) & (F.col("code_assc_name") == cm["code_assc_name"]))
+    rows = (t["order_proc"].select("order_proc_id").join(t["order_proc_2"], "order_proc_id")
+            .join(t["clarity_dep_4"], F.col("login_dep_id") == F.col("department_id"))
+            .join(cam, F.col("code_value") == F.col("region_id").cast("string")))
+    return rows.select("order_proc_id", F.col("code_assc_value").alias("split_reg"))
+
+
+def _tat_detail(spark, sf):
+    from ..plans import turnaround
+    T = O.TAT
+    return turnaround.tat_detail(tables_for(spark, sf).tat_tables(), T["start"], T["end"])
+
+
+@op("J15", O.with_views(O.TAT_VIEWS, """
+    SELECT d.order_med_id, t.turnaround_time FROM details d LEFT JOIN turnarnd_cte t ON d.order_med_id = t.order_med_id""",
+    {"details": O._tat_details(), "turnarnd_cte": O.TURNARND_CTE}))
+def j15(spark, sf):
+    from ..plans import turnaround
+    d = _tat_detail(spark, sf)
+    steps = turnaround.tat_step_durations(d).select("order_med_id", "turnaround_time")
+    return d.select("order_med_id").join(steps, "order_med_id", "left")
+
+
+@op("J16", O.with_views(O.TAT_VIEWS, """
+    SELECT d.order_med_id, a.average_turn_around_time_min FROM details d LEFT JOIN avg_cte a ON d.pharmacy_id = a.pharmacy_id""",
+    {"details": O._tat_details(), "avg_cte": O.AVG_CTE}))
+def j16(spark, sf):
+    from ..plans import turnaround
+    d = _tat_detail(spark, sf)
+    avgs = turnaround.tat_pharmacy_averages(d).select("pharmacy_id", "average_turn_around_time_min")
+    return d.select("order_med_id", "pharmacy_id").join(avgs, "pharmacy_id", "left").drop("pharmacy_id")
+
+
+@op("J17", O.with_views(["patient", "other_communctn"], """
+    SELECT p.pat_id, max(coalesce(c.other_communic_num, p.home_phone)) AS phone_number
+    FROM patient p LEFT JOIN other_communctn c ON c.pat_id = p.pat_id AND c.other_communic_c IN (1, 6)
+    GROUP BY p.pat_id"""))
+def j17(spark, sf):
+    t = tables_for(spark, sf)
+    comm = t.outreach_tables()["other_communctn"]
+    rows = joins.left_filtered(t.patient.select("pat_id", "home_phone"), comm, "pat_id",
+                               F.col("other_communic_c").isin(*K.OUTREACH_MOBILE_COMM_TYPES))
+    return rows.groupBy("pat_id").agg(F.max(F.coalesce("other_communic_num", "home_phone")).alias("phone_number"))
+
+
+# ---------------------------------------------------- third batch: aggregates
+
+
+@op("A2", O.with_views(["events_keyed"], """
+    SELECT order_key, max(strftime(ts, '%m/%d/%Y %H:%M')) AS max_instant_text FROM events_keyed GROUP BY order_key"""))
+def a2(spark, sf):
+    e = tables_for(spark, sf)._events_keyed
+    return e.groupBy("order_key").agg(F.max(dates.fmt_mdy_hm("ts")).alias("max_instant_text"))
+
+
+@op("A4", "SELECT l_orderkey, max('Y') AS first_order FROM lineitem GROUP BY l_orderkey")
+def a4(spark, sf):
+    li = tables_for(spark, sf).base("lineitem")
+    return li.groupBy("l_orderkey").agg(F.max(F.lit("Y")).alias("first_order"))
+
+
+@op("A6", """
+    SELECT c.c_custkey, count(o.o_orderkey) AS encounters FROM customer c
+    LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey""")
+def a6(spark, sf):
+    t = tables_for(spark, sf)
+    c, o = t.base("customer").select("c_custkey"), t.base("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    return c.join(o, "c_custkey", "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("encounters"))
+
+
+@op("A12", """
+    SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS lines
+    FROM lineitem GROUP BY l_orderkey""")
+def a12(spark, sf):
+    li = tables_for(spark, sf).base("lineitem")
+    return li.groupBy("l_orderkey").agg(aggs.string_agg(F.col("l_linenumber").cast("string"), ",").alias("lines"))
+
+
+@op("A15", """
+    SELECT c.c_nationkey, max(n) AS max_encounters FROM (
+      SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) per
+    JOIN customer c ON c.c_custkey = per.o_custkey GROUP BY c.c_nationkey""")
+def a15(spark, sf):
+    t = tables_for(spark, sf)
+    per = t.base("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    c = t.base("customer").select("c_custkey", "c_nationkey")
+    return (per.join(c, per.o_custkey == c.c_custkey).groupBy("c_nationkey")
+            .agg(F.max("n").alias("max_encounters")))
+
+
+@op("A16", """
+    SELECT max(concat(l_orderkey, '-', l_linenumber)) AS rx_key, max(l_quantity) AS quantity
+    FROM lineitem GROUP BY l_orderkey, l_linenumber""")
+def a16(spark, sf):
+    li = tables_for(spark, sf).base("lineitem")
+    return (li.groupBy(F.col("l_orderkey").alias("_o"), F.col("l_linenumber").alias("_l"))
+            .agg(F.max(text.concat_ws_null_empty("l_orderkey", F.lit("-"), "l_linenumber")).alias("rx_key"),
+                 F.max("l_quantity").alias("quantity")).drop("_o", "_l"))
+
+
+# ------------------------------------------------------- third batch: scalars
+
+
+@op("S9", f"""SELECT event_id FROM events
+    WHERE ts >= TIMESTAMP '{O.OUTREACH['as_of']} 00:00:00' - INTERVAL 1 DAY AND ts < TIMESTAMP '{O.OUTREACH['as_of']} 00:00:00'""")
+def s9(spark, sf):
+    e = tables_for(spark, sf).base("events")
+    return e.filter(dates.previous_day_window("ts", O.OUTREACH["as_of"])).select("event_id")
+
+
+@op("S15", "SELECT l_orderkey, CAST(l_quantity AS INTEGER) AS qty, CAST(l_partkey AS VARCHAR) AS part_code FROM lineitem")
+def s15(spark, sf):
+    li = tables_for(spark, sf).base("lineitem")
+    return li.select("l_orderkey", F.col("l_quantity").cast("int").alias("qty"), F.col("l_partkey").cast("string").alias("part_code"))
+
+
+@op("S18", "SELECT l_orderkey, l_returnflag || l_linestatus || '-' || CAST(l_linenumber AS VARCHAR) AS status_line FROM lineitem")
+def s18(spark, sf):
+    li = tables_for(spark, sf).base("lineitem")
+    return li.select("l_orderkey", F.concat("l_returnflag", "l_linestatus", F.lit("-"),
+                                            F.col("l_linenumber").cast("string")).alias("status_line"))
+
+
+@op("S19", O.with_views(["patient"], "SELECT pat_id, coalesce(email_address, home_phone) AS contact FROM patient"))
+def s19(spark, sf):
+    return tables_for(spark, sf).patient.select("pat_id", F.coalesce("email_address", "home_phone").alias("contact"))
+
+
+@op("S20", O.with_views(["order_disp_info"], "SELECT order_med_id, nullif(fill_status_c, '50') AS status FROM order_disp_info"))
+def s20(spark, sf):
+    odi = tables_for(spark, sf).order_disp_info
+    return odi.select("order_med_id", F.nullif(F.col("fill_status_c"), F.lit("50")).alias("status"))
+
+
+@op("S21", """
+    SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'negative' WHEN c_acctbal < 1000 THEN 'low' ELSE 'high' END AS balance_band
+    FROM customer""")
+def s21(spark, sf):
+    c = tables_for(spark, sf).base("customer")
+    band = F.when(F.col("c_acctbal") < 0, "negative").when(F.col("c_acctbal") < 1000, "low").otherwise("high")
+    return c.select("c_custkey", band.alias("balance_band"))
+
+
+@op("S22", O.with_views(["medicationdispensefact"], """
+    SELECT rxnumber, fillnumber, round(firstpayorpaidamount * 0.15, 2) AS copay FROM medicationdispensefact"""))
+def s22(spark, sf):
+    import decimal
+    f = tables_for(spark, sf).medicationdispensefact
+    return f.select("rxnumber", "fillnumber",
+                    F.round(F.col("firstpayorpaidamount") * F.lit(decimal.Decimal("0.15")), 2).alias("copay"))
+
+
+@op("S24", O.with_views(["events_keyed"], "SELECT order_key, date_diff('second', a, b) // 3600 AS hours FROM span",
+                        {"span": _SPAN}))
+def s24(spark, sf):
+    return _order_span(spark, sf).select(
+        "order_key", dates.trunc_div(dates.second_boundaries("first_ts", "last_ts"), 3600).alias("hours"))
+
+
+@op("S25", O.with_views(["medicationdispensefact"], """
+    SELECT rxnumber, fillnumber, patientpaidamount + firstpayorpaidamount + secondpayorpaidamount AS paid
+    FROM medicationdispensefact"""))
+def s25(spark, sf):
+    f = tables_for(spark, sf).medicationdispensefact
+    return f.select("rxnumber", "fillnumber",
+                    (F.col("patientpaidamount") + F.col("firstpayorpaidamount") + F.col("secondpayorpaidamount")).alias("paid"))
+
+
+@op("S26", O.with_views(["pat_enc"], "SELECT pat_enc_csn_id, contact_date + 1 AS next_day FROM pat_enc"))
+def s26(spark, sf):
+    return tables_for(spark, sf).pat_enc.select("pat_enc_csn_id", F.date_add("contact_date", 1).alias("next_day"))
+
+
+@op("S27", O.with_views(["pat_enc"], "SELECT pat_enc_csn_id FROM pat_enc WHERE contact_date = DATE '2000-06-01'"))
+def s27(spark, sf):
+    pe = tables_for(spark, sf).pat_enc
+    return pe.filter(F.col("contact_date") == dates.lit_date("2000-06-01")).select("pat_enc_csn_id")
+
+
+# ------------------------------------------------------- third batch: sources
+
+
+@op("IO1", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def io1(spark, sf):
+    o = tables_for(spark, sf).base("orders")
+    return o.filter(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey")
+
+
+@op("IO4", ENTRIES["IO5"][1])
+def io4(spark, sf):
+    """Stage the day's slice into a new directory (never overwriting in place) and read it back."""
+    from ..session import shared_dir
+    staged = load.stage_slice(tables_for(spark, sf).patientwic_source, O.LOAD["load_date"])
+    path = shared_dir(spark, "staging", "patientwic")
+    staged.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
+@op("U3", O.q4())
+def u3(spark, sf):
+    """Publish an initial snapshot, run the day's load (new snapshot, pointer
+    switched last) and read the published target back."""
+    import datetime as dt
+
+    from ..session import shared_dir
+    from ..sources import sinks
+    L = O.LOAD
+    src = tables_for(spark, sf).patientwic_source
+    root, log_path = shared_dir(spark, "tables", "patientwic_target"), shared_dir(spark, "tables", "etl_log")
+    sinks.publish_snapshot(load.initial_target(src, L["load_date"], L["initial_ts"]), root)
+    load.run_load(spark, src, root, log_path, L["load_date"], dt.datetime.fromisoformat(L["run_ts"]))
+    return sinks.read_table(spark, root)
+
+
+@op("U4", f"""
+    SELECT '{K.LOAD_PROCEDURE_NAME}' AS procedure_name, DATE '{O.LOAD['load_date']}' AS load_date,
+           CAST(0 AS BIGINT) AS rows_staged, CAST(0 AS BIGINT) AS duplicate_rows_deleted, CAST(0 AS BIGINT) AS rows_merged,
+           'Failed' AS status, TIMESTAMP '{O.LOAD['run_ts']}' AS run_datetime
+    FROM (SELECT count(*) FROM lineitem)""")
+def u4(spark, sf):
+    """Run the load behind the vendor schema gate. The mapped source carries
+    ``patientid`` as bigint where the expected schema says int, so the gate
+    raises: the target is never published and one Failed row is logged."""
+    import datetime as dt
+
+    from ..session import shared_dir
+    from ..sources import sinks
+    L = O.LOAD
+    src = tables_for(spark, sf).patientwic_source
+    root, log_path = shared_dir(spark, "tables", "patientwic_target"), shared_dir(spark, "tables", "etl_log")
+
+    def gate(df):
+        schema_gate.assert_schema(schema_gate.expected_schema(spark),
+                                  schema_gate.actual_columns(df, "dbo", "PatientWIC_Source"))
+
+    try:
+        load.run_load(spark, src, root, log_path, L["load_date"], dt.datetime.fromisoformat(L["run_ts"]), gate=gate)
+    except schema_gate.SchemaMismatch:
+        pass
+    if sinks.current_snapshot(spark, root) is not None:
+        raise AssertionError("a failed load must not publish a snapshot")
+    return spark.read.parquet(log_path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: fn for k, (fn, _) in ENTRIES.items()}
 

@@ -61,10 +61,11 @@ def _rx(kind="report", los_fixed=False):
 D = oracle.DISPENSE
 
 
-def _q7(null_as_zero=False, days=None):
+def _q7(null_as_zero=False, days=None, display_names=False):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = TestTables(spark, sf_dir).dispense_tables()
-        return dispense.dispense_payer_detail(t, D["as_of"], D["npis"], days or D["days"], null_as_zero=null_as_zero)
+        return dispense.dispense_payer_detail(t, D["as_of"], D["npis"], days or D["days"], null_as_zero=null_as_zero,
+                                              display_names=display_names)
     return run
 
 
@@ -100,12 +101,26 @@ def _gate(kind):
 INTERVENTION_SAMPLE = ["90024", "90025", "90026", "90027", "90031"]
 
 
+# Inventory IDs whose operator is a step of a pipeline: the key runs the
+# pipeline query that exercises it (same Spark plan, same oracle SQL).
+ALIASES = {
+    "P1": "Q7_display_names", "P2": "S25", "P17": "Q8a_clean", "P21": "Q7",
+    "J5": "Q6", "J8": "Q8",
+    "A3": "A1", "A7": "Q5_count",
+    "IO2": "Q7", "IO3": "Q8", "IO6": "W2", "IO7": "Q4", "IO8": "Q4", "IO9": "Q4_log", "IO10": "Q4_log",
+    "IO11": "Q5", "IO12": "Q5", "IO15": "Q8a_flags",
+    "U1": "Q4", "U2": "Q4_log", "U5": "Q5_count", "U6": "Q5",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**_pipelines(), **ops.queries()}
+    q = {**_pipelines(), **ops.queries()}
+    return {**q, **{k: q[v] for k, v in ALIASES.items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_pipeline_sql(), **ops.oracle_sql()}
+    o = {**_pipeline_sql(), **ops.oracle_sql()}
+    return {**o, **{k: o[v] for k, v in ALIASES.items()}}
 
 
 def _pipelines() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -127,6 +142,7 @@ def _pipelines() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "Q7": _q7(),
         "Q7_null_as_zero": _q7(True),
         "Q7_year": _q7(days=365),
+        "Q7_display_names": _q7(display_names=True),
         "Q8a": _tat("detail"),
         "Q8a_clean": _tat("detail", "2"),
         "Q8a_intervention": _tat("detail", "3"),
@@ -160,6 +176,7 @@ def _pipeline_sql() -> dict[str, str]:
         "Q7": oracle.q7(),
         "Q7_null_as_zero": oracle.q7(null_as_zero=True),
         "Q7_year": oracle.q7(dict(D, days=365)),
+        "Q7_display_names": oracle.q7_display_names(),
         "Q8a": oracle.q8a(),
         "Q8a_clean": oracle.q8a("2"),
         "Q8a_intervention": oracle.q8a("3"),
