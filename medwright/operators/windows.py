@@ -53,6 +53,21 @@ def latest(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
     raise ValueError(f"unknown ties mode {ties!r}")
 
 
+def latest_any(df: DataFrame, keys: str | Sequence[str], order: str, predicate, name: str = "passes") -> DataFrame:
+    """Per key: does any row at the latest ``order`` value satisfy ``predicate``?
+
+    Equivalent to ``DENSE_RANK() OVER (PARTITION BY keys ORDER BY order DESC) = 1``
+    followed by the predicate and a distinct over the keys, computed as one
+    aggregation: ``max(struct(order, predicate))`` picks the latest value and,
+    among rows tied on it, prefers a passing row (true > false). A NULL
+    predicate counts as not passing; NULL order values sort last (W3 + W5).
+    """
+    keys = _as_list(keys)
+    flag = F.coalesce(predicate, F.lit(False))
+    top = df.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("o"), flag.alias("p"))).alias("_top"))
+    return top.select(*keys, F.col("_top.o").alias(order), F.col("_top.p").alias(name))
+
+
 def _latest_window(df: DataFrame, keys: list[str], order: list[str], ties: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
     rank = F.row_number() if ties == "one" else F.dense_rank()

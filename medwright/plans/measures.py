@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.dates import exact_age, fmt_mdy, lit_date
 from ..functions.text import contains, percent_text, split_pair, starts_with_any
-from ..operators.windows import latest
+from ..operators.windows import latest, latest_any
 
 
 def denominator(tables: Mapping[str, DataFrame], start, end, as_of, dx_match, age_range) -> DataFrame:
@@ -114,6 +114,6 @@ def measure_bp_control(tables: Mapping[str, DataFrame], start, end, as_of,
     """
     den = denominator(tables, start, end, as_of, lambda c: contains(c, dx_token), age_range)
     readings = bp_readings(tables, den)
-    num = (latest(readings, "pat_id", "result_date", ties="all")
-           .filter((F.col("diastolic") < dia_max) & (F.col("systolic") < sys_max)))
+    controlled = (F.col("diastolic") < dia_max) & (F.col("systolic") < sys_max)
+    num = latest_any(readings, "pat_id", "result_date", controlled).filter("passes")
     return _ratio(num, den, "hypertension_measure", with_counts)

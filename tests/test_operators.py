@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from medwright.operators import aggs
-from medwright.operators.windows import latest
+from medwright.operators.windows import latest, latest_any
 
 
 def _rows(df):
@@ -59,3 +59,13 @@ def test_pivot_max(spark):
     df = spark.createDataFrame([(1, 30, "x"), (1, 45, "y"), (1, 30, "z")], "g int, t int, v string")
     r = df.groupBy("g").agg(aggs.pivot_max("t", "v", 30).alias("e"), aggs.pivot_max("t", "v", 60).alias("n")).first()
     assert (r.e, r.n) == ("z", None)
+
+
+def test_latest_any_equals_dense_rank_then_filter(spark):
+    rnd = random.Random(11)
+    data = [(0 if i % 3 == 0 else rnd.randint(1, 40), rnd.choice([None] + list(range(6))), rnd.randint(0, 3)) for i in range(2000)]
+    df = spark.createDataFrame(data, "k int, t int, v int")
+    pred = F.col("v") >= 2
+    got = sorted(r.k for r in latest_any(df, "k", "t", pred).filter("passes").collect())
+    ranked = latest(df, "k", "t", ties="all", method="window").filter(pred).select("k").distinct()
+    assert got == sorted(r.k for r in ranked.collect())
