@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,13 @@ def denominator(tables: Mapping[str, DataFrame], start, end, as_of, dx_match, ag
             .distinct())
 
 
+def _shared(den: DataFrame, cache: bool) -> DataFrame:
+    """The denominator feeds both the numerator and its own count. With AQE
+    the two consumers do not share an exchange, so it is persisted once (it is
+    one row per qualifying patient and diagnosis list)."""
+    return den.persist(StorageLevel.MEMORY_AND_DISK) if cache else den
+
+
 def _ratio(num: DataFrame, den: DataFrame, name: str, with_counts: bool) -> DataFrame:
     n = num.agg(F.count_distinct("pat_id").alias("numerator"))
     d = den.agg(F.count_distinct("pat_id").alias("denominator"))
@@ -68,7 +76,7 @@ def a1c_candidates(tables: Mapping[str, DataFrame], den: DataFrame,
 def measure_latest_value(tables: Mapping[str, DataFrame], start, end, as_of,
                          dx_prefixes=K.DIABETES_ICD10_PREFIXES, age_range=K.DIABETES_AGE,
                          proc_id=K.A1C_PROC_ID, threshold=K.A1C_THRESHOLD,
-                         threshold_stage: str = "pre", with_counts: bool = False) -> DataFrame:
+                         threshold_stage: str = "pre", with_counts: bool = False, cache: bool = True) -> DataFrame:
     """Diabetes control measure (Q2).
 
     ``threshold_stage="pre"`` is the report as written: results under the
@@ -76,7 +84,7 @@ def measure_latest_value(tables: Mapping[str, DataFrame], start, end, as_of,
     who was ever under it counts (K1). ``"post"`` applies the stated rule:
     the most recent result must be under the threshold (W4 vs W5).
     """
-    den = denominator(tables, start, end, as_of, lambda c: starts_with_any(c, dx_prefixes), age_range)
+    den = _shared(denominator(tables, start, end, as_of, lambda c: starts_with_any(c, dx_prefixes), age_range), cache)
     rows = a1c_candidates(tables, den, proc_id)
     order = ["result_date", "line", "ord_num_value"]
     under = F.col("ord_num_value") < threshold
@@ -105,14 +113,14 @@ def bp_readings(tables: Mapping[str, DataFrame], den: DataFrame, flowsheet_id=K.
 def measure_bp_control(tables: Mapping[str, DataFrame], start, end, as_of,
                        dx_token=K.HYPERTENSION_ICD10_TOKEN, age_range=K.HYPERTENSION_AGE,
                        sys_max=K.SYSTOLIC_MAX, dia_max=K.DIASTOLIC_MAX,
-                       with_counts: bool = False) -> DataFrame:
+                       with_counts: bool = False, cache: bool = True) -> DataFrame:
     """Blood-pressure control measure (Q3).
 
     Latest readings keep ties (DENSE_RANK, W3); the value test runs after
     the ranking (W5), so a patient passes when any reading at the latest
     instant is under both limits. Malformed readings parse to NULL (K31).
     """
-    den = denominator(tables, start, end, as_of, lambda c: contains(c, dx_token), age_range)
+    den = _shared(denominator(tables, start, end, as_of, lambda c: contains(c, dx_token), age_range), cache)
     readings = bp_readings(tables, den)
     controlled = (F.col("diastolic") < dia_max) & (F.col("systolic") < sys_max)
     num = latest_any(readings, "pat_id", "result_date", controlled).filter("passes")
