@@ -13,6 +13,10 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Size post-shuffle partitions by bytes (advisory size), not by keeping as
+    # many tasks as the default parallelism: fewer tiny tasks on small
+    # reports, right-sized partitions on large ones.
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # The report plans join 10-20 tables; inferring constraints across all of
     # them costs seconds of driver time per query and only adds IsNotNull
