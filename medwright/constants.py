@@ -43,7 +43,7 @@ ACTION_ENTERED = 30
 ACTION_FILLED = 45
 ACTION_VERIFIED = 60
 OUTPATIENT_ORDERING_MODE = "1"
-TURNAROUND_SERVICE_AREAS = (51340984, 9503, 5134521)
+TURNAROUND_SERVICE_AREAS = ("51340984", "9503", "5134521")
 EXCLUDED_FILL_STATUS = "100"
 INTERVENTION_FLAG_IDS = (
     "90024", "90025", "90026", "90027", "90046001", "90048000", "90048145",
@@ -72,22 +72,22 @@ OUTREACH_CODE_MAP = {
     "code_assc_name": "region_abbr",
 }
 OUTREACH_EXCLUDED_PROC_IDS = (
-    51343890, 51343891, 51343892, 51344011,
-    51344012, 51344013, 51344014, 51344015,
-    51344016, 51344017, 51344018, 51344019,
-    51344020, 51344021, 51344022, 51344023,
-    51344024, 51344025, 51344026, 51344027,
-    51344028, 51344029, 51344030, 51344031,
-    51344335, 51344756, 51343888, 51343889,
-    51345775, 51364522, 51366063, 51376952,
-    950662, 950780, 950781, 950784, 950787,
-    51343957, 51343958, 51343959, 51343960,
-    51343962, 51343965, 51343967, 51343974,
-    51343975, 51343976, 51343977, 51343978,
-    51343983, 51343986, 51343987, 51344002,
-    51358891, 51358892, 51358893, 51358894,
-    51358896, 51360619, 51360636, 51360853,
-    51377783, 95017142, 95022250,
+    "51343890", "51343891", "51343892", "51344011",
+    "51344012", "51344013", "51344014", "51344015",
+    "51344016", "51344017", "51344018", "51344019",
+    "51344020", "51344021", "51344022", "51344023",
+    "51344024", "51344025", "51344026", "51344027",
+    "51344028", "51344029", "51344030", "51344031",
+    "51344335", "51344756", "51343888", "51343889",
+    "51345775", "51364522", "51366063", "51376952",
+    "950662", "950780", "950781", "950784", "950787",
+    "51343957", "51343958", "51343959", "51343960",
+    "51343962", "51343965", "51343967", "51343974",
+    "51343975", "51343976", "51343977", "51343978",
+    "51343983", "51343986", "51343987", "51344002",
+    "51358891", "51358892", "51358893", "51358894",
+    "51358896", "51360619", "51360636", "51360853",
+    "51377783", "95017142", "95022250",
 )
 # Region rule groups: both groups carry the same placeholder region id in the
 # report definition, so the default rules are kept exactly as written.

@@ -14,6 +14,12 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def as_numbers(values: Iterable) -> list[int]:
+    """Identifiers written as quoted text in a report, compared with a numeric
+    column (the database converts them implicitly; here it is explicit)."""
+    return [int(v) for v in values]
+
+
 def optional_in(col: ColumnOrName, values: Iterable | None) -> Column:
     """``col IN (p) OR NULLIF(COALESCE(p, s), s) IS NULL``.
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.dates import fmt_mdy, fmt_mdy_hm, lit_ts, previous_day_window, _as_date
-from ..functions.predicates import any_of, not_in
+from ..functions.predicates import any_of, as_numbers, not_in
 
 COLUMNS = ["region", "region_id", "pat_id", "order_id", "order_instant", "expected_completion_date",
            "standing_expiration_date", "order_name", "auth_provider", "order_priority", "order_class",
@@ -45,7 +45,7 @@ def future_lab_outreach(tables: Mapping[str, DataFrame], as_of, rules: Sequence[
           .filter(previous_day_window("order_inst", today)
                   & (F.col("future_or_stand") == "F") & (F.col("specimen_type_c") == K.OUTREACH_SPECIMEN_BLOOD)
                   & (F.col("standing_exp_date") >= lit_ts(today))
-                  & not_in("proc_id", excluded_procs)
+                  & not_in("proc_id", as_numbers(excluded_procs))
                   & not_in("order_class_c", K.OUTREACH_EXCLUDED_ORDER_CLASSES))
           .select("order_proc_id", "pat_enc_csn_id", "order_inst", "fut_expect_comp_dt", "standing_exp_date",
                   "display_name", "authrzing_prov_id", "order_class_c", "order_priority_c", "specimen_type_c"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.dates import duration_text, lit_ts, minute_boundaries
-from ..functions.predicates import not_equal, optional_in
+from ..functions.predicates import as_numbers, not_equal, optional_in
 from ..functions.text import concat_ws_null_empty
 from ..operators.aggs import aligned_lists, int_avg, pivot_max
 
@@ -60,7 +60,7 @@ def tat_detail(tables: Mapping[str, DataFrame], start, end, pharmacies: Iterable
            .select("order_med_id", "fill_number", "rx_num_formatted_hx", "fill_phr_id", "contact_date_real"))
     om = (tables["order_med"].filter(F.col("ordering_mode_c") == K.OUTPATIENT_ORDERING_MODE)
           .select("order_med_id", "login_dep_id"))
-    dep = tables["clarity_dep"].filter(F.col("serv_area_id").isin(list(service_areas))).select(
+    dep = tables["clarity_dep"].filter(F.col("serv_area_id").isin(as_numbers(service_areas))).select(
         F.col("department_id").alias("login_dep_id"))
     phr = tables["rx_phr"].filter(optional_in("pharmacy_id", pharmacies)).select(
         F.col("pharmacy_id").alias("fill_phr_id"), "pharmacy_id", "pharmacy_name")

@@ -389,10 +389,10 @@ def p6(spark, sf):
 
 
 @op("P8", O.with_views(["lab_order"], f"""
-    SELECT order_proc_id FROM lab_order WHERE proc_id NOT IN ({O.sql_list(K.OUTREACH_EXCLUDED_PROC_IDS)})"""))
+    SELECT order_proc_id FROM lab_order WHERE proc_id NOT IN ({O.sql_list(predicates.as_numbers(K.OUTREACH_EXCLUDED_PROC_IDS))})"""))
 def p8(spark, sf):
     o = tables_for(spark, sf).outreach_tables()["order_proc"]
-    return o.filter(predicates.not_in("proc_id", K.OUTREACH_EXCLUDED_PROC_IDS)).select("order_proc_id")
+    return o.filter(predicates.not_in("proc_id", predicates.as_numbers(K.OUTREACH_EXCLUDED_PROC_IDS))).select("order_proc_id")
 
 
 @op("P13", O.with_views(["clarity_epm"], "SELECT payor_id FROM clarity_epm WHERE financial_class NOT LIKE 'Hospice'"))
