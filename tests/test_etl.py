@@ -130,3 +130,14 @@ def test_csv_extract_roundtrip(spark):
     sinks.write_extract(df, path, single_file=True)
     back = spark.read.option("header", True).csv(path)
     assert back.columns == ["order_id", "region"] and back.count() == 2
+
+
+def test_failed_snapshot_write_keeps_previous_snapshot(spark):
+    root = shared_dir(spark, "target")
+    first = sinks.publish_snapshot(spark.createDataFrame([(1, "a")], "k int, v string"), root)
+    bad = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").withColumn(
+        "v", F.when(F.col("k") == 2, F.raise_error(F.lit("injected write failure"))).otherwise(F.col("v")))
+    with pytest.raises(Exception):
+        sinks.publish_snapshot(bad, root)
+    assert sinks.current_snapshot(spark, root) == first
+    assert [tuple(r) for r in sinks.read_table(spark, root).collect()] == [(1, "a")]
