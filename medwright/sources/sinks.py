@@ -52,6 +52,18 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(lines)
 
 
+def _replace(spark: SparkSession, src: str, dst: str) -> None:
+    """Move ``src`` over ``dst`` in one step (``Rename.OVERWRITE``): readers see
+    the old pointer or the new one, never none."""
+    jvm = spark.sparkContext._jvm
+    fs_pkg = jvm.org.apache.hadoop.fs
+    target = fs_pkg.Path(dst)
+    ctx = fs_pkg.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(fs_pkg.Options.Rename, 1)
+    options[0] = fs_pkg.Options.Rename.OVERWRITE
+    ctx.rename(fs_pkg.Path(src), target, options)
+
+
 def current_snapshot(spark: SparkSession, table_root: str) -> str | None:
     """Path of the published snapshot of a table, or None if never published."""
     text = _read_text(spark, f"{table_root.rstrip('/')}/_CURRENT")
@@ -66,8 +78,9 @@ def read_table(spark: SparkSession, table_root: str) -> DataFrame | None:
 def publish_snapshot(df: DataFrame, table_root: str, partition_by: list[str] | None = None) -> str:
     """Write ``df`` as a new immutable snapshot, then switch the pointer (U3, IO4).
 
-    The pointer is written to a temporary name and renamed over the old one,
-    so readers see either the old or the new snapshot, never a partial one.
+    The pointer is written to a temporary name and renamed over the old one
+    in a single overwrite-rename, so readers see either the old or the new
+    snapshot, never a partial one and never a missing pointer.
     """
     spark = df.sparkSession
     root = table_root.rstrip("/")
@@ -78,11 +91,7 @@ def publish_snapshot(df: DataFrame, table_root: str, partition_by: list[str] | N
     writer.parquet(path)
     tmp = f"{root}/_CURRENT.{uuid.uuid4().hex}.tmp"
     _write_text(spark, tmp, json.dumps({"path": path}))
-    fs, cur = _fs(spark, f"{root}/_CURRENT")
-    _, tmp_p = _fs(spark, tmp)
-    if fs.exists(cur):
-        fs.delete(cur, False)
-    fs.rename(tmp_p, cur)
+    _replace(spark, tmp, f"{root}/_CURRENT")
     return path
 
 
