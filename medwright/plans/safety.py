@@ -69,7 +69,10 @@ def discharge_cohort(tables: Mapping[str, DataFrame], start, end, service_areas:
     rows = (enc.join(hsp, CSN).join(dep, "department_id").join(pat, "pat_id").join(csn, CSN)
             .join(cvg, "coverage_id").join(epm, "payor_id").join(sa, "serv_area_id")
             .filter((age >= K.ADULT_AGE) & (stay <= K.MAX_STAY_DAYS))
-            .join(cancer_encounters(tables, cancer_prefixes), CSN, "left_anti")
+            # only encounters discharged in the window can be excluded, so the
+            # anti-join body is cut to them before it is shuffled
+            .join(cancer_encounters(tables, cancer_prefixes)
+                  .join(window_encounters(tables, start, end), CSN, "left_semi"), CSN, "left_anti")
             .withColumn("age_at_encounter", age))
     cohort = rows.groupBy(CSN).agg(
         F.max("pat_id").alias("pat_id"),
