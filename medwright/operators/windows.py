@@ -10,9 +10,12 @@ strategies below are skew-safe:
   The max is computed partially in every map task before the shuffle, so a
   hot key ships one row per task. Remaining columns ride in the struct and
   act as a deterministic tie-breaker (K37).
-* ``ties="all"`` (DENSE_RANK): a partial ``max(order)`` per key, then an equi
-  join back on ``(key, order)``. The join key includes the order value, so
-  the rows of a hot key spread over many partitions.
+* ``ties="all"`` (DENSE_RANK): a partial ``max(order)`` per key, then a semi
+  join back on ``(key, order)``. Rows of a hot key spread over partitions
+  unless they all tie on the order value; then the join relies on AQE
+  (broadcast of the small per-key side, or skew-join splitting). When only
+  "does any row at the latest value pass" is needed, ``latest_any`` avoids
+  the join entirely.
 
 ``method="window"`` keeps the literal window form for comparison.
 """
