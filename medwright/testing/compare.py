@@ -49,14 +49,37 @@ def _rows(columns, records):
     return sorted(out, key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t))
 
 
+_SPARK_TYPES = {"int": "int32", "bigint": "int64", "string": "str", "double": "float64", "date": "date",
+                "timestamp_ntz": "ts", "timestamp": "ts", "boolean": "bool", "smallint": "int16", "tinyint": "int8",
+                "float": "float32"}
+_DUCK_TYPES = {"INTEGER": "int32", "BIGINT": "int64", "VARCHAR": "str", "DOUBLE": "float64", "DATE": "date",
+               "TIMESTAMP": "ts", "BOOLEAN": "bool", "SMALLINT": "int16", "TINYINT": "int8", "FLOAT": "float32"}
+
+
+def _spark_type(t) -> str:
+    name = t.simpleString()
+    return name.replace(" ", "") if name.startswith("decimal") else _SPARK_TYPES.get(name, name)
+
+
+def _duck_type(t) -> str:
+    name = str(t).upper()
+    return name.lower().replace(" ", "") if name.startswith("DECIMAL") else _DUCK_TYPES.get(name, name)
+
+
 def compare(spark_df, con, sql: str) -> dict:
     s_cols = spark_df.columns
+    s_types = {f.name: _spark_type(f.dataType) for f in spark_df.schema.fields}
     s_rows = [tuple(r) for r in spark_df.collect()]
     cur = con.execute(sql)
     d_cols = [c[0] for c in cur.description]
+    d_types = {c[0]: _duck_type(c[1]) for c in cur.description}
     d_rows = cur.fetchall()
     res = {"spark_rows": len(s_rows), "oracle_rows": len(d_rows),
-           "columns_match": sorted(s_cols) == sorted(d_cols)}
+           "columns_match": sorted(s_cols) == sorted(d_cols),
+           "types_match": s_types == d_types}
+    if not res["types_match"]:
+        res["type_diff"] = {c: (s_types.get(c), d_types.get(c)) for c in set(s_types) | set(d_types)
+                            if s_types.get(c) != d_types.get(c)}
     if not res["columns_match"]:
         res["spark_cols"], res["oracle_cols"] = s_cols, d_cols
         res["match"] = False

@@ -37,7 +37,7 @@ AS_OF = O.MEASURE["as_of"]
 
 
 @op("S1", O.with_views(["pat_enc", "patient"], """
-    SELECT pe.pat_enc_csn_id, year(pe.contact_date) - year(p.birth_date) AS age_years
+    SELECT pe.pat_enc_csn_id, CAST(year(pe.contact_date) - year(p.birth_date) AS INTEGER) AS age_years
     FROM pat_enc pe JOIN patient p ON p.pat_id = pe.pat_id"""))
 def s1(spark, sf):
     t = tables_for(spark, sf)
@@ -57,8 +57,8 @@ def s3(spark, sf):
 
 @op("S5", O.with_views(["pat_enc_hsp"], """
     SELECT pat_enc_csn_id,
-           date_diff('day', CAST(hosp_disch_time AS DATE), CAST(hosp_admsn_time AS DATE)) AS stay_as_written,
-           date_diff('day', CAST(hosp_admsn_time AS DATE), CAST(hosp_disch_time AS DATE)) AS stay_days
+           CAST(date_diff('day', CAST(hosp_disch_time AS DATE), CAST(hosp_admsn_time AS DATE)) AS INTEGER) AS stay_as_written,
+           CAST(date_diff('day', CAST(hosp_admsn_time AS DATE), CAST(hosp_disch_time AS DATE)) AS INTEGER) AS stay_days
     FROM pat_enc_hsp"""))
 def s5(spark, sf):
     h = tables_for(spark, sf).pat_enc_hsp
@@ -787,7 +787,8 @@ def s22(spark, sf):
     import decimal
     f = tables_for(spark, sf).medicationdispensefact
     return f.select("rxnumber", "fillnumber",
-                    F.round(F.col("firstpayorpaidamount") * F.lit(decimal.Decimal("0.15")), 2).alias("copay"))
+                    F.round(F.col("firstpayorpaidamount") * F.lit(decimal.Decimal("0.15")), 2)
+                    .cast("decimal(18,2)").alias("copay"))
 
 
 @op("S24", O.with_views(["events_keyed"], "SELECT order_key, date_diff('second', a, b) // 3600 AS hours FROM span",

@@ -26,6 +26,7 @@ def test_query_matches_oracle(spark, con, name):
         return
     res = compare(df, con, ORACLE[name])
     assert res["match"], res
+    assert res["types_match"], res
 
 
 def test_entry_smoke(spark):
