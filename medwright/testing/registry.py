@@ -114,16 +114,16 @@ ALIASES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    q = {**_pipelines(), **ops.queries()}
+    q = {**_reports(), **ops.queries()}
     return {**q, **{k: q[v] for k, v in ALIASES.items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    o = {**_pipeline_sql(), **ops.oracle_sql()}
+    o = {**_report_sql(), **ops.oracle_sql()}
     return {**o, **{k: o[v] for k, v in ALIASES.items()}}
 
 
-def _pipelines() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def _reports() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "Q2": _q2("pre"),
         "Q2_post": _q2("post"),
@@ -157,7 +157,7 @@ def _pipelines() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def _pipeline_sql() -> dict[str, str]:
+def _report_sql() -> dict[str, str]:
     return {
         "Q2": oracle.q2("pre"),
         "Q2_post": oracle.q2("post"),

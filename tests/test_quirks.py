@@ -1,5 +1,5 @@
 """One focused check per remaining quirk of SURVEY §2.L (others live in
-test_functions / test_operators / test_pipelines / test_etl)."""
+test_functions / test_operators / test_reports / test_etl)."""
 import datetime as dt
 from decimal import Decimal
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from medwright.functions import predicates
 from medwright.plans import dispense, load, measures, outreach, safety, turnaround
 
-from .test_pipelines import T, _df, _measure_tables, _rx_tables, _tat_tables
+from .test_reports import T, _df, _measure_tables, _rx_tables, _tat_tables
 
 
 def test_k3_numerator_results_outside_period_count(spark):
