@@ -119,6 +119,26 @@ OUTREACH_REGION_RULES = (
     },
 )
 
+# --- FIXED VALUES: report column labels (display_names=True) ---------------
+CONCURRENT_RX_LABELS = {
+    "department_id": "DEPARTMENT_ID", "pat_id": "PAT_ID", "age_at_encounter": "Age_At_Encounter", "csn": "CSN",
+    "hsp_account_id": "HSP_ACCOUNT_ID", "adt_pat_class_c": "ADT_PAT_CLASS_C", "discharge_date": "Discharge_Date",
+    "diagnosis": "Diagnosis", "thera_class_c": "Thera_Class_C", "medication_name": "Medication_Name",
+    "med_order_date": "Med_Order_Date", "med_id": "MedId", "counts": "counts",
+    "no_concurrent_prescription_flag": "NoConcurrentPrescriptionFlag", "first_order": "FIRST_ORDER",
+}
+HYPERTENSION_LABEL = "HyperTension_Measure"
+TURNAROUND_LABELS = {
+    "pharmacy_name": "Pharmacy_Name", "rx_number": "Rx_Number", "order_id": "order_id",
+    "rx_fill_number": "rx_fill_number", "action_id": "Action_id", "flag_name": "Flag_Name", "flag_ids": "flag_ids",
+    "entered_dttm": "Entered_DtTm", "entered_user": "Entered_User", "filled_dttm": "Filled_DtTm",
+    "filled_user": "Filled_User", "verified_dttm": "Verified_DtTm", "verified_user": "Verified_User",
+    "time_to_filled": "Time_To_Filled", "time_to_verified": "Time_To_Verified", "turnaround_time": "Turnaround_Time",
+    "average_time_to_filled_minutes": "Average_Time_To_Filled_Minutes",
+    "average_time_to_verified_minutes": "Average_Time_To_Verified_Minutes",
+    "average_turn_around_time_minutes": "Average_Turn_Around_Time_Minutes",
+}
+
 # --- FIXED VALUES: incremental load and vendor schema gate ------------------
 LOAD_PROCEDURE_NAME = "dbo.LoadPatientWICResults"
 STATUS_SUCCESS = "Success"

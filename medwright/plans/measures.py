@@ -113,7 +113,7 @@ def bp_readings(tables: Mapping[str, DataFrame], den: DataFrame, flowsheet_id=K.
 def measure_bp_control(tables: Mapping[str, DataFrame], start, end, as_of,
                        dx_token=K.HYPERTENSION_ICD10_TOKEN, age_range=K.HYPERTENSION_AGE,
                        sys_max=K.SYSTOLIC_MAX, dia_max=K.DIASTOLIC_MAX,
-                       with_counts: bool = False, cache: bool = True) -> DataFrame:
+                       with_counts: bool = False, cache: bool = True, display_names: bool = False) -> DataFrame:
     """Blood-pressure control measure (Q3).
 
     Latest readings keep ties (DENSE_RANK, W3); the value test runs after
@@ -124,4 +124,5 @@ def measure_bp_control(tables: Mapping[str, DataFrame], start, end, as_of,
     readings = bp_readings(tables, den)
     controlled = (F.col("diastolic") < dia_max) & (F.col("systolic") < sys_max)
     num = latest_any(readings, "pat_id", "result_date", controlled).filter("passes")
-    return _ratio(num, den, "hypertension_measure", with_counts)
+    name = K.HYPERTENSION_LABEL if display_names else "hypertension_measure"
+    return _ratio(num, den, name, with_counts)

@@ -112,7 +112,8 @@ def qualifying_orders(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def concurrent_rx(tables: Mapping[str, DataFrame], start, end, service_areas: Iterable,
-                  rev_locs: Iterable | None = None, los_fixed: bool = False) -> DataFrame:
+                  rev_locs: Iterable | None = None, los_fixed: bool = False,
+                  display_names: bool = False) -> DataFrame:
     """Per-CSN concurrent prescription rows (Q1).
 
     The flag is 0 when two or more qualifying orders exist (K8). The four
@@ -139,9 +140,12 @@ def concurrent_rx(tables: Mapping[str, DataFrame], start, end, service_areas: It
         F.max("discharge_date").alias("discharge_date"),
         F.max("diagnosis").alias("diagnosis"))
     counts = F.coalesce(F.col("counts"), F.lit(0))
-    return (encounters.join(per_csn, "csn", "left")
-            .select("department_id", "pat_id", "age_at_encounter", "csn", "hsp_account_id", "adt_pat_class_c",
-                    "discharge_date", "diagnosis", "thera_class_c", "medication_name", "med_order_date", "med_id",
-                    counts.alias("counts"),
-                    F.when(counts > 1, 0).otherwise(1).alias("no_concurrent_prescription_flag"),
-                    F.lit("Y").alias("first_order")))
+    out = (encounters.join(per_csn, "csn", "left")
+           .select("department_id", "pat_id", "age_at_encounter", "csn", "hsp_account_id", "adt_pat_class_c",
+                   "discharge_date", "diagnosis", "thera_class_c", "medication_name", "med_order_date", "med_id",
+                   counts.alias("counts"),
+                   F.when(counts > 1, 0).otherwise(1).alias("no_concurrent_prescription_flag"),
+                   F.lit("Y").alias("first_order")))
+    if display_names:
+        out = out.select(*[F.col(c).alias(K.CONCURRENT_RX_LABELS[c]) for c in out.columns])
+    return out

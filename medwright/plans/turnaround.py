@@ -153,7 +153,8 @@ def tat_pharmacy_averages(detail: DataFrame) -> DataFrame:
 
 
 def turnaround_report(tables: Mapping[str, DataFrame], start, end, pharmacies=None, flags=None,
-                      report_option: str | None = None, cache: bool = True, **kw) -> DataFrame:
+                      report_option: str | None = None, cache: bool = True, display_names: bool = False,
+                      **kw) -> DataFrame:
     """The full report (Q8): detail + flag lists + pharmacy averages + step times.
 
     Averages join on the pharmacy id that is the *max* id of its name group,
@@ -166,7 +167,7 @@ def turnaround_report(tables: Mapping[str, DataFrame], start, end, pharmacies=No
     averages = tat_pharmacy_averages(detail).drop("pharmacy_name")
     done = F.col("filled_dttm").isNotNull() & F.col("verified_dttm").isNotNull()
     out = (detail.join(flag_lists, "action_id", "left").join(averages, "pharmacy_id", "left"))
-    return out.select(
+    report = out.select(
         "pharmacy_name", F.col("rx_number"), F.col("order_med_id").alias("order_id"),
         F.col("fill_number").alias("rx_fill_number"), "action_id",
         F.col("flag_list").alias("flag_name"), "flag_ids",
@@ -175,3 +176,6 @@ def turnaround_report(tables: Mapping[str, DataFrame], start, end, pharmacies=No
         F.col("average_time_to_filled_min").alias("average_time_to_filled_minutes"),
         F.col("average_time_to_verified_min").alias("average_time_to_verified_minutes"),
         F.col("average_turn_around_time_min").alias("average_turn_around_time_minutes"))
+    if display_names:
+        report = report.select(*[F.col(c).alias(K.TURNAROUND_LABELS[c]) for c in report.columns])
+    return report

@@ -148,3 +148,15 @@ def test_turnaround_report_quirks(spark):
     assert [r.order_med_id for r in clean.collect()] == ["2-1"]
     flagged = turnaround.tat_detail(t, "2024-01-01 00:00:00", "2024-01-31 00:00:00", report_option="3")
     assert [r.order_med_id for r in flagged.collect()] == ["1-1"]
+
+
+def test_display_names_use_report_labels(spark):
+    rx = safety.concurrent_rx(_rx_tables(spark), "2024-02-01", "2024-02-29", [9503], display_names=True)
+    assert rx.columns[:4] == ["DEPARTMENT_ID", "PAT_ID", "Age_At_Encounter", "CSN"]
+    assert "NoConcurrentPrescriptionFlag" in rx.columns and rx.count() == 3
+    tat = turnaround.turnaround_report(_tat_tables(spark), "2024-01-01 00:00:00", "2024-01-31 00:00:00",
+                                       cache=False, display_names=True)
+    assert tat.columns[0] == "Pharmacy_Name" and "Average_Turn_Around_Time_Minutes" in tat.columns
+    bp = measures.measure_bp_control(_measure_tables(spark, []), "2024-01-01", "2024-12-31", "2024-12-31",
+                                     display_names=True)
+    assert bp.columns == ["HyperTension_Measure"]
