@@ -40,10 +40,11 @@ REPORTS = {
         "zc_specimen_type", "order_last_edit"]),
 }
 
-INT_LISTS = {"service_areas", "rev_locs", "pharmacies"}
-STR_LISTS = {"flags", "npis"}
+INT_LISTS = {"service_areas", "rev_locs", "pharmacies", "resulting_labs", "age_range"}
+STR_LISTS = {"flags", "npis", "dx_prefixes", "intervention_flags", "excluded_procs"}
 BOOLS = {"los_fixed", "null_as_zero", "display_names", "with_counts", "cache"}
-INTS = {"days"}
+INTS = {"days", "service_area", "proc_id", "sys_max", "dia_max"}
+FLOATS = {"threshold"}
 
 
 def parse_params(pairs: list[str]) -> dict:
@@ -58,6 +59,8 @@ def parse_params(pairs: list[str]) -> dict:
             out[key] = value.lower() in ("1", "true", "yes")
         elif key in INTS:
             out[key] = int(value)
+        elif key in FLOATS:
+            out[key] = float(value)
         elif key == "rules":
             out[key] = json.loads(value)
         else:

@@ -17,9 +17,11 @@ def _write_tables(spark, tables: dict) -> str:
 
 def test_parse_params():
     p = cli.parse_params(["service_areas=9503,10", "flags=90024,90025", "days=30", "null_as_zero=true",
-                          'rules=[{"pos_ids": [1], "excluded_payors": ["X"]}]', "as_of=2024-01-16"])
+                          'rules=[{"pos_ids": [1], "excluded_payors": ["X"]}]', "as_of=2024-01-16",
+                          "age_range=18,75", "threshold=7.5", "service_area=9503"])
     assert p == {"service_areas": [9503, 10], "flags": ["90024", "90025"], "days": 30, "null_as_zero": True,
-                 "rules": [{"pos_ids": [1], "excluded_payors": ["X"]}], "as_of": "2024-01-16"}
+                 "rules": [{"pos_ids": [1], "excluded_payors": ["X"]}], "as_of": "2024-01-16",
+                 "age_range": [18, 75], "threshold": 7.5, "service_area": 9503}
 
 
 def test_cli_turnaround_and_dispense(spark):
