@@ -30,11 +30,12 @@ def _q3(counts=False):
     return run
 
 
-def _tat(kind, option=None, flags=None):
+def _tat(kind, option=None, flags=None, pharmacies=None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = TestTables(spark, sf_dir).tat_tables()
         if kind == "report":
-            return turnaround.turnaround_report(t, T["start"], T["end"], flags=flags, report_option=option)
+            return turnaround.turnaround_report(t, T["start"], T["end"], pharmacies=pharmacies, flags=flags,
+                                                report_option=option)
         detail = turnaround.tat_detail(t, T["start"], T["end"], flags=flags, report_option=option)
         if kind == "detail":
             return detail
@@ -49,12 +50,13 @@ def _tat(kind, option=None, flags=None):
 RX = oracle.RX
 
 
-def _rx(kind="report", los_fixed=False):
+def _rx(kind="report", los_fixed=False, rev_locs=None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = TestTables(spark, sf_dir).rx_tables()
         if kind == "cohort":
             return safety.discharge_cohort(t, RX["start"], RX["end"], RX["service_areas"])
-        return safety.concurrent_rx(t, RX["start"], RX["end"], RX["service_areas"], los_fixed=los_fixed)
+        return safety.concurrent_rx(t, RX["start"], RX["end"], RX["service_areas"], rev_locs=rev_locs,
+                                    los_fixed=los_fixed)
     return run
 
 
@@ -134,6 +136,7 @@ def _reports() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "Q1": _rx(),
         "Q1_cohort": _rx("cohort"),
         "Q1_los_fixed": _rx(los_fixed=True),
+        "Q1_rev_locs": _rx(rev_locs=[0, 2]),
         "Q4": _load("target"),
         "Q4_log": _load("log"),
         "Q5": _gate("detail"),
@@ -154,6 +157,7 @@ def _reports() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "Q8_clean": _tat("report", "2"),
         "Q8_intervention": _tat("report", "3"),
         "Q8_intervention_flags": _tat("report", "3", INTERVENTION_SAMPLE),
+        "Q8_pharmacies": _tat("report", None, None, [0, 3, 20]),
     }
 
 
@@ -168,6 +172,7 @@ def _report_sql() -> dict[str, str]:
         "Q1": oracle.q1(),
         "Q1_cohort": oracle.q1_cohort(),
         "Q1_los_fixed": oracle.q1(los_fixed=True),
+        "Q1_rev_locs": oracle.q1(rev_locs=[0, 2]),
         "Q4": oracle.q4(),
         "Q4_log": oracle.q4_log(),
         "Q5": oracle.q5(),
@@ -188,4 +193,5 @@ def _report_sql() -> dict[str, str]:
         "Q8_clean": oracle.q8("2"),
         "Q8_intervention": oracle.q8("3"),
         "Q8_intervention_flags": oracle.q8("3", INTERVENTION_SAMPLE),
+        "Q8_pharmacies": oracle.q8(pharmacies=[0, 3, 20]),
     }
