@@ -53,6 +53,7 @@ def tat_detail(tables: Mapping[str, DataFrame], start, end, pharmacies: Iterable
     None both (P17). ``flags`` and option 3 restrict rows through the
     left-joined flag table, so rows without flags drop (K24).
     """
+    report_option = None if report_option is None else str(report_option).strip()
     odi = (tables["order_disp_info"]
            .filter((F.col("action_instant") >= lit_ts(start)) & (F.col("action_instant") <= lit_ts(end))
                    & F.col("fill_service_date").isNotNull()

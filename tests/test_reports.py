@@ -146,6 +146,10 @@ def test_turnaround_report_quirks(spark):
     assert r1.average_turn_around_time_minutes is None
     clean = turnaround.tat_detail(t, "2024-01-01 00:00:00", "2024-01-31 00:00:00", report_option="2")
     assert [r.order_med_id for r in clean.collect()] == ["2-1"]
+    as_number = turnaround.tat_detail(t, "2024-01-01 00:00:00", "2024-01-31 00:00:00", report_option=2)
+    assert [r.order_med_id for r in as_number.collect()] == ["2-1"]
+    unknown = turnaround.tat_detail(t, "2024-01-01 00:00:00", "2024-01-31 00:00:00", report_option="4")
+    assert unknown.count() == 0   # no branch of the option test is true
     flagged = turnaround.tat_detail(t, "2024-01-01 00:00:00", "2024-01-31 00:00:00", report_option="3")
     assert [r.order_med_id for r in flagged.collect()] == ["1-1"]
 
