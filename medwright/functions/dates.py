@@ -21,8 +21,8 @@ def _c(x: ColumnOrName) -> Column:
 
 
 def lit_date(value: str | _dt.date) -> Column:
-    """A DATE literal."""
-    return F.lit(value if isinstance(value, _dt.date) else _dt.date.fromisoformat(value))
+    """A DATE literal (S27); datetimes and ISO timestamps are cut to their date."""
+    return F.lit(_as_date(value))
 
 
 def lit_ts(value: str | _dt.datetime) -> Column:

@@ -79,3 +79,9 @@ def test_cancer_prefixes(spark):
 def test_concat_null_as_empty(spark):
     df = spark.createDataFrame([(12, None)], "a long, b int")
     assert df.select(text.concat_ws_null_empty("a", F.lit("-"), "b").alias("x")).first()["x"] == "12-"
+
+
+def test_date_literals_accept_dates_datetimes_and_text(spark):
+    for v in (dt.date(2024, 3, 1), dt.datetime(2024, 3, 1, 15, 30), "2024-03-01", "2024-03-01 15:30:00"):
+        assert spark.range(1).select(dates.lit_date(v).alias("d")).first().d == dt.date(2024, 3, 1)
+    assert spark.range(1).select(dates.lit_ts("2024-03-01 15:30:00").alias("t")).first().t == ts("2024-03-01 15:30:00")
