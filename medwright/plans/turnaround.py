@@ -2,8 +2,9 @@
 
 Plan shape
 ----------
-``tat_detail`` joins dispenses to their action log and pivots the three
-action types into one row per order+fill (a partial+final aggregate).
+``tat_detail`` pivots the action log per action (the three action types'
+times and users, a partial+final aggregate), joins that one row per action
+to the dispenses, and keeps one row per order+fill.
 The report then attaches
 
 * per-action flag lists (``tat_flags``: join + sorted string lists),
