@@ -35,6 +35,7 @@ def main() -> None:
     rows = int(sys.argv[2]) if len(sys.argv) > 2 else 3_000_000
     from pyspark.sql import functions as F
 
+    from medwright.operators.aggs import string_agg
     from medwright.operators.windows import latest, latest_any
     from medwright.session import get_session
     # Coalescing is off so each reduce task's input reflects the key layout.
@@ -54,9 +55,19 @@ def main() -> None:
         "ties kept: window dense_rank": lambda: latest(ties, "k", "t", ties="all", method="window"),
         "ties kept: max + join back": lambda: latest(ties, "k", "t", ties="all"),
         "any at latest: max(struct(t, flag))": lambda: latest_any(ties, "k", "t", F.col("v") % 7 == 0),
+        "list per key: rows joined, then aggregated": lambda: (
+            df.join(keys, "k").groupBy("k").agg(string_agg(F.col("v"), ";").alias("l"))),
+        "list per key: aggregated, then joined 1:1": lambda: (
+            df.groupBy("k").agg(string_agg(F.col("v"), ";").alias("l")).join(keys, "k")),
     }
+    keys = base.select((F.col("id") % 1000 + 1).alias("k")).union(spark.range(1).select(F.lit(0).alias("k"))) \
+        .distinct().withColumn("label", F.concat(F.lit("key "), F.col("k").cast("string")))
     for name, build in cases.items():
         spark.sparkContext.setJobGroup(name, name)
+        # the joined variants model a large other side: no broadcast allowed
+        joined = name.startswith("list per key")
+        for conf in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.set(conf, "-1" if joined else "10MB")
         build().write.format("noop").mode("overwrite").save()
     spark.stop()
 
