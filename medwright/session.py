@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -18,10 +20,6 @@ DEFAULT_CONF = {
     # reports, right-sized partitions on large ones.
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # The report plans join 10-20 tables; inferring constraints across all of
-    # them costs seconds of driver time per query and only adds IsNotNull
-    # filters on equi-join keys, which can never match NULL anyway.
-    "spark.sql.constraintPropagation.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -44,12 +42,17 @@ def get_session(master: str | None = None, app_name: str = "medwright",
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh directory on the storage the cluster shares for checkpoints.
 
-    Uses ``spark.checkpoint.dir`` as configured for the session. Only when it
-    is unset (local tests) do we fall back to the warehouse location and
-    register it as the checkpoint directory.
+    Uses ``spark.checkpoint.dir`` (or the checkpoint directory already set on
+    the context). Where neither is set, a ``local`` master gets a temporary
+    folder of its own, because driver and executors are one process; on any
+    other master a folder of this machine would be invisible to the executors,
+    so the call raises instead.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a directory that driver and executors of {master} share")
+        base = tempfile.mkdtemp(prefix="medwright-checkpoints-")
         spark.sparkContext.setCheckpointDir(base)
     return "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex])
