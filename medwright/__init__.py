@@ -10,8 +10,6 @@ plans       End-to-end reports and loads (measures, medication safety, pharmacy
             turnaround, dispensing/payer detail, lab outreach, incremental load,
             vendor schema gate).
 sources     CSV extracts, snapshot publishing and audit logs.
-streaming   Empty by design: the reports contain no streaming operator.
-testing     Clinical views over the supplied test tables, the DuckDB oracle
             and the registry behind ``__spark_entry__``.
 cli         ``python -m medwright <report> --tables … --out …``.
 """
