@@ -64,6 +64,22 @@ def crc_held_out(value, modulus: int, remainder: int) -> bool:
     return zlib.crc32(b"" if value is None else str(value).encode()) % modulus == remainder
 
 
+def labelled(labels: DataFrame, label: str) -> DataFrame:
+    """_id and label of each id that is not held out; of labels that repeat the larger holds."""
+    return (labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", 3, 1))
+            .groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col(label)).cast("int").alias("label")))
+
+
+def training_sample(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """doc_id, label and text of the ``n`` rows of ``known`` (_id, label) with the least hash of the id.
+
+    Ids without a document don't count. The picked ids are at most ``n`` rows, so they are broadcast.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    picked = known.join(ids, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(n)
+    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id").cast("long") == F.col("_id")).select(F.col("_id").alias("doc_id"), "label", "text")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and the n + 1 offsets of its rows; nulls have length 0."""
     if column.null_count:
