@@ -221,14 +221,16 @@ def normalised(docs: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256, one row per row of ``docs``.
 
-    The rows of a group meet its entry in a plain equi-join of slim rows, whose large partitions
-    adaptive execution splits: an entry stands once, the rows of a hot group may stand anywhere.
+    The rows of a group meet its entry in a sort-merge join of slim rows, whose large partitions
+    adaptive execution splits: an entry stands once, the rows of a hot group may stand anywhere. The
+    hint keeps the entries, which grow with the input, from being broadcast (Spark only knows the size
+    of the list of files they are read from).
     """
     source = normalised(docs)
     manifest = build_index(source, owners)
     files = manifest.select("path").repartition(max(1, min(manifest.count(), 1024)))
     entries = files.mapInArrow(_read_entries(manifest.index_uri), "text_sha256 string, keep_id long, group_size long")
-    return (source.select("doc_id", "text_sha256").join(entries, "text_sha256")
+    return (source.select("doc_id", "text_sha256").join(entries.hint("merge"), "text_sha256")
             .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
 
 
