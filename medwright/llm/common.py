@@ -73,10 +73,15 @@ def labelled(labels: DataFrame, label: str) -> DataFrame:
 def training_sample(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
     """doc_id, label and text of the ``n`` rows of ``known`` (_id, label) with the least hash of the id.
 
-    Ids without a document don't count. The picked ids are at most ``n`` rows, so they are broadcast.
+    Ids without a document don't count.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("_id")).distinct()
     picked = known.join(ids, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(n)
+    return texts_of(docs, picked)
+
+
+def texts_of(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """doc_id, label and text of the rows a bounded sample names; the list of a few thousand ids is broadcast."""
     return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id").cast("long") == F.col("_id")).select(F.col("_id").alias("doc_id"), "label", "text")
 
 
