@@ -170,6 +170,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Letters, digits and all bytes of non-ASCII characters, after lower-casing.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Lower-case the Basic Latin and Latin-1 letters of UTF-8 bytes."""
+    out = LOWER[data]
+    if len(out) > 1:
+        second = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][second] += 32
+    return out
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word in a slice. No word crosses a row.
 

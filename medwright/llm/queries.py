@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from medwright.llm.decontamination import op4_decontamination
 from medwright.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from medwright.llm.langid import op7_language
 from medwright.llm.quality import op2_quality
@@ -14,6 +15,7 @@ from medwright.llm.toxicity import op5_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op7_language": op7_language,
 }

@@ -26,23 +26,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from medwright.llm.common import LOWER, hash_spans, held_out, labelled, slices, table, training_sample, with_columns, words_of
+from medwright.llm.common import LETTERS, hash_spans, held_out, labelled, lowered, slices, table, training_sample, with_columns, words_of
 
 TRAIN_DOCS = 8000
 TRAIN_WORDS = 4096
 SENTENCE_WORDS = 32
 THRESHOLD = 0.7
 
-_WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".!?\n"]] = True
 
 
 def sentence_words(data: np.ndarray, offsets: np.ndarray):
     """Word hashes, word starts and ends, and for each word its row and the number of its sentence."""
-    data = LOWER[data]
-    starts, ends, rows = words_of(data, offsets, _WORD)
+    data = lowered(data)
+    starts, ends, rows = words_of(data, offsets, LETTERS)
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends, rows, np.zeros(0, np.int64)
     sentence = np.cumsum(_BREAK[data], dtype=np.int64)[starts] + rows
