@@ -9,7 +9,7 @@ passage must cover ``LCS`` of the item, and its answer words (the rarest quarter
 present to ``ANSWER``. Reordered or reworded passages pass the first test and are judged by the other two.
 
 Words are runs of letters and digits in lower case. Defined cases: null or empty texts hold no passage and
-are clean; items of fewer than ``LEAST_WORDS`` words are not searched (any text would hold them); items that
+are clean; items of fewer than ``LEAST_WORDS`` words, or of none but the commonest words, are not searched (any text would hold them); items that
 repeat are one item, under the smallest item_id; without documents or items nothing is contaminated; extra
 columns stay as they are.
 """
@@ -28,6 +28,8 @@ from medwright.llm.common import LETTERS, hash_spans, lowered, slices, table, wo
 
 FEATURES = 1 << 16
 RANK = 192
+#: A word in more than this share of the documents (and so many more) weighs nothing.
+COMMON_SHARE, COMMON_DOCS = 0.2, 50
 STRIDE = 20  # words of half a window
 COSINE = 0.3
 LCS = 0.6
@@ -64,14 +66,15 @@ def cells_of(words: np.ndarray, rows: np.ndarray, place: np.ndarray, n: int) ->
 
 
 def idf_of(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency of every feature over all documents."""
+    """Inverse document frequency of every feature over all documents; 0 for the words that most texts share."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(FEATURES + 1, np.int64)
         for batch in batches:
             for part, data, offsets in slices(batch):
                 words, rows, _ = passage_words(data, offsets)
-                pairs = np.unique(rows * FEATURES + _features(words))
-                df[:-1] += np.bincount(pairs & (FEATURES - 1), minlength=FEATURES)
+                pairs = np.sort((rows * FEATURES + _features(words)).astype(np.uint32 if part.num_rows < 1 << 16 else np.uint64))
+                pairs = pairs[np.diff(pairs, prepend=pairs[:1] + 1) != 0]
+                df[:-1] += np.bincount((pairs & (FEATURES - 1)).astype(np.int64), minlength=FEATURES)
                 df[-1] += part.num_rows
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["feature", "df"])
@@ -79,7 +82,7 @@ def idf_of(docs: DataFrame) -> np.ndarray:
     total = docs.select("text").mapInArrow(count, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(FEATURES + 1)
     df[total.column("feature").to_numpy()] = total.column("df").to_numpy()
-    return np.log((df[-1] + 1) / (df[:-1] + 1)) + 0.05
+    return np.where(df[:-1] <= COMMON_DOCS + COMMON_SHARE * df[-1], np.log((df[-1] + 1) / (df[:-1] + 1)) + 0.05, 0.0)
 
 
 def _rows(words: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -107,6 +110,9 @@ class Space:
     item_words: list[np.ndarray]
     answers: list[np.ndarray]
 
+    def __post_init__(self) -> None:
+        self.weighted = np.ascontiguousarray(self.basis) * self.idf[np.flatnonzero(self.place >= 0)].astype(np.float32)[:, None]
+
 
 def _svd(items: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
     """Right singular vectors (features x rank) of the items' TF-IDF passages, by randomised subspace iteration.
@@ -193,6 +199,24 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+def _sums(basis: np.ndarray, place: np.ndarray, cell: np.ndarray, cells: int) -> np.ndarray:
+    """Sum of basis rows per cell. The j-th words of many cells are added at once, the fullest cells first."""
+    out = np.zeros((cells, basis.shape[1]), np.float32)
+    if not len(place):
+        return out
+    begin = np.flatnonzero(np.diff(cell, prepend=-1))
+    counts = np.diff(begin, append=len(cell))
+    order = np.argsort(-counts, kind="stable")
+    for i in range(0, len(order), 512):
+        some = order[i:i + 512]
+        held = np.zeros((len(some), basis.shape[1]), np.float32)
+        for j in range(int(counts[some[0]])):
+            m = int(np.searchsorted(-counts[some], -j, side="left"))  # cells of more than j words
+            held[:m] += basis.take(place[begin[some[:m]] + j], axis=0)
+        out[cell[begin[some]]] = held
+    return out
+
+
 def search(words: np.ndarray, rows: np.ndarray, place: np.ndarray, n: int, space: Space) -> list[list[dict]]:
     """Confirmed items of each of ``n`` rows, the best first."""
     hits: list[dict[int, dict]] = [{} for _ in range(n)]
@@ -203,15 +227,8 @@ def search(words: np.ndarray, rows: np.ndarray, place: np.ndarray, n: int, space
     f = _features(words)
     weight = np.where(counts, space.idf[f], 0)
     norms = np.bincount(cell, weight * weight, cells)
-    known = np.flatnonzero((space.place[f] >= 0) & counts)
-    latent = np.zeros((cells, space.basis.shape[1]), np.float32)
-    if len(known):
-        at, begin = np.unique(cell[known], return_index=True)
-        for i in range(0, len(at), 2048):  # some thousand cells at a time
-            lo, hi = begin[i], begin[i + 2048] if i + 2048 < len(at) else len(known)
-            some = known[lo:hi]
-            rowsum = space.basis.take(space.place[f[some]], axis=0) * weight[some, None].astype(np.float32)
-            latent[at[i:i + 2048]] = np.add.reduceat(rowsum, begin[i:i + 2048] - lo, axis=0)
+    known = np.flatnonzero((space.place[f] >= 0) & (weight > 0))
+    latent = _sums(space.weighted, space.place[f[known]], cell[known], cells)
     last = np.zeros(cells, bool)
     last[first[1:][np.diff(first) > 0] - 1] = True
     window = latent.copy()
@@ -224,7 +241,9 @@ def search(words: np.ndarray, rows: np.ndarray, place: np.ndarray, n: int, space
     for i in range(0, cells, 4096):
         for k in range(0, len(space.passages), 4096):
             cosine = window[i:i + 4096] @ space.passages[k:k + 4096].T
-            for c, p in zip(*np.nonzero(cosine >= COSINE)):
+            near = np.flatnonzero(cosine.max(axis=1) >= COSINE)
+            for c, p in zip(*np.nonzero(cosine[near] >= COSINE)):
+                c = near[c]
                 item, at = int(space.owner[p + k]), int(c + i)
                 row = int(np.searchsorted(first, at, side="right")) - 1
                 found.setdefault((row, item), []).append((at - int(first[row]), float(cosine[c, p])))
