@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from medwright.llm.decontamination import op4_decontamination
 from medwright.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from medwright.llm.langid import op7_language
+from medwright.llm.packing import op10_packing
 from medwright.llm.quality import op2_quality
+from medwright.llm.token_output import op6_token_output
 from medwright.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
+    "op6_token_output": op6_token_output,
     "op7_language": op7_language,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
