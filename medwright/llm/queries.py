@@ -13,6 +13,7 @@ from medwright.llm.packing import op10_packing
 from medwright.llm.quality import op2_quality
 from medwright.llm.token_output import op6_token_output
 from medwright.llm.toxicity import op5_toxicity
+from medwright.llm.warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
@@ -21,9 +22,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_token_output": op6_token_output,
     "op7_language": op7_language,
+    "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
+    "op9_warc": OP9_SQL,
 }
