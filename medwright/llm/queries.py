@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from medwright.llm.decontamination import op4_decontamination
 from medwright.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from medwright.llm.hmm import op8_lm_score
 from medwright.llm.langid import op7_language
 from medwright.llm.packing import op10_packing
 from medwright.llm.quality import op2_quality
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_token_output": op6_token_output,
     "op7_language": op7_language,
+    "op8_lm_score": op8_lm_score,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
