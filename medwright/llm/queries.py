@@ -10,6 +10,7 @@ from medwright.llm.decontamination import op4_decontamination
 from medwright.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from medwright.llm.hmm import op8_lm_score
 from medwright.llm.langid import op7_language
+from medwright.llm.near_dedup import op1_near_dedup
 from medwright.llm.packing import op10_packing
 from medwright.llm.quality import op2_quality
 from medwright.llm.token_output import op6_token_output
@@ -17,6 +18,7 @@ from medwright.llm.toxicity import op5_toxicity
 from medwright.llm.warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_decontamination": op4_decontamination,
