@@ -12,7 +12,11 @@ from medwright.llm import stages
 from medwright.llm.common import release, table, written
 
 STAGES = [
+    ("toxicity", stages.toxicity_stage),
     ("exact_dedup", stages.exact_dedup_stage),
+    ("near_dedup", stages.near_dedup_stage),
+    ("decontamination", stages.decontamination_stage),
+    ("packing", stages.packing_stage),
 ]
 
 #: SQL cannot express the learned filter, the signatures or the packing; tests/llm compares with brute force.
