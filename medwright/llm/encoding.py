@@ -10,19 +10,31 @@ Texts that hold the name of a special token are encoded whole.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
 
 #: Words of the newer and of the older half of the memory.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 # White space is that of Unicode, without \x1c-\x1f, which only Python counts. The letters named here are
 # letters to every pre-tokenizer; others only mean fewer cuts.
 _WORDS = re.compile(r"[^\S\x1c-\x1f]*(?:[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[^\S\x1c-\x1f]|[!-/:-@\[-`{-~0-9]|\Z)|[\S\x1c-\x1f]+)|[^\S\x1c-\x1f]+")
 
 
+#: A space and Latin-1 letters: such a word is one unit of the pre-tokenizer and goes straight to the library's model.
+_PLAIN = re.compile(r" [A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+_SAMPLE = [" a", " the", " Reading", " OVER", " naïve", " Éclair", " straße", " ÑANDÚ", " zzyzxq", " øre", " þing"]
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as the character of its number if that prints, else as one from 256 up."""
+    silent = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: chr(256 + i) for i, b in enumerate(silent)}
+
+
 class Encoder:
     """Ids of texts as little-endian uint32 bytes."""
 
@@ -30,42 +42,37 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = remembered
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        # A mark that stands between words: one id of its own, and nothing else has that id.
-        for mark in ("\n", " \x01"):
-            ids = self._ids(["a" + mark + " b" + mark])[0].tolist()
-            alone = self._ids([mark])[0].tolist()
-            if len(alone) == 1 and ids.count(alone[0]) == 2:
-                self.mark, self.mark_id = mark, alone[0]
-                break
-        else:
-            self.mark, self.mark_id = "", -1
+        self.letters = _byte_letters()
+        # How the model wants a plain word, by trial: with the space (byte-level), or bare and in lower case.
+        whole = [x.tolist() for x in self._ids(_SAMPLE)]
+        self.plain = next((f for f in (self._spaced, self._bare) if [[t.id for t in self.model.tokenize(f(w))] for w in _SAMPLE] == whole), None)
+
+    def _spaced(self, word: str) -> str:
+        return self.letters[32] + word[1:] if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+
+    def _bare(self, word: str) -> str:
+        word = word[1:].lower()
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
 
     def _ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
-        """Remember the ids of words: many to a call, with marks between them."""
-        # Only a space and a letter may begin a word beside a mark, which is white space or a symbol itself.
-        joined, single = [], []
+        """Remember the ids of words."""
+        other = []
+        plain, tokenize, known = self.plain, self.model.tokenize, self.words
         for w in words:
-            (joined if self.mark and w[0] == " " and w[1:].isalpha() else single).append(w)
-        for i in range(0, len(joined), 256):
-            some = joined[i:i + 256]
-            ids = self._ids([self.mark.join(some) + self.mark])[0]
-            ends = np.flatnonzero(ids == self.mark_id)
-            if len(ends) != len(some):
-                single += some
-                continue
-            raw, begin = ids.tobytes(), 0
-            for w, end in zip(some, (4 * ends).tolist()):
-                self.words[w] = raw[begin:end]
-                begin = end + 4
-        for i in range(0, len(single), 4096):
-            self.words.update((w, x.tobytes()) for w, x in zip(single[i:i + 4096], self._ids(single[i:i + 4096])))
+            if plain and _PLAIN.match(w):
+                known[w] = array("I", [t.id for t in tokenize(plain(w))]).tobytes()
+            else:
+                other.append(w)
+        for i in range(0, len(other), 4096):
+            known.update((w, x.tobytes()) for w, x in zip(other[i:i + 4096], self._ids(other[i:i + 4096])))
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text; null has none."""
