@@ -9,9 +9,11 @@ generated, so a signature costs little more than a pass over the elements.
 
 1. Documents with equal shingle sets collapse to the one with the least doc_id, so copies cost nothing below.
 2. Bands of ``ROWS`` coordinates are joined. In a bucket nobody is paired with everybody: the members are compared with
-   the least one, links are gathered into components, and only buckets that still hold several components go
-   on: some members of the smaller ones are compared with all of the others and leave, until one component is left. So every
-   pair of a bucket is either compared or already in one component, and large groups of copies cost one comparison a member.
+   the least one, links are gathered into components, and only buckets that still hold several components go on.
+   There members outside the largest component are compared with those of other components, as far as
+   sizes and the triangle inequality (Jaccard distance is a metric, and the distances from the least member are known)
+   leave a link possible, and leave the bucket; some in the first round, eight times as many in each next one. So every pair of a bucket is compared, or
+   ruled out, or already in one component, and a large group of copies costs about one comparison a member.
 3. A comparison is exact: the Jaccard similarity of both sets of 32-bit shingle hashes.
 4. Components come from alternating large-star and small-star steps.
 
@@ -37,8 +39,8 @@ WORDS = 5
 SIMILARITY = 0.8
 ROWS = 4
 BANDS = 20
-#: Members of a bucket that are compared with the others in one later round.
-CENTRES = 8
+#: Members of a bucket outside its largest component that are compared in the first later round.
+CENTRES = 32
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 16.0)])))
@@ -131,22 +133,20 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SKETCH)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the Jaccard similarity of their sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            j = np.zeros(batch.num_rows)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= similarity * (len(x) + len(y) - both) - 1e-9:
-                    keep.append(i)
-            kept = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+                j[i] = both / (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j)], names=["a", "b", "similarity"])
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")).hint("merge")
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")).hint("merge")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -192,35 +192,45 @@ def link_classes(sketches: DataFrame, similarity: float = SIMILARITY) -> tuple[D
     sets = written(named.select(F.col("doc_id").alias("id"), "fp1", "fp2", "n", "shingles")
                    .join(groups.select("fp1", "fp2", "n", "id").hint("merge"), ["fp1", "fp2", "n", "id"], "left_semi")
                    .join(buckets.select("id").distinct().hint("merge"), "id", "left_semi").select("id", "shingles"), "near-sets")
+    close = similarity - 1e-9
 
     def fits(n, m):
-        return F.least(n, m) >= F.greatest(n, m) * (similarity - 1e-9)
+        return F.least(n, m) >= F.greatest(n, m) * close
 
-    pairs = buckets.filter((F.col("id") != F.col("centre.id")) & fits(F.col("n"), F.col("centre.n"))).select(F.col("id").alias("x"), F.col("centre.id").alias("y"))
-    tried = written(_ordered(pairs), "near-pairs")
-    links = written(_similar(tried, sets, similarity), "near-links")
+    rest = buckets.filter(F.col("id") != F.col("centre.id"))  # the centre meets all
+    pairs = rest.filter(fits(F.col("n"), F.col("centre.n"))).select(F.col("id").alias("x"), F.col("centre.id").alias("y"))
+    tried = written(_compared(_ordered(pairs), sets), "near-pairs")
+    links = tried.filter(F.col("similarity") >= close).select("a", "b")
     classes = components(links)
-    left = buckets.filter(F.col("id") != F.col("centre.id")).select("key", "id", "n")  # the centre has met all
+    # Every member's distance from the first centre; where sizes alone rule a link out it stays open.
+    met_first = tried.select(F.col("b").alias("id"), F.col("a").alias("first"), (1 - F.col("similarity")).alias("d")).hint("merge")
+    left = written(rest.select("key", "id", "n", F.col("centre.id").alias("first")).join(met_first, ["id", "first"], "left").select("key", "id", "n", "d"), "near-rest")
+    tried = tried.select("a", "b")
+    limit = CENTRES
     while True:
-        state = left.join(classes.hint("merge"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-        parts = state.groupBy("key", "component").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("centre"))
-        # Buckets that still hold several components, and the largest of each bucket's.
-        several = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("members", "component")).alias("largest"), F.min(F.struct("members", "component")).alias("smallest")).filter("parts > 1")
-        some = F.pmod(F.xxhash64("component", "key"), F.greatest(F.lit(1), F.floor(F.col("parts") / CENTRES))) == 0
-        centres = parts.join(several.hint("merge"), "key").filter((F.col("component") != F.col("largest.component")) & (some | (F.col("component") == F.col("smallest.component"))))
-        centres = written(centres.select("key", F.col("component").alias("own"), "centre"), "near-centres")
-        if centres.isEmpty():
+        state = left.join(classes.hint("merge"), "id", "left").select("key", "id", "n", "d", F.coalesce("component", "id").alias("component"))
+        parts = state.groupBy("key", "component").agg(F.count("*").alias("members"))
+        # Buckets that still hold several components, and the largest of them.
+        several = (parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("members").alias("all"), F.max(F.struct("members", "component")).alias("largest"))
+                   .filter("parts > 1").withColumn("share", F.greatest(F.lit(1), F.floor((F.col("all") - F.col("largest.members")) / limit))))
+        open_ = written(state.join(several.select("key", "share", F.col("largest.component").alias("largest")).hint("merge"), "key"), "near-open")
+        if open_.isEmpty():
             break
-        met = state.join(centres.hint("merge"), "key").filter((F.col("component") != F.col("own")) & fits(F.col("n"), F.col("centre.n")))
-        pairs = written(_ordered(met.select(F.col("id").alias("x"), F.col("centre.id").alias("y"))).join(tried.hint("merge"), ["a", "b"], "left_anti"), "near-pairs")
-        tried = tried.unionByName(pairs)
-        found = written(_similar(pairs, sets, similarity), "near-links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
+        members = open_.select("key", "id", "n", "d", "component")
+        centres = (open_.filter((F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("id", "key"), F.col("share")) == 0))
+                   .select("key", F.col("id").alias("c_id"), F.col("n").alias("c_n"), F.col("d").alias("c_d"), F.col("component").alias("c_component")))
+        # Distances obey the triangle inequality: two members whose distances from the first centre differ too much can't be close.
+        apart = F.coalesce(F.abs(F.col("d") - F.col("c_d")) > 1 - close, F.lit(False))
+        met = members.join(centres.hint("merge"), "key").filter((F.col("component") != F.col("c_component")) & fits(F.col("n"), F.col("c_n")) & ~apart)
+        pairs = _ordered(met.select(F.col("id").alias("x"), F.col("c_id").alias("y"))).join(tried.hint("merge"), ["a", "b"], "left_anti")
+        found = written(_compared(pairs, sets), "near-pairs")
+        tried = tried.unionByName(found.select("a", "b"))
+        new = found.filter(F.col("similarity") >= close).select("a", "b")
+        if not new.isEmpty():
+            links = links.unionByName(new)
             classes = components(links)
-        open_keys = centres.select("key").distinct()
-        left = written(left.join(open_keys.hint("merge"), "key", "left_semi")
-                       .join(centres.select("key", F.col("centre.id").alias("id")).hint("merge"), ["key", "id"], "left_anti"), "near-buckets")
+        left = written(members.select("key", "id", "n", "d").join(centres.select("key", F.col("c_id").alias("id")).hint("merge"), ["key", "id"], "left_anti"), "near-rest")
+        limit *= 8
     release(spark, buckets, sets)
     return groups, classes
 
