@@ -1,4 +1,4 @@
-"""Command line: run one report over a set of tables and write a CSV extract.
+"""Command line: run one report, the vendor gate or a daily load over a set of tables and write a CSV extract.
 
     python -m medwright <report> --tables <dir-or-database> --out <path> [--param key=value ...]
 
@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import argparse
 import json
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import dispense, measures, outreach, safety, turnaround
+from . import constants as K
+from .plans import dispense, load, measures, outreach, safety, schema_gate, turnaround
 
 REPORTS = {
     "concurrent-rx": (safety.concurrent_rx, [
@@ -43,7 +45,7 @@ REPORTS = {
 INT_LISTS = {"service_areas", "rev_locs", "pharmacies", "resulting_labs", "age_range"}
 STR_LISTS = {"flags", "npis", "dx_prefixes", "intervention_flags", "excluded_procs"}
 BOOLS = {"los_fixed", "null_as_zero", "display_names", "with_counts", "cache"}
-INTS = {"days", "service_area", "proc_id", "sys_max", "dia_max"}
+INTS = {"days", "keep_snapshots", "service_area", "proc_id", "sys_max", "dia_max"}
 FLOATS = {"threshold"}
 
 
@@ -74,6 +76,25 @@ def load_tables(spark: SparkSession, names: list[str], source: str, catalog: boo
     return {n: spark.read.parquet(f"{source.rstrip('/')}/{n}") for n in names}
 
 
+def vendor_gate(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per expected column of the vendor's table (Q5)."""
+    source = tables["patientwic_source"]
+    declared = schema_gate.declared_lengths(source)
+    actual = schema_gate.actual_columns(source, "dbo", "PatientWIC_Source", declared or None)
+    return schema_gate.validate_schema(schema_gate.expected_schema(source.sparkSession), actual, length_rule="declared" if declared else "observed")
+
+
+def daily_load(tables: Mapping[str, DataFrame], target_root: str, log_path: str, load_date: str, **kw) -> DataFrame:
+    """Run one load (Q4); its audit values as a row."""
+    source = tables["patientwic_source"]
+    audit = load.run_load(source.sparkSession, source, target_root, log_path, load_date, **kw)
+    return source.sparkSession.createDataFrame([audit])
+
+
+REPORTS["vendor-gate"] = (vendor_gate, ["patientwic_source"])
+REPORTS["daily-load"] = (daily_load, ["patientwic_source"])
+
+
 def run(spark: SparkSession, report: str, source: str, params: dict, catalog: bool = False) -> DataFrame:
     fn, names = REPORTS[report]
     return fn(load_tables(spark, names, source, catalog), **params)
@@ -93,4 +114,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         spark = get_session(app_name=f"medwright-{args.report}")
     from .sources.sinks import write_extract
     df = run(spark, args.report, args.tables, parse_params(args.param), args.catalog)
-    return write_extract(df, args.out, single_file=args.single_file)
+    out = write_extract(df, args.out, single_file=args.single_file)
+    if args.report == "vendor-gate" and df.filter("is_mismatch").count():
+        raise SystemExit(f"{K.SCHEMA_GATE_MESSAGE} (details in {out})")
+    return out

@@ -39,7 +39,7 @@ def lit_ts(value: str | _dt.datetime) -> Column:
 
 def trunc_div(a: Column, b: int) -> Column:
     """Integer division truncating toward zero, like ``int / int`` in T-SQL."""
-    return (a / F.lit(b)).cast("long")
+    return F.call_function("div", a.cast("long"), F.lit(b).cast("long"))
 
 
 def year_boundaries(start: ColumnOrName, end: ColumnOrName) -> Column:

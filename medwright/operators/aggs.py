@@ -59,10 +59,19 @@ def aligned_lists(order_key: ColumnOrName, fields: Mapping[str, ColumnOrName], s
     return {n: _join_or_null(_non_null(F.transform(rows, field(n))), sep) for n in names}
 
 
+def aligned_fields(rows: str, names, sep: str) -> dict[str, Column]:
+    """Like ``aligned_lists``, from a column that already holds the group's
+    sorted rows (an array of structs whose fields are text)."""
+    def field(name):
+        return lambda r: r[name]
+
+    return {n: _join_or_null(_non_null(F.transform(rows, field(n))), sep) for n in names}
+
+
 def int_avg(value: ColumnOrName) -> Column:
     """``AVG(int)`` as SQL Server computes it: an integer, truncated toward zero."""
-    v = _c(value)
-    return (F.sum(v) / F.count(v)).cast("long")
+    v = _c(value).cast("long")
+    return F.call_function("div", F.sum(v), F.nullif(F.count(v), F.lit(0)))
 
 
 def count_flag(value: ColumnOrName, more_than: int = 1) -> Column:

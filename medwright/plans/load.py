@@ -14,16 +14,17 @@ Pure part (``load_incremental``): DataFrames in, DataFrames out.
   Re-running with the same ``run_ts`` gives the same target (idempotent);
 * the audit row (IO9, IO10) as a one-row DataFrame of counts.
 
-Side-effecting part (``run_load``): gate, publish a new target snapshot and
+Side-effecting part (``run_load``): stage, gate, write a new target snapshot and
 switch the pointer only when everything succeeded (U3), count rows with
-``Observation`` during that single write (U2), append a ``Success`` row, or
-on any error append a ``Failed`` row with the real load date (K29) and
-re-raise (U4). The old snapshot is untouched by a failed run.
+``Observation`` during those writes (U2), append a ``Success`` row just before the
+switch, or on any error a ``Failed`` row with the counts reached and the real load
+date (K29), and re-raise (U4). The old snapshot is untouched by a failed run.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -36,10 +37,6 @@ from ..functions.dates import lit_date, lit_ts
 from ..operators.windows import latest
 from ..sources import sinks
 
-TARGET_SCHEMA = T.StructType([
-    T.StructField("patientid", T.LongType()), T.StructField("wicresult", T.StringType()),
-    T.StructField("createddatetime", T.TimestampNTZType()), T.StructField("lastupdateddatetime", T.TimestampNTZType()),
-])
 LOG_SCHEMA = T.StructType([
     T.StructField("procedure_name", T.StringType()), T.StructField("load_date", T.DateType()),
     T.StructField("rows_staged", T.LongType()), T.StructField("duplicate_rows_deleted", T.LongType()),
@@ -71,17 +68,20 @@ def dedup(staged: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 def merge_upsert(target: DataFrame, updates: DataFrame, key: str, value_cols: Sequence[str], run_ts,
                  created: str = "createddatetime", updated: str = "lastupdateddatetime") -> DataFrame:
-    """MERGE: update matched keys, insert new ones, keep the rest."""
+    """MERGE: update matched keys, insert new ones, keep the rest. A NULL key
+    matches nothing: stored rows with one stay, incoming ones are inserted whole."""
     ts = lit_ts(run_ts)
-    t = target.select(F.col(key).alias("_tk"), *[F.col(c).alias(f"_t_{c}") for c in value_cols],
+    # Marker columns say which side a row came from; the key itself cannot,
+    # because a NULL key (which matches nothing, as in MERGE) is on both.
+    t = target.select(F.lit(True).alias("_in_t"), F.col(key).alias("_tk"), *[F.col(c).alias(f"_t_{c}") for c in value_cols],
                       F.col(created).alias("_tc"), F.col(updated).alias("_tu"))
-    s = updates.select(F.col(key).alias("_sk"), *[F.col(c).alias(f"_s_{c}") for c in value_cols])
+    s = updates.select(F.lit(True).alias("_in_s"), F.col(key).alias("_sk"), *[F.col(c).alias(f"_s_{c}") for c in value_cols])
     j = t.join(s, F.col("_tk") == F.col("_sk"), "full")
-    hit = F.col("_sk").isNotNull()
+    hit, known = F.col("_in_s").isNotNull(), F.col("_in_t").isNotNull()
     return j.select(
-        F.coalesce("_sk", "_tk").alias(key),
+        F.when(hit, F.col("_sk")).otherwise(F.col("_tk")).alias(key),
         *[F.when(hit, F.col(f"_s_{c}")).otherwise(F.col(f"_t_{c}")).alias(c) for c in value_cols],
-        F.when(F.col("_tk").isNotNull(), F.col("_tc")).otherwise(ts).alias(created),
+        F.when(known, F.col("_tc")).otherwise(ts).alias(created),
         F.when(hit, ts).otherwise(F.col("_tu")).alias(updated))
 
 
@@ -121,32 +121,61 @@ def initial_target(source: DataFrame, before, run_ts, key: str = "patientid",
                           lit_ts(run_ts).alias("lastupdateddatetime"))
 
 
+def target_schema(source: DataFrame, key: str, value_cols: Sequence[str]) -> T.StructType:
+    """The target's schema, from the source's key and value fields."""
+    stamps = [T.StructField(c, T.TimestampNTZType()) for c in ("createddatetime", "lastupdateddatetime")]
+    return T.StructType([T.StructField(c, source.schema[c].dataType) for c in (key, *value_cols)] + stamps)
+
+
 def run_load(spark: SparkSession, source: DataFrame, target_root: str, log_path: str, load_date,
              run_ts: dt.datetime | None = None, key: str = "patientid",
              order: Sequence[str] = ("wicresultdate", "wicresult"), value_cols: Sequence[str] = ("wicresult",),
-             gate=None) -> dict:
-    """Run one daily load end to end; returns the audit values written."""
+             gate=None, date_col: str = "wicresultdate", closed: str = "both",
+             partition_by: list[str] | None = None, keep_snapshots: int | None = None) -> dict:
+    """Run one daily load end to end; returns the audit values written.
+
+    Steps, each of which leaves its count behind when it ends, so a Failed row
+    reports how far the load came: the slice is staged to a new directory, the
+    kept rows are counted, the new snapshot is written. The Success row is
+    appended after the snapshot is complete and before the pointer moves: a
+    failed append leaves the old target live, and an error while the pointer
+    moves adds a Failed row after it, so the last row for a run always holds.
+    ``keep_snapshots`` removes older snapshots once the new one is live.
+    """
     run_ts = run_ts or dt.datetime.now().replace(microsecond=0)
-    staged_n = deleted_n = merged_n = 0
+    counts = {"staged": 0, "kept": 0}
+
+    def log(status: str) -> None:
+        _append_log(spark, log_path, load_date, counts["staged"], counts["staged"] - counts["kept"] if counts["kept"] else 0,
+                    counts["kept"], status, run_ts)
+
     try:
+        stage_path = f"{target_root.rstrip('/')}/_stage-{uuid.uuid4().hex}"
+        observed = Observation("staged")
+        stage_slice(source, load_date, date_col, closed).observe(observed, F.count(F.lit(1)).alias("n")).write.parquet(stage_path)
+        counts["staged"] = observed.get["n"]
         if gate is not None:
             gate(source)
+        staged = spark.read.schema(source.schema).parquet(stage_path)
         target = sinks.read_table(spark, target_root)
         if target is None:
-            target = spark.createDataFrame([], TARGET_SCHEMA)
-        obs_staged, obs_kept = Observation("staged"), Observation("kept")
-        staged = stage_slice(source, load_date).observe(obs_staged, F.count(F.lit(1)).alias("n"))
-        kept = dedup(staged, key, order).observe(obs_kept, F.count(F.lit(1)).alias("n"))
+            target = spark.createDataFrame([], target_schema(source, key, value_cols))
+        kept_seen = Observation("kept")
+        kept = dedup(staged, key, order).observe(kept_seen, F.count(F.lit(1)).alias("n"))
         new_target = merge_upsert(target, kept.select(key, *value_cols), key, value_cols, run_ts)
-        sinks.publish_snapshot(new_target, target_root)
-        staged_n, merged_n = obs_staged.get["n"], obs_kept.get["n"]
-        deleted_n = staged_n - merged_n
-        status = K.STATUS_SUCCESS
+        path = sinks.write_snapshot(new_target, target_root, partition_by)
+        counts["kept"] = kept_seen.get["n"]
+        log(K.STATUS_SUCCESS)
+        sinks.switch_pointer(spark, target_root, path)
     except Exception:
-        _append_log(spark, log_path, load_date, staged_n, deleted_n, merged_n, K.STATUS_FAILED, run_ts)
+        log(K.STATUS_FAILED)
         raise
-    _append_log(spark, log_path, load_date, staged_n, deleted_n, merged_n, status, run_ts)
-    return {"rows_staged": staged_n, "duplicate_rows_deleted": deleted_n, "rows_merged": merged_n, "status": status}
+    finally:
+        sinks.remove(spark, stage_path)
+    if keep_snapshots:
+        sinks.prune_snapshots(spark, target_root, keep_snapshots)
+    return {"rows_staged": counts["staged"], "duplicate_rows_deleted": counts["staged"] - counts["kept"], "rows_merged": counts["kept"],
+            "status": K.STATUS_SUCCESS}
 
 
 def _append_log(spark, log_path, load_date, staged, deleted, merged, status, run_ts) -> None:

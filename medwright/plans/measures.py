@@ -24,6 +24,7 @@ from .. import constants as K
 from ..functions.dates import exact_age, fmt_mdy, lit_date
 from ..functions.text import contains, percent_text, split_pair, starts_with_any
 from ..operators.windows import latest, latest_any
+from ..session import holds
 
 
 def denominator(tables: Mapping[str, DataFrame], start, end, as_of, dx_match, age_range) -> DataFrame:
@@ -35,7 +36,9 @@ def denominator(tables: Mapping[str, DataFrame], start, end, as_of, dx_match, ag
     problems = pl.filter(F.col("problem_status_c") == K.PROBLEM_ACTIVE).select("pat_id", "dx_id")
     dx = edg.filter(dx_match("current_icd10_list")).select("dx_id", "current_icd10_list")
     age = exact_age("birth_date", lit_date(as_of))
-    return (visits.join(pat.select("pat_id", "birth_date"), "pat_id")
+    # A visit only qualifies its patient: as a semi-join it never multiplies
+    # the patient's problems, however often they come.
+    return (pat.select("pat_id", "birth_date").join(visits, "pat_id", "left_semi")
             .join(problems, "pat_id")
             .join(dx, "dx_id")
             .filter(age.between(*age_range))
@@ -57,7 +60,7 @@ def _ratio(num: DataFrame, den: DataFrame, name: str, with_counts: bool) -> Data
     cols = [percent_text("numerator", "denominator").alias(name)]
     if with_counts:
         cols = ["numerator", "denominator", *cols]
-    return out.select(*cols)
+    return holds(out.select(*cols), den)
 
 
 def a1c_candidates(tables: Mapping[str, DataFrame], den: DataFrame,
@@ -107,7 +110,16 @@ def bp_readings(tables: Mapping[str, DataFrame], den: DataFrame, flowsheet_id=K.
     systolic, diastolic = split_pair("meas_value")
     return (enc.join(rec, "inpatient_data_id").join(meas, "fsd_id")
             .select("pat_id", F.col("recorded_time").alias("result_date"),
-                    systolic.alias("systolic"), diastolic.alias("diastolic")))
+                    systolic.alias("systolic"), diastolic.alias("diastolic"), "meas_value"))
+
+
+def rejected_readings(tables: Mapping[str, DataFrame], start, end, as_of, dx_token=K.HYPERTENSION_ICD10_TOKEN,
+                      age_range=K.HYPERTENSION_AGE) -> DataFrame:
+    """How many readings of denominator patients there are, and how many have
+    text that is not ``sys/dia`` and so parse to NULL (K31)."""
+    den = denominator(tables, start, end, as_of, lambda c: contains(c, dx_token), age_range)
+    bad = F.col("meas_value").isNotNull() & (F.col("systolic").isNull() | F.col("diastolic").isNull())
+    return bp_readings(tables, den).agg(F.count(F.lit(1)).alias("readings"), F.count_if(bad).alias("rejected"))
 
 
 def measure_bp_control(tables: Mapping[str, DataFrame], start, end, as_of,

@@ -12,8 +12,8 @@ Two aggregation levels, as in the report definition:
 The qualifying-orders subquery joins the cohort only to restrict orders to
 cohort encounters. Here orders (and diagnosis codes) are restricted by a
 semi-join to the encounters discharged in the window — one filtered scan,
-a superset of the cohort — and aggregated per CSN before the final left
-join, which then matches the cohort 1:1. The cohort is consumed once, never
+a superset of the cohort — and aggregated per encounter before the left
+join, which matches the cohort 1:1 and drops the rest. The cohort is consumed once, never
 self-joined, and no hot encounter is fanned out through a join.
 """
 
@@ -28,7 +28,7 @@ from .. import constants as K
 from ..functions.dates import day_boundaries, fmt_iso, inclusive_date_window, null_or_sentinel, year_boundaries
 from ..functions.predicates import not_equal, optional_in, required_in
 from ..functions.text import starts_with_any
-from ..operators.aggs import aligned_lists, string_agg
+from ..operators.aggs import aligned_fields
 
 CSN = "pat_enc_csn_id"
 
@@ -43,9 +43,10 @@ def cancer_encounters(tables: Mapping[str, DataFrame], prefixes=K.CANCER_ICD10_P
 def encounter_codes(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(encounter, primary code) through two left joins; the LINE = 1 test sits
     in the join condition so encounters without a code keep a NULL (J4)."""
-    icd = tables["edg_current_icd10"].filter(F.col("line") == 1).select("dx_id", "code")
-    edg = tables["clarity_edg"].select("dx_id")
-    return tables["pat_enc_dx"].select(CSN, "dx_id").join(edg, "dx_id", "left").join(icd, "dx_id", "left").select(CSN, "code")
+    icd = tables["edg_current_icd10"].filter(F.col("line") == 1).select(F.col("dx_id").alias("edg_dx_id"), "code")
+    edg = tables["clarity_edg"].select("dx_id", F.col("dx_id").alias("edg_dx_id"))
+    # The code hangs on the EDG row, so a dx without one has no code.
+    return tables["pat_enc_dx"].select(CSN, "dx_id").join(edg, "dx_id", "left").join(icd, "edg_dx_id", "left").select(CSN, "dx_id", "code")
 
 
 def discharge_cohort(tables: Mapping[str, DataFrame], start, end, service_areas: Iterable,
@@ -81,16 +82,19 @@ def discharge_cohort(tables: Mapping[str, DataFrame], start, end, service_areas:
         F.max("hsp_account_id").alias("hsp_account_id"),
         F.max("adt_pat_class_c").alias("adt_pat_class_c"),
         F.max(F.to_date("hosp_disch_time")).alias("discharge_date"),
-        F.max("department_id").alias("department_id"))
+        F.max("department_id").alias("department_id"),
+        F.count(F.lit(1)).alias("_rows"))
     # The code list is aggregated per encounter before it meets the cohort
     # (map-side partial lists), so an encounter with a huge number of codes is
     # never shipped row by row through a join. Codes are first limited to
     # encounters discharged in the window: a cheap superset of the cohort.
     codes = (encounter_codes(tables).join(window_encounters(tables, start, end), CSN, "left_semi")
-             .groupBy(CSN).agg(string_agg("code", "; ").alias("diagnosis")))
+             .groupBy(CSN).agg(F.array_sort(F.collect_list("code")).alias("_codes")))
+    # An encounter of several CSNs repeats its codes once per joined row (K9).
+    repeated = F.flatten(F.transform("_codes", lambda c: F.array_repeat(c, F.col("_rows").cast("int"))))
     return cohort.join(codes, CSN, "left").select(
         CSN, "pat_id", "age_at_encounter", "csn", "hsp_account_id", "adt_pat_class_c", "discharge_date",
-        "diagnosis", "department_id")
+        F.when(F.size("_codes") > 0, F.array_join(repeated, "; ")).alias("diagnosis"), "department_id")
 
 
 def window_encounters(tables: Mapping[str, DataFrame], start, end) -> DataFrame:
@@ -118,32 +122,33 @@ def concurrent_rx(tables: Mapping[str, DataFrame], start, end, service_areas: It
 
     The flag is 0 when two or more qualifying orders exist (K8). The four
     medication lists are ordered by order id so their entries line up (A11).
-    Orders are grouped by the external CSN, as the report groups its joined
-    rows, but aggregated before they meet the cohort (semi-join to the
-    window's encounters, partial + final aggregation), so no encounter's
-    orders are fanned out through a join into one task.
+    Orders are aggregated per encounter (semi-join to the window's encounters,
+    partial + final aggregation), meet the cohort 1:1, and are flattened per
+    external CSN: only cohort encounters contribute to a CSN they share with
+    others, and a NULL CSN keeps its orders.
     """
     cohort = discharge_cohort(tables, start, end, service_areas, rev_locs, los_fixed)
-    meds = (qualifying_orders(tables).join(window_encounters(tables, start, end), CSN, "left_semi")
-            .join(tables["ept_csn"].select(F.col("uci").alias(CSN), "csn"), CSN)
-            .select("csn", "order_med_id", "thera_class_c", "name", "ordering_date"))
-    lists = aligned_lists("order_med_id", {
-        "thera_class_c": "thera_class_c", "medication_name": "name",
-        "med_order_date": fmt_iso("ordering_date"), "med_id": "order_med_id"}, "; ")
-    per_csn = meds.groupBy("csn").agg(*[c.alias(n) for n, c in lists.items()], F.count("order_med_id").alias("counts"))
-    encounters = cohort.groupBy("csn").agg(
+    row = F.struct(F.col("order_med_id").alias("_k"), F.col("thera_class_c").cast("string").alias("thera_class_c"),
+                   F.col("name").alias("medication_name"), fmt_iso("ordering_date").alias("med_order_date"),
+                   F.col("order_med_id").cast("string").alias("med_id"))
+    orders = (qualifying_orders(tables).join(window_encounters(tables, start, end), CSN, "left_semi")
+              .groupBy(CSN).agg(F.collect_list(F.when(F.col("order_med_id").isNotNull(), row)).alias("_orders")))
+    encounters = (cohort.join(orders, CSN, "left").groupBy("csn").agg(
         F.max("department_id").alias("department_id"),
         F.max("pat_id").alias("pat_id"),
         F.max("age_at_encounter").alias("age_at_encounter"),
         F.max("hsp_account_id").alias("hsp_account_id"),
         F.max("adt_pat_class_c").alias("adt_pat_class_c"),
         F.max("discharge_date").alias("discharge_date"),
-        F.max("diagnosis").alias("diagnosis"))
-    counts = F.coalesce(F.col("counts"), F.lit(0))
-    out = (encounters.join(per_csn, "csn", "left")
+        F.max("diagnosis").alias("diagnosis"),
+        F.array_sort(F.flatten(F.collect_list("_orders"))).alias("_orders"))
+        .withColumns({**aligned_fields("_orders", ["thera_class_c", "medication_name", "med_order_date", "med_id"], "; "),
+                      "counts": F.size("_orders").cast("long")}))
+    counts = F.col("counts")
+    out = (encounters
            .select("department_id", "pat_id", "age_at_encounter", "csn", "hsp_account_id", "adt_pat_class_c",
                    "discharge_date", "diagnosis", "thera_class_c", "medication_name", "med_order_date", "med_id",
-                   counts.alias("counts"),
+                   "counts",
                    F.when(counts > 1, 0).otherwise(1).alias("no_concurrent_prescription_flag"),
                    F.lit("Y").alias("first_order")))
     if display_names:

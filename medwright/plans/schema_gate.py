@@ -4,9 +4,9 @@ actual columns and fail the load before any data is written.
 The expected schema is data (IO11, IO12). The actual columns (IO13) come
 from the source DataFrame: names and types from its schema, and string
 lengths *measured* over the data in one distributed aggregation, because
-Parquet files carry no declared ``varchar(n)``. Catalog tables that do
-declare lengths can pass ``declared_lengths`` and use ``length_rule="declared"``
-(the report's ``<>`` test); for files the rule is "observed length exceeds
+Parquet files carry no declared ``varchar(n)``. For catalog tables pass
+``declared_lengths(df)``, which reads the declared lengths, and use
+``length_rule="declared"`` (the report's ``<>`` test); for files the rule is "observed length exceeds
 the expected maximum".
 
 Matching on schema, table and column names ignores case, as the usual
@@ -16,6 +16,7 @@ SQL Server collation does. Extra vendor columns do not fail the gate (K30);
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,16 @@ def sql_type_name(dtype: T.DataType) -> str:
     return SQL_TYPE_NAMES.get(name, name)
 
 
+def declared_lengths(df: DataFrame) -> dict[str, int]:
+    """Declared ``char(n)``/``varchar(n)`` lengths of a catalog table's columns.
+
+    Spark reads such columns as strings and keeps the declared type in the
+    field's metadata; files carry none, so the result is empty for them.
+    """
+    found = {f.name: re.fullmatch(r"(?:var)?char\((\d+)\)", f.metadata.get("__CHAR_VARCHAR_TYPE_STRING", "")) for f in df.schema.fields}
+    return {name: int(m[1]) for name, m in found.items() if m}
+
+
 def actual_columns(df: DataFrame, table_schema: str, table_name: str,
                    declared_lengths: Mapping[str, int] | None = None) -> DataFrame:
     """One row per source column: schema, table, column, SQL type name and

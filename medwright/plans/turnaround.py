@@ -2,12 +2,13 @@
 
 Plan shape
 ----------
-``tat_detail`` pivots the action log per action (the three action types'
-times and users, a partial+final aggregate), joins that one row per action
-to the dispenses, and keeps one row per order+fill.
+``tat_detail`` takes the window's dispenses first, cuts the action log to their
+actions by a semi-join, pivots it per action (the three action types' times and
+users, a partial+final aggregate), joins that one row per action to the
+dispenses, and keeps one row per order+fill.
 The report then attaches
 
-* per-action flag lists (``tat_flags``: join + sorted string lists),
+* per-action flag lists (``tat_flags``: cut to the detail's actions, listed, then joined 1:1),
 * per-pharmacy-name integer averages (``tat_pharmacy_averages``),
 * per-row step durations (``tat_step_durations``).
 
@@ -30,7 +31,8 @@ from .. import constants as K
 from ..functions.dates import duration_text, lit_ts, minute_boundaries
 from ..functions.predicates import as_numbers, not_equal, optional_in
 from ..functions.text import concat_ws_null_empty
-from ..operators.aggs import aligned_lists, int_avg, pivot_max
+from ..operators.aggs import aligned_fields, int_avg, pivot_max
+from ..session import holds
 
 DETAIL_COLUMNS = ["pharmacy_name", "rx_number", "fill_number", "pharmacy_id", "entered_dttm", "entered_user",
                   "filled_dttm", "filled_user", "verified_dttm", "verified_user", "action_id", "order_med_id"]
@@ -69,7 +71,6 @@ def tat_detail(tables: Mapping[str, DataFrame], start, end, pharmacies: Iterable
     link = tables["ord_act_ord_info"].select("action_id", F.col("order_id").alias("order_med_id"),
                                              F.col("order_date").alias("contact_date_real"))
     acts = tables["ord_act_ot"].filter(F.col("action_type_c").isin(K.ACTION_ENTERED, K.ACTION_FILLED, K.ACTION_VERIFIED))
-    verified = tables["ord_act_ot"].filter(F.col("action_type_c") == K.ACTION_VERIFIED).select("action_id")
     emp = tables["clarity_emp"].select(F.col("epic_emp_id").alias("user_id"), F.col("name").alias("user_name"))
 
     rows = (odi.join(om, "order_med_id").join(dep, "login_dep_id").join(phr, "fill_phr_id")
@@ -84,25 +85,33 @@ def tat_detail(tables: Mapping[str, DataFrame], start, end, pharmacies: Iterable
     elif flag_filter:
         rows = rows.join(_flagged_actions(tables, flag_filter), "action_id", "left_semi")
     if report_option == "2":
-        dirty = (tables["ord_act_ord_info"].join(_flagged_actions(tables, intervention_flags), "action_id")
-                 .select(F.col("order_id").alias("order_med_id"), F.col("order_date").alias("contact_date_real")))
-        rows = rows.join(dirty, ["order_med_id", "contact_date_real"], "left_anti")
+        keys = ["order_med_id", "contact_date_real"]
+        # Only the window's orders can be dirty, so the links are cut to them first.
+        dirty = link.join(odi.select(*keys), keys, "left_semi").join(_flagged_actions(tables, intervention_flags), "action_id").select(*keys)
+        rows = rows.join(dirty, keys, "left_anti")
     elif report_option not in (None, "", "1", "2", "3"):
         rows = rows.filter(F.lit(False))  # an unknown option selects nothing, as the OR-chain does
 
-    # Pivot the action log per action first (MAX is associative, so the max
-    # per order+fill of per-action maxes equals the report's single MAX over
-    # the joined lines). Lines are pre-aggregated map-side and one row per
-    # action meets the order rows, so a busy action never fans out a join.
+    # The log is cut to the window's actions before anything is shuffled, and
+    # reduced to one line per action, type and user before the user lookup, so
+    # neither history nor a busy action or user meets a join line by line. MAX
+    # is associative: the max per order+fill of per-action maxes equals the
+    # report's single MAX over the joined lines. Whether an action was verified
+    # comes from the same lines, known user or not.
     t, ts, who = "action_type_c", "action_dttm_local", "user_name"
-    per_action = (acts.join(emp, "user_id").join(verified, "action_id", "left_semi")
-                  .groupBy("action_id").agg(
-                      pivot_max(t, ts, K.ACTION_ENTERED).alias("entered_dttm"),
-                      pivot_max(t, who, K.ACTION_ENTERED).alias("entered_user"),
-                      pivot_max(t, ts, K.ACTION_FILLED).alias("filled_dttm"),
-                      pivot_max(t, who, K.ACTION_FILLED).alias("filled_user"),
-                      pivot_max(t, ts, K.ACTION_VERIFIED).alias("verified_dttm"),
-                      pivot_max(t, who, K.ACTION_VERIFIED).alias("verified_user")))
+    lines = (acts.join(rows.select("action_id"), "action_id", "left_semi")
+             .groupBy("action_id", t, "user_id").agg(F.max(ts).alias(ts))
+             .join(emp.withColumn("_known", F.lit(True)), "user_id", "left")
+             .withColumn(ts, F.when(F.col("_known"), F.col(ts))))
+    per_action = (lines.groupBy("action_id").agg(
+        pivot_max(t, ts, K.ACTION_ENTERED).alias("entered_dttm"),
+        pivot_max(t, who, K.ACTION_ENTERED).alias("entered_user"),
+        pivot_max(t, ts, K.ACTION_FILLED).alias("filled_dttm"),
+        pivot_max(t, who, K.ACTION_FILLED).alias("filled_user"),
+        pivot_max(t, ts, K.ACTION_VERIFIED).alias("verified_dttm"),
+        pivot_max(t, who, K.ACTION_VERIFIED).alias("verified_user"),
+        F.max(F.col(t) == K.ACTION_VERIFIED).alias("_verified"), F.max("_known").alias("_known"))
+        .filter("_verified AND _known").drop("_verified", "_known"))
     rows = rows.join(per_action, "action_id")
 
     return (rows.groupBy(F.col("order_med_id").alias("_order"), F.col("fill_number").alias("_fill")).agg(
@@ -121,14 +130,18 @@ def tat_flags(tables: Mapping[str, DataFrame], detail: DataFrame, flags: Iterabl
     """Flag names and ids per detail action (Q8b). Lists are sorted by flag id
     and line up; repeats are kept when details share an action (K21)."""
     info = tables["flag_info"].filter(optional_in("record_id", flags))
-    rows = (tables["ord_act_flags"].select("action_id", F.col("rx_resolv_flag_id").alias("record_id"))
-            .join(detail.select("action_id"), "action_id")
-            .join(info, "record_id")
-            .join(tables["flg_map"].select(F.col("community_id").alias("record_id")), "record_id"))
-    lists = aligned_lists("record_id", {"flag_list": "display_name", "flag_ids": "record_id"}, ",")
-    return rows.groupBy(F.col("action_id").alias("_action")).agg(
-        F.max("action_id").alias("action_id"), lists["flag_list"].alias("flag_list"),
-        lists["flag_ids"].alias("flag_ids")).drop("_action")
+    times = detail.groupBy("action_id").agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    # Flags are cut to the detail's actions and listed per action first; each
+    # list then meets its action once, and repeats as often as details share it.
+    listed = (tables["ord_act_flags"].select("action_id", F.col("rx_resolv_flag_id").alias("record_id"))
+              .join(times, "action_id", "left_semi").join(info, "record_id")
+              .join(tables["flg_map"].select(F.col("community_id").alias("record_id")), "record_id")
+              .groupBy("action_id").agg(F.array_sort(F.collect_list(F.struct(
+                  F.col("record_id").alias("_k"), F.col("display_name").cast("string").alias("flag_list"),
+                  F.col("record_id").cast("string").alias("flag_ids")))).alias("_flags")))
+    repeated = F.flatten(F.transform("_flags", lambda f: F.array_repeat(f, F.col("_times"))))
+    lists = aligned_fields("_flags", ["flag_list", "flag_ids"], ",")
+    return listed.join(times, "action_id").withColumn("_flags", repeated).select("action_id", *[c.alias(n) for n, c in lists.items()])
 
 
 def _durations() -> dict[str, F.Column]:
@@ -180,4 +193,4 @@ def turnaround_report(tables: Mapping[str, DataFrame], start, end, pharmacies=No
         F.col("average_turn_around_time_min").alias("average_turn_around_time_minutes"))
     if display_names:
         report = report.select(*[F.col(c).alias(K.TURNAROUND_LABELS[c]) for c in report.columns])
-    return report
+    return holds(report, detail)

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every pipeline relies on: deterministic wall-clock handling and
 # runtime re-planning (AQE coalesces small shuffles, splits skewed partitions
@@ -56,3 +56,16 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
         base = tempfile.mkdtemp(prefix="medwright-checkpoints-")
         spark.sparkContext.setCheckpointDir(base)
     return "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex])
+
+
+def holds(report: DataFrame, *persisted: DataFrame) -> DataFrame:
+    """``report`` with a handle on the inputs persisted for it."""
+    report.persisted_inputs = [df for df in persisted if df.is_cached]
+    return report
+
+
+def release(report: DataFrame) -> None:
+    """Unpersist what was persisted for ``report``, and nothing else."""
+    for df in getattr(report, "persisted_inputs", []):
+        df.unpersist()
+    report.persisted_inputs = []

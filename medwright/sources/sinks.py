@@ -75,26 +75,58 @@ def read_table(spark: SparkSession, table_root: str) -> DataFrame | None:
     return spark.read.parquet(path) if path else None
 
 
-def publish_snapshot(df: DataFrame, table_root: str, partition_by: list[str] | None = None) -> str:
-    """Write ``df`` as a new immutable snapshot, then switch the pointer (U3, IO4).
+def write_snapshot(df: DataFrame, table_root: str, partition_by: list[str] | None = None) -> str:
+    """Write ``df`` as a new immutable snapshot that no reader sees yet; its path."""
+    path = f"{table_root.rstrip('/')}/snap-{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return path
+
+
+def switch_pointer(spark: SparkSession, table_root: str, path: str) -> None:
+    """Make a written snapshot the live one.
 
     The pointer is written to a temporary name and renamed over the old one
     in a single overwrite-rename, so readers see either the old or the new
     snapshot, never a partial one and never a missing pointer.
     """
-    spark = df.sparkSession
     root = table_root.rstrip("/")
-    path = f"{root}/snap-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
     tmp = f"{root}/_CURRENT.{uuid.uuid4().hex}.tmp"
     _write_text(spark, tmp, json.dumps({"path": path}))
     _replace(spark, tmp, f"{root}/_CURRENT")
+
+
+def publish_snapshot(df: DataFrame, table_root: str, partition_by: list[str] | None = None) -> str:
+    """Write ``df`` as a new immutable snapshot, then switch the pointer (U3, IO4)."""
+    path = write_snapshot(df, table_root, partition_by)
+    switch_pointer(df.sparkSession, table_root, path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a directory this package wrote, if it is there."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def prune_snapshots(spark: SparkSession, table_root: str, keep: int) -> list[str]:
+    """Remove all but the live snapshot and the ``keep`` - 1 latest others; the removed paths.
+
+    Readers that still hold an older snapshot open need ``keep`` to cover them.
+    """
+    live = current_snapshot(spark, table_root)
+    fs, root = _fs(spark, table_root)
+    found = [(s.getModificationTime(), s.getPath().toString()) for s in fs.listStatus(root) if s.getPath().getName().startswith("snap-")]
+    name = live.rsplit("/", 1)[-1] if live else None
+    older = [path for _, path in sorted(found, reverse=True) if path.rsplit("/", 1)[-1] != name]
+    gone = older[max(keep - 1, 0):]
+    for path in gone:
+        remove(spark, path)
+    return gone
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     """Append-only log table (IO9): each call adds files, never rewrites."""
     df.write.mode("append").parquet(path)

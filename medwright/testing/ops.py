@@ -329,10 +329,11 @@ def j7(spark, sf):
         F.count(F.lit(1)).alias("fills"))
 
 
-@op("J10", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@op("J10", """SELECT c_custkey FROM customer c WHERE NOT EXISTS (
+    SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')""")
 def j10(spark, sf):
     t = tables_for(spark, sf)
-    c, o = t.base("customer"), t.base("orders")
+    c, o = t.base("customer"), t.base("orders").filter(F.col("o_orderstatus") == "P")
     return joins.not_exists(c.select("c_custkey"), o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
@@ -404,13 +405,13 @@ def p13(spark, sf):
 # ------------------------------------------------------------- more joins/aggs
 
 
-@op("J4", O.with_views(["pat_enc_dx", "edg_current_icd10"], """
+@op("J4", O.with_views(["pat_enc_dx", "rx_edg", "edg_current_icd10"], """
     SELECT dx.pat_enc_csn_id, dx.dx_id, icd.code
-    FROM pat_enc_dx dx LEFT JOIN edg_current_icd10 icd ON icd.dx_id = dx.dx_id AND icd.line = 1"""))
+    FROM pat_enc_dx dx LEFT JOIN (SELECT dx_id, code FROM edg_current_icd10 SEMI JOIN rx_edg USING (dx_id) WHERE line = 1) icd USING (dx_id)"""))
 def j4(spark, sf):
-    t = tables_for(spark, sf)
-    return joins.left_filtered(t.pat_enc_dx, t.edg_current_icd10.select("dx_id", "line", "code"), "dx_id",
-                               F.col("line") == 1).select("pat_enc_csn_id", "dx_id", "code")
+    """The codes per encounter that the medication report lists: no EDG row, no code."""
+    from ..plans.safety import encounter_codes
+    return encounter_codes(tables_for(spark, sf).rx_tables())
 
 
 @op("J13", """
@@ -853,15 +854,16 @@ def u3(spark, sf):
     return sinks.read_table(spark, root)
 
 
-@op("U4", f"""
-    SELECT '{K.LOAD_PROCEDURE_NAME}' AS procedure_name, DATE '{O.LOAD['load_date']}' AS load_date,
-           CAST(0 AS BIGINT) AS rows_staged, CAST(0 AS BIGINT) AS duplicate_rows_deleted, CAST(0 AS BIGINT) AS rows_merged,
-           'Failed' AS status, TIMESTAMP '{O.LOAD['run_ts']}' AS run_datetime
-    FROM (SELECT count(*) FROM lineitem)""")
-def u4(spark, sf):
-    """Run the load behind the vendor schema gate. The mapped source carries
-    ``patientid`` as bigint where the expected schema says int, so the gate
-    raises: the target is never published and one Failed row is logged."""
+_RUN_LOG = f"""
+    SELECT '{K.LOAD_PROCEDURE_NAME}' AS procedure_name, DATE '{O.LOAD['load_date']}' AS load_date, count(*) AS rows_staged,
+           {{deleted}} AS duplicate_rows_deleted, {{merged}} AS rows_merged, '{{status}}' AS status, TIMESTAMP '{O.LOAD['run_ts']}' AS run_datetime
+    FROM patientwic_source
+    WHERE wicresultdate BETWEEN DATE '{O.LOAD['load_date']}' AND DATE '{O.LOAD['load_date']}' + 1"""
+_KEPT = "(count(DISTINCT patientid) + CAST(count(*) > count(patientid) AS INTEGER))"
+
+
+def _run(spark, sf, gate=None):
+    """Publish an initial target, run the day's load and return (log path, target root)."""
     import datetime as dt
 
     from ..session import shared_dir
@@ -869,18 +871,76 @@ def u4(spark, sf):
     L = O.LOAD
     src = tables_for(spark, sf).patientwic_source
     root, log_path = shared_dir(spark, "tables", "patientwic_target"), shared_dir(spark, "tables", "etl_log")
+    sinks.publish_snapshot(load.initial_target(src, L["load_date"], L["initial_ts"]), root)
+    before = sinks.current_snapshot(spark, root)
+    try:
+        load.run_load(spark, src, root, log_path, L["load_date"], dt.datetime.fromisoformat(L["run_ts"]), gate=gate)
+    except schema_gate.SchemaMismatch:
+        if sinks.current_snapshot(spark, root) != before:
+            raise AssertionError("a failed load must not publish a snapshot")
+    return log_path, root
 
+
+def _vendor_gate(spark):
     def gate(df):
-        schema_gate.assert_schema(schema_gate.expected_schema(spark),
-                                  schema_gate.actual_columns(df, "dbo", "PatientWIC_Source"))
+        schema_gate.assert_schema(schema_gate.expected_schema(spark), schema_gate.actual_columns(df, "dbo", "PatientWIC_Source"))
+    return gate
+
+
+def _success_log(spark, sf):
+    """The log row that ``run_load`` appends: its counts come from Observations in the load's own writes."""
+    return spark.read.parquet(_run(spark, sf)[0])
 
+
+for _id in ("IO9", "IO10", "U2"):
+    op(_id, O.with_views(["patientwic_source"], _RUN_LOG.format(deleted=f"count(*) - {_KEPT}", merged=_KEPT, status="Success")))(_success_log)
+
+
+@op("U4", O.with_views(["patientwic_source"], _RUN_LOG.format(deleted="CAST(0 AS BIGINT)", merged="CAST(0 AS BIGINT)", status="Failed")))
+def u4(spark, sf):
+    """Run the load behind the vendor schema gate. The mapped source carries
+    ``patientid`` as bigint where the expected schema says int, so the gate
+    raises after the slice was staged: the target keeps its old snapshot and
+    one Failed row is logged with the rows staged."""
+    return spark.read.parquet(_run(spark, sf, _vendor_gate(spark))[0])
+
+
+@op("U5", O.with_views(["patientwic_source"], "SELECT * FROM detail WHERE is_mismatch",
+                       {"expected": O._expected_values(), "actual": O.GATE_ACTUAL, "detail": O.GATE_DETAIL}))
+def u5(spark, sf):
+    """The failing columns that the raised error carries."""
+    gate = _vendor_gate(spark)
+    schema = schema_gate.validate_schema(schema_gate.expected_schema(spark),
+                                         schema_gate.actual_columns(tables_for(spark, sf).patientwic_source, "dbo", "PatientWIC_Source")).schema
     try:
-        load.run_load(spark, src, root, log_path, L["load_date"], dt.datetime.fromisoformat(L["run_ts"]), gate=gate)
-    except schema_gate.SchemaMismatch:
-        pass
-    if sinks.current_snapshot(spark, root) is not None:
-        raise AssertionError("a failed load must not publish a snapshot")
-    return spark.read.parquet(log_path)
+        gate(tables_for(spark, sf).patientwic_source)
+    except schema_gate.SchemaMismatch as ex:
+        return spark.createDataFrame([tuple(d[f] for f in schema.names) for d in ex.details], schema)
+    raise AssertionError("the gate must raise")
+
+
+@op("Q5_declared", O.q5_declared())
+def q5_declared(spark, sf):
+    """The gate on a catalog table whose vendor narrowed wicresult to varchar(20)."""
+    import uuid
+
+    from ..session import shared_dir
+    src = tables_for(spark, sf).patientwic_source
+    name = f"vendor_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} (patientid BIGINT, wicresult VARCHAR(20), wicresultdate DATE) USING parquet LOCATION '{shared_dir(spark, 'vendor')}'")
+    src.select("patientid", "wicresult", "wicresultdate").write.insertInto(name)
+    table = spark.table(name)
+    actual = schema_gate.actual_columns(table, "dbo", "PatientWIC_Source", schema_gate.declared_lengths(table))
+    detail = schema_gate.validate_schema(schema_gate.expected_schema(spark), actual, length_rule="declared")
+    longest = src.agg(F.max(F.length("wicresult")).alias("longest"))
+    return detail.select("column_name", "actual_data_type", "expected_max_length", "actual_max_length", "is_wrong_length").crossJoin(longest)
+
+
+@op("Q3_rejected", O.q3_rejected())
+def q3_rejected(spark, sf):
+    from ..plans import measures
+    M = O.MEASURE
+    return measures.rejected_readings(tables_for(spark, sf).measure_tables(), M["start"], M["end"], M["as_of"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -109,9 +109,9 @@ ALIASES = {
     "P1": "Q7_display_names", "P2": "S25", "P17": "Q8a_clean", "P21": "Q7",
     "J5": "Q6", "J8": "Q8",
     "A3": "A1", "A7": "Q5_count",
-    "IO2": "Q7", "IO3": "Q8", "IO6": "W2", "IO7": "Q4", "IO8": "Q4", "IO9": "Q4_log", "IO10": "Q4_log",
+    "IO2": "Q7", "IO3": "Q8", "IO6": "W2", "IO7": "Q4", "IO8": "Q4",
     "IO11": "Q5", "IO12": "Q5", "IO15": "Q8a_flags",
-    "U1": "Q4", "U2": "Q4_log", "U5": "Q5_count", "U6": "Q5",
+    "U1": "Q4", "U6": "Q5",
 }
 
 

@@ -145,7 +145,9 @@ class TestTables:
 
     @cached_property
     def ip_flwsht_meas(self) -> DataFrame:
-        text = F.concat(_s((100 + F.col("l_quantity")).cast("int")), F.lit("/"), _s(60 + F.col("l_partkey") % 45))
+        # Some readings are not ``sys/dia``.
+        text = F.when(F.col("l_partkey") % 29 == 0, "refused").otherwise(
+            F.concat(_s((100 + F.col("l_quantity")).cast("int")), F.lit("/"), _s(60 + F.col("l_partkey") % 45)))
         return self.base("lineitem").select(
             F.col("l_orderkey").alias("fsd_id"), F.lit("5").alias("flo_meas_id"),
             F.col("l_shipdate").alias("recorded_time"), text.alias("meas_value"))
@@ -171,8 +173,12 @@ class TestTables:
 
     @cached_property
     def ept_csn(self) -> DataFrame:
-        return self.base("orders").select(F.col("o_orderkey").alias("uci"),
-                                          F.concat(F.lit("CSN"), _s("o_orderkey")).alias("csn"))
+        """Mostly one CSN per encounter; some share one with the encounter before, some have two, some NULL."""
+        k = F.col("o_orderkey")
+        o = self.base("orders")
+        own = F.when(k % 97 != 0, F.concat(F.lit("CSN"), _s(F.when(k % 10 == 1, k - 1).otherwise(k))))
+        return o.select(k.alias("uci"), own.alias("csn")).unionByName(
+            o.filter(k % 40 == 0).select(k.alias("uci"), F.concat(F.lit("CSN2-"), _s(k)).alias("csn")))
 
     @cached_property
     def pat_enc_dx(self) -> DataFrame:
@@ -188,8 +194,9 @@ class TestTables:
 
     @cached_property
     def rx_edg(self) -> DataFrame:
+        # Some diagnoses have no EDG row, although they have codes.
         code1, code2 = self._icd_codes()
-        return self.base("part").select(F.col("p_partkey").alias("dx_id"),
+        return self.base("part").filter(F.col("p_partkey") % 11 != 0).select(F.col("p_partkey").alias("dx_id"),
                                         F.concat(code1, F.lit(","), code2).alias("current_icd10_list"))
 
     @cached_property
@@ -437,5 +444,5 @@ class TestTables:
     def patientwic_source(self) -> DataFrame:
         li = self.base("lineitem")
         result = F.concat(F.col("l_returnflag"), F.col("l_linestatus"), F.lit("-"), _s(F.col("l_quantity").cast("int")))
-        return li.select(F.col("l_orderkey").alias("patientid"), result.alias("wicresult"),
+        return li.select(F.when(F.col("l_orderkey") % 13 != 0, F.col("l_orderkey")).alias("patientid"), result.alias("wicresult"),
                          F.to_date("l_shipdate").alias("wicresultdate"))

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def _source(spark):
 def _target(spark):
     created = dt.datetime(2024, 1, 1, 0, 0, 0)
     return spark.createDataFrame([(2, "OLD", created, created), (9, "KEEP", created, created)],
-                                 load.TARGET_SCHEMA)
+                                 load.target_schema(_source(spark), "patientid", ["wicresult"]))
 
 
 def _by_key(df):
@@ -50,6 +51,67 @@ def test_load_is_idempotent(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
 
 
+def test_null_keys_match_nothing_and_lose_nothing(spark):
+    created = dt.datetime(2024, 1, 1)
+    target = spark.createDataFrame([(None, "OLD", created, created), (2, "T", created, created)],
+                                   load.target_schema(_source(spark), "patientid", ["wicresult"]))
+    source = spark.createDataFrame([(None, "NEW", D), (2, "U", D)], SRC_SCHEMA)
+    out = sorted(map(tuple, load.load_incremental(source, target, D, RUN).target.collect()), key=str)
+    assert sorted(out, key=lambda r: r[1]) == [(None, "NEW", RUN, RUN), (None, "OLD", created, created), (2, "U", created, RUN)]
+
+
+def test_run_load_with_another_key_and_retention(spark):
+    root, log_path = shared_dir(spark, "target"), shared_dir(spark, "log")
+    src = spark.createDataFrame([("m1", 5, D), ("m1", 7, D), ("m2", 1, D)], "mrn string, level int, taken date")
+    kw = dict(key="mrn", order=("taken", "level"), value_cols=("level",), date_col="taken")
+    for day in range(3):
+        load.run_load(spark, src, root, log_path, D, RUN + dt.timedelta(days=day), keep_snapshots=2, **kw)
+    assert sorted((r.mrn, r.level) for r in sinks.read_table(spark, root).collect()) == [("m1", 7), ("m2", 1)]
+    assert len([d for d in os.listdir(root.removeprefix("file:").removeprefix("//")) if d.startswith("snap-")]) == 2
+
+
+def test_failed_load_reports_the_counts_it_reached(spark):
+    root, log_path = shared_dir(spark, "target"), shared_dir(spark, "log")
+
+    def gate(_):
+        raise RuntimeError("injected")
+
+    with pytest.raises(RuntimeError):
+        load.run_load(spark, _source(spark), root, log_path, D, RUN, gate=gate)
+    row = spark.read.parquet(log_path).first()
+    assert (row.rows_staged, row.rows_merged, row.status) == (5, 0, "Failed")
+
+
+def test_failed_log_append_leaves_the_old_target(spark, monkeypatch):
+    root, log_path = shared_dir(spark, "target"), shared_dir(spark, "log")
+    load.run_load(spark, _source(spark), root, log_path, D, RUN)
+    before = sinks.current_snapshot(spark, root)
+    real = load._append_log
+
+    def failing(*a):
+        if a[-2] == "Success":
+            raise OSError("log unavailable")
+        real(*a)
+
+    monkeypatch.setattr(load, "_append_log", failing)
+    with pytest.raises(OSError):
+        load.run_load(spark, _source(spark), root, log_path, D, RUN)
+    assert sinks.current_snapshot(spark, root) == before
+    assert sorted(r.status for r in spark.read.parquet(log_path).collect()) == ["Failed", "Success"]
+
+
+def test_declared_lengths_come_from_the_catalog(spark):
+    spark.sql(f"CREATE TABLE vendor_lengths (PatientID INT, WICResult VARCHAR(20), WICResultDate DATE) USING parquet LOCATION '{shared_dir(spark, 'vendor')}'")
+    try:
+        table = spark.table("vendor_lengths")
+        assert schema_gate.declared_lengths(table) == {"WICResult": 20}
+        act = schema_gate.actual_columns(table, "dbo", "PatientWIC_Source", schema_gate.declared_lengths(table))
+        detail = schema_gate.validate_schema(schema_gate.expected_schema(spark), act, length_rule="declared").collect()
+        assert [r.column_name for r in detail if r.is_wrong_length] == ["WICResult"]
+    finally:
+        spark.sql("DROP TABLE vendor_lengths")
+
+
 def test_dedup_keeps_one_row_per_key(spark):
     staged = load.stage_slice(_source(spark), D)
     kept = load.dedup(staged, "patientid", ["wicresultdate", "wicresult"])

@@ -1,4 +1,6 @@
 """Guards on physical plan shape: properties the design relies on at scale."""
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -36,4 +38,28 @@ def test_no_cartesian_products(spark, name):
 
 def test_period_filter_reaches_the_scan(spark):
     plan = _plan(spark, "Q2")
-    assert "PushedFilters: [GreaterThanOrEqual(o_orderdate" in plan
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", plan)
+
+
+def _optimized(spark, name):
+    return entry.queries()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["Q2_counts", "Q3_counts"])
+def test_visits_only_qualify_patients(spark, name):
+    plan = _optimized(spark, name)
+    assert "LeftSemi" in plan
+
+
+def test_action_log_is_cut_to_the_window_before_it_is_aggregated(spark):
+    """Below the aggregate per action, type and user stands a semi-join."""
+    from medwright.plans import turnaround
+    from medwright.testing import oracle
+    from medwright.testing.testmap import TestTables
+    t = TestTables(spark, SF_SMALL).tat_tables()
+    detail = turnaround.tat_detail(t, oracle.TAT["start"], oracle.TAT["end"])
+    lines = detail._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    agg = next(i for i, x in enumerate(lines) if "Aggregate [action_id" in x and "user_id" in x)
+    depth = lines[agg].index("Aggregate")
+    below = [x for x in lines[agg + 1:] if len(x) - len(x.lstrip(" :+-")) > depth]
+    assert any("LeftSemi" in x for x in below[:3])
