@@ -38,6 +38,8 @@ from medwright.llm.common import crc_held_out, release, slices, table, written
 STATES = 8
 OWN = 16384
 SHARED = 2048
+#: Rarer words stay in the shared classes, whose mass tells how likely unknown words are.
+OWN_COUNT = 3
 #: Longer words are never classes of their own, so the table of classes has a fixed size.
 OWN_BYTES = 64
 ROUNDS = 3
@@ -108,7 +110,7 @@ def code(docs: DataFrame, modulus: int, remainder: int) -> Corpus:
     local = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("chunk", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     total = written(local.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0")
                     .withColumn("class", F.pmod(F.xxhash64(F.substring("word", -3, 3)), F.lit(SHARED)).cast("int") + OWN), "hmm-words")
-    top = total.filter(F.octet_length("word") <= OWN_BYTES).orderBy(F.desc("c"), "word").limit(OWN).select("word").toArrow().column(0).to_pylist()
+    top = total.filter((F.octet_length("word") <= OWN_BYTES) & (F.col("c") >= OWN_COUNT)).orderBy(F.desc("c"), "word").limit(OWN).select("word").toArrow().column(0).to_pylist()
     spark = docs.sparkSession
     own = spark.createDataFrame([(w, i) for i, w in enumerate(top)], "word binary, own int")
     total = total.join(F.broadcast(own), "word", "left").select("word", "c", F.coalesce("own", "class").alias("class"))  # OWN rows at most
@@ -146,7 +148,9 @@ def code(docs: DataFrame, modulus: int, remainder: int) -> Corpus:
 
     coded = written(chunks.select("chunk", "doc_ids", "held", "lengths", "codes").join(found.hint("merge"), "chunk").drop("chunk").mapInArrow(apply, _CODED), "hmm-coded")
     release(spark, chunks)
-    return Corpus(coded, n, v, (share + 1) / (share + 1).sum())
+    # Unknown words may fall into any shared class; classes for words of their own that no word fills get nothing.
+    share = share + np.where(np.arange(OWN + SHARED) < OWN, 0.0, 0.1)
+    return Corpus(coded, n, v, share / share.sum())
 
 
 @dataclass
