@@ -47,7 +47,7 @@ SAMPLE_DOCS = 1500
 SAMPLE_ROUNDS = 12
 CHUNK_BYTES = 16 << 20
 #: Tokens of the documents that go through the recursion together.
-BATCH_TOKENS = 400_000
+BATCH_TOKENS = 600_000
 _CLASS_BLOCK = 1024
 _PRIOR = 100.0
 
@@ -192,13 +192,16 @@ def forward(model: Model, stream: np.ndarray, begin: np.ndarray) -> tuple[np.nda
     """Scaled forward variables of every token, and the scale of each."""
     alpha = model.emit.take(stream, axis=0)
     scale = np.empty(len(stream))
+    ahead, ones = np.empty((int(begin[1]), alpha.shape[1])), np.ones(alpha.shape[1])
     before = None
     for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
-        now = alpha[a:b]
-        now *= model.start if before is None else before[:b - a] @ model.move
-        s = now.sum(axis=1)
+        now, s = alpha[a:b], scale[a:b]
+        if before is None:
+            now *= model.start
+        else:
+            now *= np.matmul(before[:b - a], model.move, out=ahead[:b - a])
+        np.matmul(now, ones, out=s)
         now /= s[:, None]
-        scale[a:b] = s
         before = now
     return alpha, scale
 
@@ -217,24 +220,26 @@ def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray) -> t
         stream, begin = _steps(classes, first[rows], lengths[rows])
         alpha, scale = forward(model, stream, begin)
         total += float(np.log10(scale).sum())
+        # Backwards, in place: ``beta``, and emission times beta over the scale of each token.
         ahead = model.emit.take(stream, axis=0)
         ahead /= scale[:, None]
-        gamma = np.empty_like(alpha)
+        beta = np.ones_like(alpha)
+        back = np.ascontiguousarray(model.move.T)
+        steps = list(zip(begin[:-1].tolist(), begin[1:].tolist()))
         later = None
-        xi = np.zeros((k, k))
-        for t in range(len(begin) - 2, -1, -1):
-            a, b = int(begin[t]), int(begin[t + 1])
-            now = np.ones((b - a, k))
+        for a, b in reversed(steps):
             if later is not None:
-                m = len(later)
-                xi += alpha[a:a + m].T @ later
-                now[:m] = later @ model.move.T
-            gamma[a:b] = alpha[a:b] * now
-            later = ahead[a:b] * now
-        move += xi * model.move
-        start += gamma[:int(begin[1])].sum(0)
+                np.matmul(later, back, out=beta[a:a + len(later)])
+            later = ahead[a:b]
+            later *= beta[a:b]
+        # The token behind each one that has one stands as far into the next time as it into its own.
+        active = np.diff(begin)
+        behind = np.arange(int(begin[1]), int(begin[-1]))
+        move += (alpha[behind - np.repeat(active[:-1], active[1:])].T @ ahead[behind]) * model.move
+        beta *= alpha
+        start += beta[:int(begin[1])].sum(0)
         for j in range(k):
-            emit[:, j] += np.bincount(stream, gamma[:, j], len(emit))
+            emit[:, j] += np.bincount(stream, beta[:, j], len(emit))
     return start, move, emit, total
 
 
