@@ -99,54 +99,64 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(h)
 
 
-_SKETCH = "doc_id long, n int, fp1 long, fp2 long, bands array<long>, shingles binary"
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows (doc_id, text) with the shingles of each."""
+    for batch in batches:
+        for part, data, offsets in slices(batch):
+            data = lowered(data)
+            starts, ends, owner = words_of(data, offsets)
+            words = hash_spans(data, starts, ends)
+            cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
+            yield part, [shingles(words[cut[i]:cut[i + 1]]) for i in range(part.num_rows)]
+
+
+_SKETCH = "doc_id long, n int, fp1 long, fp2 long, bands array<long>"
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: size and fingerprints of its shingle set, band keys, and the set as sorted uint32."""
+    """Per document: size and fingerprints of its shingle set, and its band keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
-        for batch in batches:
-            for part, data, offsets in slices(batch):
-                data = lowered(data)
-                starts, ends, owner = words_of(data, offsets)
-                words = hash_spans(data, starts, ends)
-                cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                n, fp, keys, sets = [], [], [], []
-                for i in range(part.num_rows):
-                    s = shingles(words[cut[i]:cut[i + 1]])
-                    n.append(len(s))
-                    fp.append((int(s.sum().view(np.int64)), int(mix(s ^ np.uint64(3)).sum().view(np.int64))) if len(s) else (0, 0))
-                    if len(s):
-                        key = salt.copy()
-                        for column in dart_signature(s, None, bands * rows).reshape(bands, rows).T:
-                            key = mix(key * _STEP + column)
-                        keys.append(key.view(np.int64))
-                    else:
-                        keys.append(np.zeros(0, np.int64))
-                    sets.append(np.unique((s >> np.uint64(32)).astype("<u4")).tobytes())
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(n, pa.int32()), pa.array([f[0] for f in fp], pa.int64()), pa.array([f[1] for f in fp], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32()), pa.array(np.concatenate(keys))),
-                    pa.array(sets, pa.binary())], names=[x.split()[0] for x in _SKETCH.split(", ")])
+        for part, sets in _documents(batches):
+            fp, keys = [], []
+            for s in sets:
+                fp.append((int(s.sum().view(np.int64)), int(mix(s ^ np.uint64(3)).sum().view(np.int64))) if len(s) else (0, 0))
+                key = salt[:bands if len(s) else 0].copy()
+                for column in dart_signature(s, None, bands * rows).reshape(bands, rows).T if len(s) else ():
+                    key = mix(key * _STEP + column)
+                keys.append(key.view(np.int64))
+            yield pa.RecordBatch.from_arrays([
+                part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([f[0] for f in fp], pa.int64()), pa.array([f[1] for f in fp], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32()), pa.array(np.concatenate(keys)))],
+                names=[x.split()[0] for x in _SKETCH.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SKETCH)
 
 
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and shingle set (sorted uint32) of the documents that ``ids`` names."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _documents(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
+
+    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
+    return wanted.mapInArrow(run, "id long, shingles binary")
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the Jaccard similarity of their sets."""
+    """The pairs (a, b) with the Jaccard similarity of their sets (the highest, where rows share a doc_id)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             j = np.zeros(batch.num_rows)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                j[i] = both / (len(x) + len(y) - both)
+                j[i] = both / max(len(x) + len(y) - both, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j)], names=["a", "b", "similarity"])
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")).hint("merge")
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")).hint("merge")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, similarity double")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -178,7 +188,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def link_classes(sketches: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """``groups``: fp1, fp2, n, id (least doc_id) and copies of every distinct set; ``classes``: id and component of the linked ones."""
     spark = sketches.sparkSession
     named = sketches.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
@@ -189,9 +199,7 @@ def link_classes(sketches: DataFrame, similarity: float = SIMILARITY) -> tuple[D
     # Buckets with one member say nothing. The least member is the first centre.
     first = bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("centre"), F.count("*").alias("members")).filter("members > 1")
     buckets = written(bands.join(first.drop("members").hint("merge"), "key"), "near-buckets")
-    sets = written(named.select(F.col("doc_id").alias("id"), "fp1", "fp2", "n", "shingles")
-                   .join(groups.select("fp1", "fp2", "n", "id").hint("merge"), ["fp1", "fp2", "n", "id"], "left_semi")
-                   .join(buckets.select("id").distinct().hint("merge"), "id", "left_semi").select("id", "shingles"), "near-sets")
+    sets = written(_sets(docs, buckets.select("id").distinct()), "near-sets")
     close = similarity - 1e-9
 
     def fits(n, m):
@@ -217,6 +225,8 @@ def link_classes(sketches: DataFrame, similarity: float = SIMILARITY) -> tuple[D
         if open_.isEmpty():
             break
         members = open_.select("key", "id", "n", "d", "component")
+        old, sets = sets, written(sets.join(open_.select("id").distinct().hint("merge"), "id", "left_semi"), "near-sets")
+        release(spark, old)
         centres = (open_.filter((F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("id", "key"), F.col("share")) == 0))
                    .select("key", F.col("id").alias("c_id"), F.col("n").alias("c_n"), F.col("d").alias("c_d"), F.col("component").alias("c_component")))
         # Distances obey the triangle inequality: two members whose distances from the first centre differ too much can't be close.
@@ -230,6 +240,7 @@ def link_classes(sketches: DataFrame, similarity: float = SIMILARITY) -> tuple[D
             links = links.unionByName(new)
             classes = components(links)
         left = written(members.select("key", "id", "n", "d").join(centres.select("key", F.col("c_id").alias("id")).hint("merge"), ["key", "id"], "left_anti"), "near-rest")
+        release(spark, open_)
         limit *= 8
     release(spark, buckets, sets)
     return groups, classes
@@ -238,7 +249,7 @@ def link_classes(sketches: DataFrame, similarity: float = SIMILARITY) -> tuple[D
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size, kept and n_shingles, one row per row of ``docs``."""
     sketches = written(sketch(docs), "near-sketch")
-    groups, classes = link_classes(sketches, similarity)
+    groups, classes = link_classes(sketches, docs, similarity)
     known = groups.join(classes.hint("merge"), "id", "left").select("fp1", "fp2", "n", "copies", F.coalesce("component", "id").alias("class_id"))
     sizes = known.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
     known = written(known.join(sizes.hint("merge"), "class_id").select("fp1", "fp2", "n", "class_id", "class_size"), "near-classes")
