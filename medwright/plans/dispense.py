@@ -26,26 +26,6 @@ from .. import constants as K
 from ..functions.dates import fmt_ymd, trailing_days_window
 from ..operators.joins import role
 
-DISPLAY_NAMES = {
-    "patient_name": "Patient_Name", "pharmacy_name": "pharmacy_name", "pharmacy_npi": "pharmacy_npi",
-    "dispensed_ndc": "Dispensed_ndc", "dispensed_drug": "Dispensed_Drug", "dispensed_date": "Dispensed_Date",
-    "rx_number": "RX_Number", "dispensed_quantity": "Dispensed Quantity",
-    "dispensed_days_supply": "Dispensed Days Supply", "refill_nbr": "Refill_Nbr",
-    "primary_payer_bin": "Primary Payer BIN", "primary_payer_pcn": "Primary Payer PCN",
-    "primary_payor_group_number": "Primary Payor Group Number", "primary_payor_name": "Primary Payor Name",
-    "primary_participating_plan": "Primary Participating Plan",
-    "primary_sponsoring_payor_type": "Primary Sponsoring Payor Type",
-    "secondary_payer_bin": "Secondary Payer BIN", "secondary_payer_pcn": "Secondary Payer PCN",
-    "secondary_payor_name": "Secondary Payor Name", "secondary_participating_plan": "Secondary Participating Plan",
-    "patient_charged_amount": "Patient_Charged_Amount", "patient_paid_amount": "Patient_Paid_Amount",
-    "first_payor_charged_amount": "First_Payor_Charged_Amount", "first_payor_paid_amount": "First_Payor_Paid_Amount",
-    "second_payor_charged_amount": "Second_Payor_Charged_Amount",
-    "second_payor_paid_amount": "Second_Payor_Paid_Amount",
-    "third_payor_charged_amount": "Third_Payor_Charged_Amount", "third_payor_paid_amount": "Third_Payor_Paid_Amount",
-    "acquisition_cost": "Acquisition_Cost", "total_paid_amount": "Total_Paid_Amount",
-    "rx_gross_margin": "RX_Gross_Margin",
-}
-
 
 def dispense_payer_detail(tables: Mapping[str, DataFrame], as_of, npis: Iterable[str] = K.DISPENSE_NPIS,
                           days: int = K.DISPENSE_DAYS, null_as_zero: bool = False,
@@ -115,5 +95,5 @@ def dispense_payer_detail(tables: Mapping[str, DataFrame], as_of, npis: Iterable
         F.max(total - F.col("medicationacquisitioncost")).cast("decimal(18,2)").alias("rx_gross_margin"),
     ).drop("_rx", "_fill")
     if display_names:
-        out = out.select(*[F.col(c).alias(DISPLAY_NAMES[c]) for c in out.columns])
+        out = out.select(*[F.col(c).alias(K.DISPENSE_LABELS[c]) for c in out.columns])
     return out

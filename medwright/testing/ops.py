@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import dates, predicates, text
 from ..operators import aggs, joins
-from ..operators.windows import latest
+from ..operators.windows import latest, latest_any
 from ..plans import load, outreach, schema_gate
 from . import oracle as O
 from .testmap import tables_for
@@ -235,16 +235,17 @@ def w2(spark, sf):
 
 
 @op("W3", O.with_views(["pat_enc", "ip_flwsht_rec", "ip_flwsht_meas"], """
-    SELECT pat_id, recorded_time, meas_value FROM (
+    SELECT pat_id, any_value(recorded_time) AS recorded_time, bool_or(coalesce(meas_value < '12', FALSE)) AS passes FROM (
       SELECT pe.pat_id, m.recorded_time, m.meas_value,
              dense_rank() OVER (PARTITION BY pe.pat_id ORDER BY m.recorded_time DESC) AS rk
       FROM pat_enc pe JOIN ip_flwsht_rec r ON r.inpatient_data_id = pe.inpatient_data_id
-      JOIN ip_flwsht_meas m ON m.fsd_id = r.fsd_id) WHERE rk = 1"""))
+      JOIN ip_flwsht_meas m ON m.fsd_id = r.fsd_id) WHERE rk = 1 GROUP BY pat_id"""))
 def w3(spark, sf):
+    """Ties at the latest instant are kept, through the aggregate that Q3 uses."""
     t = tables_for(spark, sf)
     rows = (t.pat_enc.select("pat_id", "inpatient_data_id").join(t.ip_flwsht_rec, "inpatient_data_id")
             .join(t.ip_flwsht_meas, "fsd_id").select("pat_id", "recorded_time", "meas_value"))
-    return latest(rows, "pat_id", "recorded_time", ties="all")
+    return latest_any(rows, "pat_id", "recorded_time", F.col("meas_value") < "12")
 
 
 # --------------------------------------------------------------- aggregates
