@@ -45,9 +45,9 @@ OWN_BYTES = 64
 ROUNDS = 3
 SAMPLE_DOCS = 1500
 SAMPLE_ROUNDS = 12
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Tokens of the documents that go through the recursion together.
-BATCH_TOKENS = 600_000
+BATCH_TOKENS = 300_000
 _CLASS_BLOCK = 1024
 _PRIOR = 100.0
 
