@@ -20,8 +20,9 @@ import numpy as np
 REMEMBERED = 600_000
 
 # White space is that of Unicode, without \x1c-\x1f, which only Python counts. The letters named here are
-# letters to every pre-tokenizer; others only mean fewer cuts.
-_WORDS = re.compile(r"[^\S\x1c-\x1f]*(?:[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[^\S\x1c-\x1f]|[!-/:-@\[-`{-~0-9]|\Z)|[\S\x1c-\x1f]+)|[^\S\x1c-\x1f]+")
+# letters to every pre-tokenizer, in either case (\u0130 is left out: in lower case it ends with a mark,
+# which is no letter); others only mean fewer cuts.
+_WORDS = re.compile(r"[^\S\x1c-\x1f]*(?:[A-Za-zÀ-ÖØ-öø-įı-ɏ]+(?=[^\S\x1c-\x1f]|[!-/:-@\[-`{-~0-9]|\Z)|[\S\x1c-\x1f]+)|[^\S\x1c-\x1f]+")
 
 
 #: A space and Latin-1 letters: such a word is one unit of the pre-tokenizer and goes straight to the library's model.
