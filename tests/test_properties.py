@@ -29,7 +29,8 @@ def _source(spark, rows):
 
 def _target(spark, rows):
     created = dt.datetime(2024, 1, 1)
-    return spark.createDataFrame([(k, v, created, created) for k, v in rows], load.TARGET_SCHEMA)
+    schema = load.target_schema(_source(spark, []), "patientid", ["wicresult"])
+    return spark.createDataFrame([(k, v, created, created) for k, v in rows], schema)
 
 
 @SETTINGS
@@ -43,6 +44,20 @@ def test_upsert_twice_equals_once(spark, rows, target):
     assert len(keys) == len(set(keys))
 
 
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.none() | st.integers(0, 4), st.sampled_from(["A", "B"]), st.integers(0, 1)), max_size=15),
+       target=st.lists(st.tuples(st.none() | st.integers(0, 6), st.sampled_from(["X", "Y"])), max_size=8, unique_by=lambda r: r[0]))
+def test_null_keys_lose_nothing_and_keep_created_times(spark, rows, target):
+    src, tgt = _source(spark, rows), _target(spark, target)
+    kept = {r.patientid: r.wicresult for r in load.dedup(load.stage_slice(src, D0), "patientid", ["wicresultdate", "wicresult"]).collect()}
+    out = sorted(map(tuple, load.load_incremental(src, tgt, D0, RUN).target.collect()), key=str)
+    old = dt.datetime(2024, 1, 1)
+    want = [(k, kept[k], old, RUN) if k is not None and k in kept else (k, v, old, old) for k, v in target]
+    known = {k for k, _ in target if k is not None}
+    want += [(k, v, RUN, RUN) for k, v in kept.items() if k not in known]
+    assert out == sorted(want, key=str)
+
+
 @SETTINGS
 @given(rows=rows_strategy)
 def test_dedup_one_row_per_key_and_counts(spark, rows):
@@ -82,4 +97,7 @@ def test_report_has_one_row_per_detail_row(spark):
 
 
 def test_every_registered_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    """Of the reports and operators; the optional subpackage gives SQL where SQL can express a query."""
+    from medwright.testing import registry
+    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(registry.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
