@@ -3,7 +3,10 @@
 Document frequencies of hashed words come from all documents. The benchmark's passages become TF-IDF rows,
 and a distributed randomised SVD of them (a random projection, one power iteration, each a Spark job that
 sums per feature block) gives the latent space. Every passage of every document (overlapping windows of 40 words) is
-projected into it, and items whose passages reach a cosine of ``COSINE`` are candidates. A candidate is
+projected into it, and items whose passages reach a cosine of ``COSINE`` are candidates; the window counts as
+no longer than the passage, so that what surrounds a short item does not hide it. An item that the space does
+not hold (a passage keeps less than ``KEPT`` of its length) is sought without it: half of its answer words must
+stand close together, and the cosine is that of the full TF-IDF rows. A candidate is
 confirmed on the words themselves: the longest common subsequence of the item and the words around the
 passage must cover ``LCS`` of the item, and its answer words (the rarest quarter of its words) must be
 present to ``ANSWER``. Reordered or reworded passages pass the first test and are judged by the other two.
@@ -17,7 +20,7 @@ columns stay as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,10 @@ RANK = 192
 COMMON_SHARE, COMMON_DOCS = 0.2, 50
 STRIDE = 20  # words of half a window
 COSINE = 0.3
+#: Items of which a passage keeps less of its length in the latent space are sought by their full TF-IDF rows.
+KEPT = 0.999
+#: Word occurrences of items that are looked at together.
+_CHUNK = 1 << 21
 LCS = 0.6
 ANSWER = 0.5
 LEAST_WORDS = 8
@@ -97,6 +104,95 @@ def _rows(words: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+def passages_of(words: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """The windows of ``_rows``: features, their weights (of length 1 together), and the length before that."""
+    cell, first, counts = cells_of(words, np.zeros(len(words), np.int64), np.arange(len(words)), 1)
+    f, cell = _features(words)[counts], cell[counts]
+    out = []
+    for c in range(max(1, int(first[1]) - 1)):
+        some, tf = np.unique(f[np.searchsorted(cell, c):np.searchsorted(cell, c + 2)], return_counts=True)
+        weight = tf * idf[some]
+        size = float(np.linalg.norm(weight))
+        out.append((some, weight / max(size, 1e-9), size))
+    return out
+
+
+def _ranges(first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the parts ``which`` of a list with part limits ``first``, and of each place the number in ``which``."""
+    n = first[which + 1] - first[which]
+    owner = np.repeat(np.arange(len(which)), n)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + first[which][owner], owner
+
+
+class Full:
+    """Items that the latent space does not hold: an index of their answer words, and their full TF-IDF passages."""
+
+    def __init__(self, numbers: list[int], item_words: list[np.ndarray], answers: list[np.ndarray], passages: list[list[tuple]], idf: np.ndarray) -> None:
+        self.numbers = np.array(numbers, np.int64)  # of each item its number in the space
+        self.need = np.array([max(1, int(np.ceil(ANSWER * len(a)))) for a in answers], np.int64)
+        #: No stretch that is confirmed has more words.
+        self.span = np.array([4 * len(w) + 4 * STRIDE for w in item_words], np.int64)
+        owner = np.repeat(np.arange(len(answers)), [len(a) for a in answers])
+        every = np.concatenate(answers) if answers else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.items = owner[order]
+        self.keys, begin = np.unique(every[order], return_index=True)
+        self.first = np.append(begin, len(every)).astype(np.int64)
+        flat = [p for own in passages for p in own]
+        self.own = np.cumsum([0] + [len(own) for own in passages])  # passages of each item
+        self.cuts = np.cumsum([0] + [len(f) for f, _, _ in flat])  # features of each passage
+        self.features = np.concatenate([f for f, _, _ in flat]) if flat else np.zeros(0, np.int64)
+        self.weights = np.concatenate([w for _, w, _ in flat]) * idf[self.features] if flat else np.zeros(0)
+        self.sizes = np.array([size for _, _, size in flat])
+
+    def pairs(self, words: np.ndarray, rows: np.ndarray, counts: np.ndarray, cell: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Windows with an answer word where enough answer words of an item stand close together, as item * cells + window."""
+        cells = int(first[-1])
+        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
+        hit = np.flatnonzero(counts & (self.keys[at] == words))
+        total = np.cumsum(self.first[at[hit] + 1] - self.first[at[hit]])
+        groups = int(total[-1]) // _CHUNK + 1 if len(total) else 0
+        pieces = np.split(hit, np.searchsorted(total, np.arange(1, groups) * _CHUNK)) if groups else []
+        out = [np.zeros(0, np.int64)]
+        for g in range(groups):  # each group takes all words and a share of the items, which bounds the memory
+            some = []
+            for piece in pieces:
+                places, owner = _ranges(self.first, at[piece])
+                item = self.items[places]
+                keep = item % groups == g
+                some.append((item[keep], piece[owner[keep]]))
+            item, pos = (np.concatenate(x) for x in zip(*some))
+            order = np.argsort(item, kind="stable")
+            item, pos = item[order], pos[order]
+            end = np.arange(len(item)) + self.need[item] - 1
+            to = np.minimum(end, max(len(item) - 1, 0))
+            begin = np.flatnonzero((end == to) & (item[to] == item) & (rows[pos[to]] == rows[pos]) & (pos[to] - pos < self.span[item]))
+            inside = np.cumsum(np.bincount(begin, minlength=len(item) + 1) - np.bincount(end[begin] + 1, minlength=len(item) + 1))[:len(item)] > 0
+            item, pos = item[inside], pos[inside]
+            before = cell[pos] > first[rows[pos]]
+            out += [item * cells + cell[pos], item[before] * cells + cell[pos][before] - 1]
+        return np.unique(np.concatenate(out))
+
+    def near(self, pairs: np.ndarray, keys: np.ndarray, tf: np.ndarray, length: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """Item, window and cosine where a passage reaches ``COSINE``; ``keys`` and ``tf`` count the features of each cell."""
+        def held(key: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[at] == key, tf[at], 0)
+
+        cells = len(last)
+        width = self.cuts[self.own[1:]] - self.cuts[self.own[:-1]]
+        limits = np.cumsum(width[pairs // cells])
+        for some in np.split(pairs, np.searchsorted(limits, np.arange(1, int(limits[-1]) // _CHUNK + 1) * _CHUNK)) if len(pairs) else []:
+            passage, owner = _ranges(self.own, some // cells)
+            window = (some % cells)[owner]
+            places, part = _ranges(self.cuts, passage)
+            f, c = self.features[places], window[part]
+            count = held(c * FEATURES + f) + np.where(last[c], 0, held((c + 1) * FEATURES + f))
+            dot = np.bincount(part, count * self.weights[places], len(passage))
+            for k in np.flatnonzero(dot >= COSINE * np.minimum(length[window], self.sizes[passage])):
+                yield int(self.numbers[some[owner[k]] // cells]), int(window[k]), float(dot[k] / length[window[k]])
+
+
 @dataclass
 class Space:
     """The latent space: idf, of each feature its row in ``basis`` (-1: none), and the items."""
@@ -109,6 +205,8 @@ class Space:
     item_ids: list[int]
     item_words: list[np.ndarray]
     answers: list[np.ndarray]
+    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # length of each passage's TF-IDF row
+    full: Full | None = None
 
     def __post_init__(self) -> None:
         self.weighted = np.ascontiguousarray(self.basis) * self.idf[np.flatnonzero(self.place >= 0)].astype(np.float32)[:, None]
@@ -167,22 +265,31 @@ def latent_space(docs: DataFrame, items: DataFrame, idf: np.ndarray | None = Non
     place = np.full(FEATURES, -1, np.int32)
     place[used] = np.arange(len(used))
     space = Space(idf, place, basis[used], np.zeros((0, rank), np.float32), np.zeros(0, np.int64), [], [], [])
-    passages, owner = [], []
+    passages, owner, sizes, apart, apart_passages = [], [], [], [], []
     for row in sorted(items.select("item_id", "text").collect()):
         raw = np.frombuffer(row.text.encode(), np.uint8)
         words = passage_words(raw, np.array([0, len(raw)]))[0]
         if len(words) < LEAST_WORDS:
             continue
-        latent = _rows(words, idf)[:, used] @ space.basis
-        passages.append(latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9))
-        owner += [len(space.item_ids)] * len(latent)
+        own = passages_of(words, idf)
+        latent = np.array([w[place[f] >= 0] @ space.basis[place[f][place[f] >= 0]] for f, w, _ in own]).reshape(len(own), rank)
+        kept = np.linalg.norm(latent, axis=1, keepdims=True)
+        if kept.min() >= KEPT:
+            passages.append(latent / kept)
+            sizes += [size for _, _, size in own]
+            owner += [len(space.item_ids)] * len(latent)
+        else:
+            apart.append(len(space.item_ids))
+            apart_passages.append(own)
         distinct = np.unique(words)
         weight = idf[_features(distinct)]
         space.item_ids.append(row.item_id)
         space.item_words.append(words)
         space.answers.append(distinct[np.argsort(-weight, kind="stable")][:max(2, len(distinct) // 4)])
     if passages:
-        space.passages, space.owner = np.concatenate(passages).astype(np.float32), np.array(owner)
+        space.passages, space.owner, space.sizes = np.concatenate(passages).astype(np.float32), np.array(owner), np.array(sizes, np.float32)
+    if apart:
+        space.full = Full(apart, [space.item_words[i] for i in apart], [space.answers[i] for i in apart], apart_passages, idf)
     return space
 
 
@@ -220,41 +327,47 @@ def _sums(basis: np.ndarray, place: np.ndarray, cell: np.ndarray, cells: int) ->
 def search(words: np.ndarray, rows: np.ndarray, place: np.ndarray, n: int, space: Space) -> list[list[dict]]:
     """Confirmed items of each of ``n`` rows, the best first."""
     hits: list[dict[int, dict]] = [{} for _ in range(n)]
-    if not len(words) or not len(space.passages):
+    if not len(words) or not len(space.item_ids):
         return [[] for _ in range(n)]
     cell, first, counts = cells_of(words, rows, place, n)
     cells = int(first[-1])
     f = _features(words)
     weight = np.where(counts, space.idf[f], 0)
-    norms = np.bincount(cell, weight * weight, cells)
-    known = np.flatnonzero((space.place[f] >= 0) & (weight > 0))
-    latent = _sums(space.weighted, space.place[f[known]], cell[known], cells)
     last = np.zeros(cells, bool)
     last[first[1:][np.diff(first) > 0] - 1] = True
-    window = latent.copy()
-    window[:-1] += np.where(last[:-1, None], 0, latent[1:])
-    norm = norms.copy()
-    norm[:-1] += np.where(last[:-1], 0, norms[1:])
-    window /= np.sqrt(np.maximum(norm, 1e-9)).astype(np.float32)[:, None]
+    norm = np.bincount(cell, weight * weight, cells)
+    norm[:-1] += np.where(last[:-1], 0, norm[1:])
+    length = np.sqrt(np.maximum(norm, 1e-9)).astype(np.float32)
     starts = np.searchsorted(rows, np.arange(n + 1))
     found: dict[tuple[int, int], list] = {}
-    for i in range(0, cells, 4096):
-        for k in range(0, len(space.passages), 4096):
-            cosine = window[i:i + 4096] @ space.passages[k:k + 4096].T
-            near = np.flatnonzero(cosine.max(axis=1) >= COSINE)
-            for c, p in zip(*np.nonzero(cosine[near] >= COSINE)):
-                c = near[c]
-                item, at = int(space.owner[p + k]), int(c + i)
-                row = int(np.searchsorted(first, at, side="right")) - 1
-                found.setdefault((row, item), []).append((at - int(first[row]), float(cosine[c, p])))
+
+    def candidate(item: int, at: int, cosine: float) -> None:
+        row = int(np.searchsorted(first, at, side="right")) - 1
+        found.setdefault((row, item), []).append((at - int(first[row]), cosine))
+
+    if len(space.passages):
+        known = np.flatnonzero((space.place[f] >= 0) & (weight > 0))
+        window = _sums(space.weighted, space.place[f[known]], cell[known], cells)
+        window[:-1] += np.where(last[:-1, None], 0, window[1:])
+        for i in range(0, cells, 4096):
+            for k in range(0, len(space.passages), 4096):
+                dot = window[i:i + 4096] @ space.passages[k:k + 4096].T
+                for c, p in zip(*np.nonzero(dot >= COSINE * np.minimum(length[i:i + 4096, None], space.sizes[k:k + 4096]))):
+                    candidate(int(space.owner[p + k]), int(c + i), float(dot[c, p] / length[c + i]))
+    if space.full is not None:
+        pairs = space.full.pairs(words, rows, counts, cell, first)
+        if len(pairs):
+            keys, tf = np.unique(cell[counts] * FEATURES + f[counts], return_counts=True)
+            for item, at, cosine in space.full.near(pairs, keys, tf, length, last):
+                candidate(item, at, cosine)
     for (row, item), places in found.items():
         a = space.item_words[item]
         text = words[starts[row]:starts[row + 1]]
         for at, end, cosine in _runs(sorted(places), len(a)):
             region = text[max(0, at * STRIDE - len(a)):(end + 2) * STRIDE + len(a)]
-            lcs = lcs_length(a, region) / len(a)
             answer = float(np.isin(space.answers[item], region).mean())
-            if lcs >= LCS and answer >= ANSWER and (item not in hits[row] or lcs > hits[row][item]["lcs"]):
+            lcs = lcs_length(a, region) / len(a) if answer >= ANSWER else 0.0
+            if lcs >= LCS and (item not in hits[row] or lcs > hits[row][item]["lcs"]):
                 hits[row][item] = {"item_id": space.item_ids[item], "cosine": min(1.0, cosine), "lcs": lcs, "answer": answer}
     return [sorted(h.values(), key=lambda x: (-x["lcs"], -x["cosine"], x["item_id"])) for h in hits]
 

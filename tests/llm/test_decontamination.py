@@ -69,3 +69,29 @@ def test_awkward_rows(spark):
     assert sorted(str(r.doc_id) for r in out if r.found) == ["11"]
     assert not any(r.found for r in D.find_leaks(docs, items(spark, []), "found").collect())
     assert D.find_leaks(empty(spark), items(spark, [(1, prose(2, 60))]), "found").count() == 0
+
+
+def test_thousands_of_items_are_all_found(spark):
+    bench = [(i, prose(5000 + i, 15 + i % 45)) for i in range(2000)]
+    docs = awkward(spark, [(d, " ".join(prose(9000 + 4 * d + k, 30 + 7 * k) + " " + bench[4 * d + k][1] for k in range(4))) for d in range(500)])
+    out = {r.doc_id: r.found for r in D.find_leaks(docs.repartition(8), items(spark, bench), "found").collect()}
+    assert all(sorted(h.item_id for h in out[d]) == list(range(4 * d, 4 * d + 4)) for d in range(500))
+    assert all(h.lcs == 1 and h.answer == 1 for found in out.values() for h in found)
+
+
+def test_full_rows_find_what_the_space_finds(spark, monkeypatch):
+    bench = items(spark, [(i, prose(300 + i, 8 + 9 * i)) for i in range(9)])
+    docs = awkward(spark, [(i, prose(i, 40 + i) + " " + prose(300 + i, 8 + 9 * i) + " " + prose(70 + i, 50)) for i in range(9)])
+    found = []
+    for kept in (0.5, 2.0):
+        monkeypatch.setattr(D, "KEPT", kept)
+        assert (D.latent_space(docs, bench).full is None) == (kept < 1)
+        found.append([(r.doc_id, [(h.item_id, round(h.cosine, 3), h.lcs, h.answer) for h in r.found]) for r in D.find_leaks(docs, bench, "found").orderBy("doc_id").collect()])
+    assert found[0] == found[1] and [[h[0] for h in hits] for _, hits in found[0]] == [[i] for i in range(9)]
+
+
+def test_rare_words_around_a_short_item_do_not_hide_it(spark):
+    common = "we know that the sum of two even numbers is even"
+    rows = [(i, prose(i, 40) + (f" {common}" if i < 100 else "") + " " + " ".join(f"rare{i}x{k}" for k in range(40))) for i in range(300)]
+    out = D.find_leaks(awkward(spark, rows), items(spark, [(1, common), (2, " ".join(f"rare7x{k}" for k in range(12)))]), "found").collect()
+    assert {r.doc_id: sorted(h.item_id for h in r.found) for r in out} == {i: [1] * (i < 100) + [2] * (i == 7) for i in range(300)}
