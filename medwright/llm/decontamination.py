@@ -12,7 +12,8 @@ passage must cover ``LCS`` of the item, and its answer words (the rarest quarter
 present to ``ANSWER``. Reordered or reworded passages pass the first test and are judged by the other two.
 
 Words are runs of letters and digits in lower case. Defined cases: null or empty texts hold no passage and
-are clean; items of fewer than ``LEAST_WORDS`` words, or of none but the commonest words, are not searched (any text would hold them); items that
+are clean; items of fewer than ``LEAST_WORDS`` words are not searched; every word weighs something, so that an item
+which most documents hold is found in all of them; items that
 repeat are one item, under the smallest item_id; without documents or items nothing is contaminated; extra
 columns stay as they are.
 """
@@ -31,8 +32,6 @@ from medwright.llm.common import LETTERS, hash_spans, lowered, slices, table, wo
 
 FEATURES = 1 << 16
 RANK = 192
-#: A word in more than this share of the documents (and so many more) weighs nothing.
-COMMON_SHARE, COMMON_DOCS = 0.2, 50
 STRIDE = 20  # words of half a window
 COSINE = 0.3
 #: Items of which a passage keeps less of its length in the latent space are sought by their full TF-IDF rows.
@@ -73,7 +72,7 @@ def cells_of(words: np.ndarray, rows: np.ndarray, place: np.ndarray, n: int) ->
 
 
 def idf_of(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency of every feature over all documents; 0 for the words that most texts share."""
+    """Inverse document frequency of every feature over all documents; never 0, as an item may stand in most of them."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(FEATURES + 1, np.int64)
         for batch in batches:
@@ -89,7 +88,7 @@ def idf_of(docs: DataFrame) -> np.ndarray:
     total = docs.select("text").mapInArrow(count, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(FEATURES + 1)
     df[total.column("feature").to_numpy()] = total.column("df").to_numpy()
-    return np.where(df[:-1] <= COMMON_DOCS + COMMON_SHARE * df[-1], np.log((df[-1] + 1) / (df[:-1] + 1)) + 0.05, 0.0)
+    return np.log((df[-1] + 1) / (df[:-1] + 1)) + 0.05
 
 
 def _rows(words: np.ndarray, idf: np.ndarray) -> np.ndarray:

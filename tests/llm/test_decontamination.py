@@ -95,3 +95,11 @@ def test_rare_words_around_a_short_item_do_not_hide_it(spark):
     rows = [(i, prose(i, 40) + (f" {common}" if i < 100 else "") + " " + " ".join(f"rare{i}x{k}" for k in range(40))) for i in range(300)]
     out = D.find_leaks(awkward(spark, rows), items(spark, [(1, common), (2, " ".join(f"rare7x{k}" for k in range(12)))]), "found").collect()
     assert {r.doc_id: sorted(h.item_id for h in r.found) for r in out} == {i: [1] * (i < 100) + [2] * (i == 7) for i in range(300)}
+
+
+def test_an_item_that_many_documents_hold_is_found_in_all(spark):
+    hot, everywhere = prose(800, 30), prose(801, 12)
+    rows = [(i, prose(2000 + i, 30) + " " + everywhere + " " + prose(3000 + i, 35) + (" " + hot if i % 3 == 0 else "")) for i in range(600)]
+    for more in ([], [(10 + i, prose(7000 + i, 40)) for i in range(300)]):  # in the latent space, and by full rows
+        out = D.find_leaks(awkward(spark, rows), items(spark, [(1, hot), (2, everywhere), *more]), "found").collect()
+        assert {r.doc_id: sorted(h.item_id for h in r.found) for r in out} == {i: [1, 2] if i % 3 == 0 else [2] for i in range(600)}
