@@ -12,7 +12,8 @@ passage must cover ``LCS`` of the item, and its answer words (the rarest quarter
 present to ``ANSWER``. Reordered or reworded passages pass the first test and are judged by the other two.
 
 Words are runs of letters and digits in lower case. Defined cases: null or empty texts hold no passage and
-are clean; items of fewer than ``LEAST_WORDS`` words are not searched; every word weighs something, so that an item
+are clean; items of fewer than ``LEAST_WORDS`` words are found where their words stand as one run, and only there (cosine,
+lcs and answer are 1); items without a word or without an item_id are not searched, as nothing could be found or named; every word weighs something, so that an item
 which most documents hold is found in all of them; items that
 repeat are one item, under the smallest item_id; without documents or items nothing is contaminated; extra
 columns stay as they are.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medwright.llm.common import LETTERS, hash_spans, lowered, slices, table, words_of
+from medwright.llm.common import LETTERS, hash_spans, lowered, mix, slices, table, words_of
 
 FEATURES = 1 << 16
 RANK = 192
@@ -206,11 +207,23 @@ class Space:
     answers: list[np.ndarray]
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # length of each passage's TF-IDF row
     full: Full | None = None
+    #: Of each length below LEAST_WORDS the hashes of the items' whole runs of words, sorted, and their items.
+    runs: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.weighted = np.ascontiguousarray(self.basis) * self.idf[np.flatnonzero(self.place >= 0)].astype(np.float32)[:, None]
 
 
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` words from each word on (the last n - 1 words begin no run)."""
+    if len(words) < n:
+        return words[:0]
+    out = words[:len(words) - n + 1].copy()
+    for k in range(1, n):
+        out = mix(out) + words[k:len(words) - n + 1 + k]
+    return out
+
+
 def _svd(items: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
     """Right singular vectors (features x rank) of the items' TF-IDF passages, by randomised subspace iteration.
 
@@ -265,10 +278,16 @@ def latent_space(docs: DataFrame, items: DataFrame, idf: np.ndarray | None = Non
     place[used] = np.arange(len(used))
     space = Space(idf, place, basis[used], np.zeros((0, rank), np.float32), np.zeros(0, np.int64), [], [], [])
     passages, owner, sizes, apart, apart_passages = [], [], [], [], []
+    runs: dict[int, list[tuple[int, int]]] = {}
     for row in sorted(items.select("item_id", "text").collect()):
         raw = np.frombuffer(row.text.encode(), np.uint8)
         words = passage_words(raw, np.array([0, len(raw)]))[0]
         if len(words) < LEAST_WORDS:
+            if len(words):
+                runs.setdefault(len(words), []).append((int(run_hashes(words, len(words))[0]), len(space.item_ids)))
+                space.item_ids.append(row.item_id)
+                space.item_words.append(words)
+                space.answers.append(words)
             continue
         own = passages_of(words, idf)
         latent = np.array([w[place[f] >= 0] @ space.basis[place[f][place[f] >= 0]] for f, w, _ in own]).reshape(len(own), rank)
@@ -287,6 +306,9 @@ def latent_space(docs: DataFrame, items: DataFrame, idf: np.ndarray | None = Non
         space.answers.append(distinct[np.argsort(-weight, kind="stable")][:max(2, len(distinct) // 4)])
     if passages:
         space.passages, space.owner, space.sizes = np.concatenate(passages).astype(np.float32), np.array(owner), np.array(sizes, np.float32)
+    for n, own in runs.items():
+        own.sort()
+        space.runs[n] = np.array([h for h, _ in own], np.uint64), np.array([i for _, i in own])
     if apart:
         space.full = Full(apart, [space.item_words[i] for i in apart], [space.answers[i] for i in apart], apart_passages, idf)
     return space
@@ -368,6 +390,13 @@ def search(words: np.ndarray, rows: np.ndarray, place: np.ndarray, n: int, space
             lcs = lcs_length(a, region) / len(a) if answer >= ANSWER else 0.0
             if lcs >= LCS and (item not in hits[row] or lcs > hits[row][item]["lcs"]):
                 hits[row][item] = {"item_id": space.item_ids[item], "cosine": min(1.0, cosine), "lcs": lcs, "answer": answer}
+    for size, (keys, owner) in space.runs.items():
+        run = run_hashes(words, size)
+        at = np.searchsorted(keys, run)
+        same = np.flatnonzero((keys[np.minimum(at, len(keys) - 1)] == run) & (rows[:len(run)] == rows[len(words) - len(run):]))
+        for row, k in np.unique(np.stack([rows[same], at[same]], 1), axis=0).tolist():
+            for item in owner[k:np.searchsorted(keys, keys[k], side="right")].tolist():  # texts that differ in case or marks share a run
+                hits[row][item] = {"item_id": space.item_ids[item], "cosine": 1.0, "lcs": 1.0, "answer": 1.0}
     return [sorted(h.values(), key=lambda x: (-x["lcs"], -x["cosine"], x["item_id"])) for h in hits]
 
 

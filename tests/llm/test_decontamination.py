@@ -103,3 +103,12 @@ def test_an_item_that_many_documents_hold_is_found_in_all(spark):
     for more in ([], [(10 + i, prose(7000 + i, 40)) for i in range(300)]):  # in the latent space, and by full rows
         out = D.find_leaks(awkward(spark, rows), items(spark, [(1, hot), (2, everywhere), *more]), "found").collect()
         assert {r.doc_id: sorted(h.item_id for h in r.found) for r in out} == {i: [1, 2] if i % 3 == 0 else [2] for i in range(600)}
+
+
+def test_short_items_are_found_as_whole_runs(spark):
+    bench = [(1, "zebra"), (2, "Two Zebras?"), (3, "two zebras"), (4, "one two three four five six seven"), (5, "?!"), (None, "nameless item"), (6, "zebra zebra")]
+    rows = [(1, "a Zebra, here"), (2, "two zebras " + prose(1, 30)), (3, "zebras two"), (4, "so one two three four five six seven"), (5, "one two three four five six"),
+            (6, "seven"), (7, "ends with two"), (8, "zebras begin"), (9, "nameless item ?!"), (10, None), (11, "zebra zebra")]
+    out = {r.doc_id: [(h.item_id, h.lcs) for h in r.found] for r in D.find_leaks(awkward(spark, rows).coalesce(1), items(spark, bench), "found").collect()}
+    assert {i: [h[0] for h in found] for i, found in out.items() if found} == {1: [1], 2: [2, 3], 4: [4], 11: [1, 6]}
+    assert all(h[1] == 1 for found in out.values() for h in found)
