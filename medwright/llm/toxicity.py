@@ -8,7 +8,9 @@ contains. An L1 step keeps only words that carry evidence, and words are looked
 an unseen word never borrows a weight.
 
 Fitting reads a bounded sample: the ``TRAIN_DOCS`` labelled training rows with the least hash of doc_id,
-without documents of over ``TRAIN_WORDS`` words. Scoring reads every whole text.
+without documents of over ``TRAIN_WORDS`` words. Scoring reads every whole text. The fitted bias holds for bags of
+that length only, and a long clean text would add it up to any score. So sentences of 0.5 or more count wherever they
+stand, and all others as in the worst stretch of ``TRAIN_WORDS`` words; up to that length this is the plain noisy-or.
 
 Defined cases: a null or empty text has no sentence and scores 0; without any usable label (or of one
 class only) every score is the share of toxic labels, 0 without labels; labels that repeat count as toxic if one row says so;
@@ -124,6 +126,25 @@ def train(docs: DataFrame, labels: DataFrame, n: int = TRAIN_DOCS) -> Model:
                [np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in rows.column("sentences")], rows.column("label").to_numpy())
 
 
+def document_hazard(hazard: np.ndarray, offending: np.ndarray, first: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """-log of no toxic sentence for each of ``n`` rows, from that of each sentence, its first word and the words' rows.
+
+    Sentences that do not offend by themselves add up over two neighbouring halves of ``TRAIN_WORDS`` words at most.
+    """
+    half = TRAIN_WORDS // 2
+    begin = np.searchsorted(rows, np.arange(n + 1))
+    base = np.concatenate([[0], np.cumsum(-(-np.diff(begin) // half))])
+    row = rows[first]
+    total = np.bincount(row, np.where(offending, hazard, 0.0), n)
+    weak = np.bincount(base[row] + (first - begin[row]) // half, np.where(offending, 0.0, hazard), int(base[-1]))
+    owner = np.repeat(np.arange(n), np.diff(base))
+    both = weak.astype(float)
+    both[:-1] += np.where(owner[1:] == owner[:-1], weak[1:], 0.0)
+    worst = np.zeros(n)
+    np.maximum.at(worst, owner, both)
+    return total + worst
+
+
 def score(docs: DataFrame, model: Model, score: str = "score", spans: str | None = "offending") -> DataFrame:
     """``docs`` with the document's probability and, under ``spans``, its sentences of 0.5 or more.
 
@@ -140,7 +161,7 @@ def score(docs: DataFrame, model: Model, score: str = "score", spans: str | None
                 n = int(sentence[-1]) + 1 if len(sentence) else 0
                 first = np.searchsorted(sentence, np.arange(n))
                 z, row = model.logits(h, sentence, n), rows[first]
-                p = 1 - np.exp(-np.bincount(row, np.logaddexp(0, z), part.num_rows))
+                p = 1 - np.exp(-document_hazard(np.logaddexp(0, z), z >= 0, first, rows, part.num_rows))
                 if model.prior is not None:
                     p, z = np.where(np.diff(offsets) > 0, model.prior, 0.0), np.full(n, -np.inf)
                 columns = {score: pa.array(p)}

@@ -129,6 +129,42 @@ def test_offending_spans_point_into_the_text(spark):
     assert a.text.encode()[span.start:span.stop].decode() == "Ünd a SLUR there" and b.offending == [] and a.t > 0.99 > 0.01 > b.t
 
 
+def test_long_clean_texts_stay_clean_and_one_toxic_sentence_is_caught(labelled, spark):
+    known = [d for d in labelled if "toxic" in d and not d["held"] and d["text"]]
+    parts = [toxicity.sentence_words(raw(d["text"]), np.array([0, len(d["text"].encode())])) for d in known]
+    model = toxicity.fit([p[0] for p in parts], [p[4] for p in parts], np.array([d["toxic"] for d in known]))
+    scored = toxicity.score(awkward(spark, [(d["doc_id"], d["text"]) for d in labelled]), model, "t").collect()
+    clean = [r.text for r in scored if r.text and r.t < 0.1]
+    worst = max((s.score, r.text.encode()[s.start:s.stop].decode()) for r in scored for s in r.offending)
+    assert worst[0] > 0.9
+    rows, words, n, i = [], [], 0, 0
+    for limit in (100_000, 1_000_000):
+        while n < limit:
+            words.append(clean[i % len(clean)])
+            n, i = n + len(words[-1].split()), i + 1
+        text = "\n".join(words)
+        rows += [(limit, text), (limit + 1, "\n".join(words[:i // 2] + [worst[1]] + words[i // 2:])), (limit + 2, text + "\n" + worst[1])]
+    out = {r.doc_id: r for r in toxicity.score(awkward(spark, rows), model, "t").collect()}
+    for limit in (100_000, 1_000_000):
+        assert out[limit].t < 0.7 and not out[limit].offending, (limit, out[limit].t)
+        assert out[limit + 1].t >= 0.7 and out[limit + 2].t >= 0.7 and len(out[limit + 1].offending) == 1
+
+
+def test_up_to_the_trained_length_the_score_is_the_noisy_or():
+    rng = np.random.default_rng(6)
+    for words in (1, 2047, 2048, 4096):
+        first = np.unique(np.append(rng.integers(0, words, words // 9 + 1), 0))
+        hazard = rng.random(len(first))
+        rows = np.repeat([1, 3], words)
+        both = np.concatenate([first, first + words])
+        got = toxicity.document_hazard(np.tile(hazard, 2), np.tile(hazard > 0.7, 2), both, rows, 5)
+        assert np.allclose(got, [0, hazard.sum(), 0, hazard.sum(), 0])
+    far = np.array([0, 3000, 9000])
+    assert np.allclose(toxicity.document_hazard(np.array([0.5, 0.3, 0.4]), np.zeros(3, bool), far, np.zeros(9001, np.int64), 1), 0.8)
+    assert np.allclose(toxicity.document_hazard(np.array([0.8, 0.3, 0.9]), np.array([True, False, True]), far, np.zeros(9001, np.int64), 1), 2.0)
+    assert toxicity.document_hazard(np.zeros(0), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64), 2).tolist() == [0, 0]
+
+
 def test_utf8_of_slices():
     data, offsets = utf8(pa.array(["ab", None, "é", ""]).slice(1, 3))
     assert data.tobytes() == "é".encode() and offsets.tolist() == [0, 0, 2, 2]
