@@ -14,6 +14,10 @@ Pure part (``load_incremental``): DataFrames in, DataFrames out.
   Re-running with the same ``run_ts`` gives the same target (idempotent);
 * the audit row (IO9, IO10) as a one-row DataFrame of counts.
 
+A full outer join of a plain target shuffles all of it every day. ``run_load`` with ``buckets``
+keeps the target in hash buckets of the key (``sources.buckets``): the plan of the daily
+load then shuffles the slice only, and writes the next snapshot from the join's own partitions.
+
 Side-effecting part (``run_load``): stage, gate, write a new target snapshot and
 switch the pointer only when everything succeeded (U3), count rows with
 ``Observation`` during those writes (U2), append a ``Success`` row just before the
@@ -35,7 +39,9 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions.dates import lit_date, lit_ts
 from ..operators.windows import latest
+from ..sources import buckets as bucketed
 from ..sources import sinks
+from .schema_gate import InPlanGate
 
 LOG_SCHEMA = T.StructType([
     T.StructField("procedure_name", T.StringType()), T.StructField("load_date", T.DateType()),
@@ -127,11 +133,22 @@ def target_schema(source: DataFrame, key: str, value_cols: Sequence[str]) -> T.S
     return T.StructType([T.StructField(c, source.schema[c].dataType) for c in (key, *value_cols)] + stamps)
 
 
+def live_target(spark: SparkSession, target_root: str, schema: T.StructType, key: str, buckets: int | None) -> DataFrame:
+    """The published target, empty before the first load; in buckets if it is kept so."""
+    entry = sinks.pointer(spark, target_root)
+    if entry is None:
+        return spark.createDataFrame([], schema)
+    if entry.get("buckets") and (buckets is None or (entry["buckets"], entry["key"]) == (buckets, key)):
+        return bucketed.attach(spark, entry)
+    target = spark.read.parquet(entry["path"])
+    return target.repartition(buckets, key) if buckets else target
+
+
 def run_load(spark: SparkSession, source: DataFrame, target_root: str, log_path: str, load_date,
              run_ts: dt.datetime | None = None, key: str = "patientid",
              order: Sequence[str] = ("wicresultdate", "wicresult"), value_cols: Sequence[str] = ("wicresult",),
              gate=None, date_col: str = "wicresultdate", closed: str = "both",
-             partition_by: list[str] | None = None, keep_snapshots: int | None = None) -> dict:
+             partition_by: list[str] | None = None, keep_snapshots: int | None = None, buckets: int | None = None) -> dict:
     """Run one daily load end to end; returns the audit values written.
 
     Steps, each of which leaves its count behind when it ends, so a Failed row
@@ -140,8 +157,14 @@ def run_load(spark: SparkSession, source: DataFrame, target_root: str, log_path:
     appended after the snapshot is complete and before the pointer moves: a
     failed append leaves the old target live, and an error while the pointer
     moves adds a Failed row after it, so the last row for a run always holds.
-    ``keep_snapshots`` removes older snapshots once the new one is live.
+    ``keep_snapshots`` removes older snapshots once the new one is live. ``buckets``
+    keeps the target in that many hash buckets of ``key``; a target that is not in such
+    buckets yet is shuffled into them by this run, once.
+    ``gate`` is a function that looks at the whole source in a job of its own, or an ``InPlanGate``
+    that checks the slice while it is staged.
     """
+    if buckets and partition_by:
+        raise ValueError("a target is kept in buckets or in partitions, not in both")
     run_ts = run_ts or dt.datetime.now().replace(microsecond=0)
     counts = {"staged": 0, "kept": 0}
 
@@ -152,21 +175,25 @@ def run_load(spark: SparkSession, source: DataFrame, target_root: str, log_path:
     try:
         stage_path = f"{target_root.rstrip('/')}/_stage-{uuid.uuid4().hex}"
         observed = Observation("staged")
-        stage_slice(source, load_date, date_col, closed).observe(observed, F.count(F.lit(1)).alias("n")).write.parquet(stage_path)
+        checked = isinstance(gate, InPlanGate)
+        today = stage_slice(source, load_date, date_col, closed)
+        today = gate.over(today) if checked else today
+        today.observe(observed, F.count(F.lit(1)).alias("n")).write.parquet(stage_path)
         counts["staged"] = observed.get["n"]
-        if gate is not None:
+        if checked:
+            gate.verify()
+        elif gate is not None:
             gate(source)
         staged = spark.read.schema(source.schema).parquet(stage_path)
-        target = sinks.read_table(spark, target_root)
-        if target is None:
-            target = spark.createDataFrame([], target_schema(source, key, value_cols))
+        target = live_target(spark, target_root, target_schema(source, key, value_cols), key, buckets)
         kept_seen = Observation("kept")
         kept = dedup(staged, key, order).observe(kept_seen, F.count(F.lit(1)).alias("n"))
         new_target = merge_upsert(target, kept.select(key, *value_cols), key, value_cols, run_ts)
-        path = sinks.write_snapshot(new_target, target_root, partition_by)
+        snapshot = (bucketed.write_bucketed(new_target, target_root, key, buckets) if buckets
+                    else sinks.write_snapshot(new_target, target_root, partition_by))
         counts["kept"] = kept_seen.get["n"]
         log(K.STATUS_SUCCESS)
-        sinks.switch_pointer(spark, target_root, path)
+        sinks.switch_pointer(spark, target_root, snapshot)
     except Exception:
         log(K.STATUS_FAILED)
         raise

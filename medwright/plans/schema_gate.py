@@ -12,6 +12,10 @@ the expected maximum".
 Matching on schema, table and column names ignores case, as the usual
 SQL Server collation does. Extra vendor columns do not fail the gate (K30);
 ``extra_columns`` lists them.
+
+``InPlanGate`` is the gate as part of the write it guards: what the source's schema shows is
+checked before a row is read, and value lengths while the rows are written, so the source is
+not scanned a second time and nothing is collected.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,3 +143,61 @@ def assert_schema(expected: DataFrame, actual: DataFrame, source_name: str = K.V
     bad = detail.filter("is_mismatch").collect()  # at most one row per expected column
     if bad:
         raise SchemaMismatch(K.SCHEMA_GATE_MESSAGE, [r.asDict() for r in bad])
+
+
+class InPlanGate:
+    """The gate inside the plan of a write.
+
+        gate = InPlanGate(expected_rows)
+        gate.over(rows).write.parquet(stage)    # the write itself runs the checks
+        gate.verify()                           # raises if rows failed
+
+    ``expected`` are expected-schema rows (as in ``constants.VENDOR_EXPECTED_SCHEMA``).
+    ``over`` raises at once for missing columns and wrong types. Lengths are checked value by value:
+    with ``fail="count"`` the write goes on and an ``Observation`` counts the bad rows of each
+    column, which ``verify`` reports, all of them; with ``fail="first"`` a guarded column is only readable through a check
+    that raises, so the first bad value fails its task and with it the write.
+    """
+
+    def __init__(self, expected: Iterable[tuple] = K.VENDOR_EXPECTED_SCHEMA, source_name: str = K.VENDOR_SOURCE_NAME, fail: str = "count"):
+        if fail not in ("count", "first"):
+            raise ValueError("fail must be 'count' or 'first'")
+        names = EXPECTED_SCHEMA.fieldNames()
+        self.expected = [e for e in (dict(zip(names, row)) for row in expected) if e["source_name"] == source_name and e["is_required"]]
+        self.fail = fail
+        self._seen: Observation | None = None
+
+    def _limits(self, df: DataFrame) -> dict[str, int]:
+        actual = {f.name.lower(): f for f in df.schema.fields}
+        wrong = []
+        for e in self.expected:
+            field = actual.get(e["column_name"].lower())
+            if field is None or sql_type_name(field.dataType) != e["expected_data_type"]:
+                wrong.append({"column_name": e["column_name"], "is_missing": field is None, "expected_data_type": e["expected_data_type"],
+                              "actual_data_type": field and sql_type_name(field.dataType)})
+        if wrong:
+            raise SchemaMismatch(K.SCHEMA_GATE_MESSAGE, wrong)
+        return {actual[e["column_name"].lower()].name: e["expected_max_length"] for e in self.expected if e["expected_max_length"] is not None}
+
+    def over(self, df: DataFrame) -> DataFrame:
+        """``df`` with the checks in its plan; same rows, same columns."""
+        limits = self._limits(df)
+        if not limits:
+            return df
+        if self.fail == "first":
+            for name, most in limits.items():
+                c = F.col(f"`{name}`")
+                said = F.concat(F.lit(f"{K.SCHEMA_GATE_MESSAGE} {name}: "), F.length(c).cast("string"), F.lit(f" characters, at most {most} expected"))
+                df = df.withColumn(name, F.when(F.length(c) > most, F.raise_error(said).cast(df.schema[name].dataType)).otherwise(c))
+            return df
+        self._seen = Observation(f"gate-{id(self)}")
+        return df.observe(self._seen, *[F.count_if(F.length(F.col(f"`{name}`")) > most).alias(name) for name, most in limits.items()])
+
+    def counts(self) -> dict[str, int]:
+        """Bad rows by column, once the write has run."""
+        return dict(self._seen.get) if self._seen else {}
+
+    def verify(self) -> None:
+        bad = [{"column_name": name, "bad_rows": n} for name, n in self.counts().items() if n]
+        if bad:
+            raise SchemaMismatch(K.SCHEMA_GATE_MESSAGE, bad)

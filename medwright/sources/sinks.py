@@ -64,10 +64,16 @@ def _replace(spark: SparkSession, src: str, dst: str) -> None:
     ctx.rename(fs_pkg.Path(src), target, options)
 
 
+def pointer(spark: SparkSession, table_root: str) -> dict | None:
+    """What the pointer of a table says of its published snapshot, or None if never published."""
+    text = _read_text(spark, f"{table_root.rstrip('/')}/_CURRENT")
+    return json.loads(text) if text else None
+
+
 def current_snapshot(spark: SparkSession, table_root: str) -> str | None:
     """Path of the published snapshot of a table, or None if never published."""
-    text = _read_text(spark, f"{table_root.rstrip('/')}/_CURRENT")
-    return json.loads(text)["path"] if text else None
+    live = pointer(spark, table_root)
+    return live["path"] if live else None
 
 
 def read_table(spark: SparkSession, table_root: str) -> DataFrame | None:
@@ -85,8 +91,8 @@ def write_snapshot(df: DataFrame, table_root: str, partition_by: list[str] | Non
     return path
 
 
-def switch_pointer(spark: SparkSession, table_root: str, path: str) -> None:
-    """Make a written snapshot the live one.
+def switch_pointer(spark: SparkSession, table_root: str, snapshot: str | dict) -> None:
+    """Make a written snapshot, given by its path or by its entry, the live one.
 
     The pointer is written to a temporary name and renamed over the old one
     in a single overwrite-rename, so readers see either the old or the new
@@ -94,7 +100,7 @@ def switch_pointer(spark: SparkSession, table_root: str, path: str) -> None:
     """
     root = table_root.rstrip("/")
     tmp = f"{root}/_CURRENT.{uuid.uuid4().hex}.tmp"
-    _write_text(spark, tmp, json.dumps({"path": path}))
+    _write_text(spark, tmp, json.dumps({"path": snapshot} if isinstance(snapshot, str) else snapshot))
     _replace(spark, tmp, f"{root}/_CURRENT")
 
 
@@ -111,6 +117,12 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a directory deleted when the session's file system closes, if it is still there then."""
+    fs, p = _fs(spark, path)
+    fs.deleteOnExit(p)
+
+
 def prune_snapshots(spark: SparkSession, table_root: str, keep: int) -> list[str]:
     """Remove all but the live snapshot and the ``keep`` - 1 latest others; the removed paths.
 
