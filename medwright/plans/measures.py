@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ from .. import constants as K
 from ..functions.dates import exact_age, fmt_mdy, lit_date
 from ..functions.text import contains, percent_text, split_pair, starts_with_any
 from ..operators.windows import latest, latest_any
-from ..session import holds
+from ..sources.temptables import stored_once
 
 
 def denominator(tables: Mapping[str, DataFrame], start, end, as_of, dx_match, age_range) -> DataFrame:
@@ -46,13 +45,6 @@ def denominator(tables: Mapping[str, DataFrame], start, end, as_of, dx_match, ag
             .distinct())
 
 
-def _shared(den: DataFrame, cache: bool) -> DataFrame:
-    """The denominator feeds both the numerator and its own count. With AQE
-    the two consumers do not share an exchange, so it is persisted once (it is
-    one row per qualifying patient and diagnosis list)."""
-    return den.persist(StorageLevel.MEMORY_AND_DISK) if cache else den
-
-
 def _ratio(num: DataFrame, den: DataFrame, name: str, with_counts: bool) -> DataFrame:
     n = num.agg(F.count_distinct("pat_id").alias("numerator"))
     d = den.agg(F.count_distinct("pat_id").alias("denominator"))
@@ -60,7 +52,14 @@ def _ratio(num: DataFrame, den: DataFrame, name: str, with_counts: bool) -> Data
     cols = [percent_text("numerator", "denominator").alias(name)]
     if with_counts:
         cols = ["numerator", "denominator", *cols]
-    return holds(out.select(*cols), den)
+    return out.select(*cols)
+
+
+def _over(den: DataFrame, measure, cache: bool) -> DataFrame:
+    """The denominator feeds both the numerator and its own count. With AQE
+    the two consumers do not share an exchange, so it is stored once (it is
+    one row per qualifying patient and diagnosis list)."""
+    return stored_once(den, "denominator", measure) if cache else measure(den)
 
 
 def a1c_candidates(tables: Mapping[str, DataFrame], den: DataFrame,
@@ -87,17 +86,17 @@ def measure_latest_value(tables: Mapping[str, DataFrame], start, end, as_of,
     who was ever under it counts (K1). ``"post"`` applies the stated rule:
     the most recent result must be under the threshold (W4 vs W5).
     """
-    den = _shared(denominator(tables, start, end, as_of, lambda c: starts_with_any(c, dx_prefixes), age_range), cache)
-    rows = a1c_candidates(tables, den, proc_id)
+    if threshold_stage not in ("pre", "post"):
+        raise ValueError("threshold_stage must be 'pre' or 'post'")
     order = ["result_date", "line", "ord_num_value"]
     under = F.col("ord_num_value") < threshold
-    if threshold_stage == "pre":
-        num = latest(rows.filter(under), "pat_id", order)
-    elif threshold_stage == "post":
-        num = latest(rows, "pat_id", order).filter(under)
-    else:
-        raise ValueError("threshold_stage must be 'pre' or 'post'")
-    return _ratio(num, den, "measure_percentage", with_counts)
+
+    def measure(den: DataFrame) -> DataFrame:
+        rows = a1c_candidates(tables, den, proc_id)
+        num = latest(rows.filter(under), "pat_id", order) if threshold_stage == "pre" else latest(rows, "pat_id", order).filter(under)
+        return _ratio(num, den, "measure_percentage", with_counts)
+
+    return _over(denominator(tables, start, end, as_of, lambda c: starts_with_any(c, dx_prefixes), age_range), measure, cache)
 
 
 def bp_readings(tables: Mapping[str, DataFrame], den: DataFrame, flowsheet_id=K.BP_FLOWSHEET_ID) -> DataFrame:
@@ -132,9 +131,11 @@ def measure_bp_control(tables: Mapping[str, DataFrame], start, end, as_of,
     the ranking (W5), so a patient passes when any reading at the latest
     instant is under both limits. Malformed readings parse to NULL (K31).
     """
-    den = _shared(denominator(tables, start, end, as_of, lambda c: contains(c, dx_token), age_range), cache)
-    readings = bp_readings(tables, den)
     controlled = (F.col("diastolic") < dia_max) & (F.col("systolic") < sys_max)
-    num = latest_any(readings, "pat_id", "result_date", controlled).filter("passes")
     name = K.HYPERTENSION_LABEL if display_names else "hypertension_measure"
-    return _ratio(num, den, name, with_counts)
+
+    def measure(den: DataFrame) -> DataFrame:
+        num = latest_any(bp_readings(tables, den), "pat_id", "result_date", controlled).filter("passes")
+        return _ratio(num, den, name, with_counts)
+
+    return _over(denominator(tables, start, end, as_of, lambda c: contains(c, dx_token), age_range), measure, cache)

@@ -12,9 +12,8 @@ The report then attaches
 * per-pharmacy-name integer averages (``tat_pharmacy_averages``),
 * per-row step durations (``tat_step_durations``).
 
-The detail feeds three consumers, so ``turnaround_report`` persists it once
-(spilling to disk if needed; lost blocks are recomputed from lineage). The
-two aggregated sides are small at run time and AQE broadcasts them; their
+The detail feeds three consumers, so ``turnaround_report`` stores it once as a
+temp table (``sources.temptables``). The two aggregated sides are small at run time and AQE broadcasts them; their
 size is measured, never assumed. Step durations are computed in place:
 the report joins them back on the detail's own unique key.
 """
@@ -23,7 +22,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +30,7 @@ from ..functions.dates import duration_text, lit_ts, minute_boundaries
 from ..functions.predicates import as_numbers, not_equal, optional_in
 from ..functions.text import concat_ws_null_empty
 from ..operators.aggs import aligned_fields, int_avg, pivot_max
-from ..session import holds
+from ..sources.temptables import stored_once
 
 DETAIL_COLUMNS = ["pharmacy_name", "rx_number", "fill_number", "pharmacy_id", "entered_dttm", "entered_user",
                   "filled_dttm", "filled_user", "verified_dttm", "verified_user", "action_id", "order_med_id"]
@@ -70,11 +68,15 @@ def tat_detail(tables: Mapping[str, DataFrame], start, end, pharmacies: Iterable
         F.col("pharmacy_id").alias("fill_phr_id"), "pharmacy_id", "pharmacy_name")
     link = tables["ord_act_ord_info"].select("action_id", F.col("order_id").alias("order_med_id"),
                                              F.col("order_date").alias("contact_date_real"))
+    keys = ["order_med_id", "contact_date_real"]
+    # The links of the window's orders, from two inputs alone: what else has to be cut to the
+    # window meets these, not the rows below with all their joins.
+    window_links = link.join(odi.select(*keys), keys, "left_semi")
     acts = tables["ord_act_ot"].filter(F.col("action_type_c").isin(K.ACTION_ENTERED, K.ACTION_FILLED, K.ACTION_VERIFIED))
     emp = tables["clarity_emp"].select(F.col("epic_emp_id").alias("user_id"), F.col("name").alias("user_name"))
 
     rows = (odi.join(om, "order_med_id").join(dep, "login_dep_id").join(phr, "fill_phr_id")
-            .join(link, ["order_med_id", "contact_date_real"]))
+            .join(link, keys))
 
     # Left-joined flags only matter when a predicate reads them; without one
     # the join only duplicates rows, which MAX ignores, so it is left out.
@@ -85,9 +87,8 @@ def tat_detail(tables: Mapping[str, DataFrame], start, end, pharmacies: Iterable
     elif flag_filter:
         rows = rows.join(_flagged_actions(tables, flag_filter), "action_id", "left_semi")
     if report_option == "2":
-        keys = ["order_med_id", "contact_date_real"]
-        # Only the window's orders can be dirty, so the links are cut to them first.
-        dirty = link.join(odi.select(*keys), keys, "left_semi").join(_flagged_actions(tables, intervention_flags), "action_id").select(*keys)
+        # Only the window's orders can be dirty.
+        dirty = window_links.join(_flagged_actions(tables, intervention_flags), "action_id").select(*keys)
         rows = rows.join(dirty, keys, "left_anti")
     elif report_option not in (None, "", "1", "2", "3"):
         rows = rows.filter(F.lit(False))  # an unknown option selects nothing, as the OR-chain does
@@ -99,7 +100,7 @@ def tat_detail(tables: Mapping[str, DataFrame], start, end, pharmacies: Iterable
     # report's single MAX over the joined lines. Whether an action was verified
     # comes from the same lines, known user or not.
     t, ts, who = "action_type_c", "action_dttm_local", "user_name"
-    lines = (acts.join(rows.select("action_id"), "action_id", "left_semi")
+    lines = (acts.join(window_links.select("action_id"), "action_id", "left_semi")
              .groupBy("action_id", t, "user_id").agg(F.max(ts).alias(ts))
              .join(emp.withColumn("_known", F.lit(True)), "user_id", "left")
              .withColumn(ts, F.when(F.col("_known"), F.col(ts))))
@@ -177,7 +178,11 @@ def turnaround_report(tables: Mapping[str, DataFrame], start, end, pharmacies=No
     """
     detail = tat_detail(tables, start, end, pharmacies, flags, report_option, **kw)
     if cache:
-        detail = detail.persist(StorageLevel.MEMORY_AND_DISK)
+        return stored_once(detail, "tat_detail", lambda d: _assemble(tables, d, flags, display_names))
+    return _assemble(tables, detail, flags, display_names)
+
+
+def _assemble(tables: Mapping[str, DataFrame], detail: DataFrame, flags, display_names: bool) -> DataFrame:
     flag_lists = tat_flags(tables, detail, flags)
     averages = tat_pharmacy_averages(detail).drop("pharmacy_name")
     done = F.col("filled_dttm").isNotNull() & F.col("verified_dttm").isNotNull()
@@ -193,4 +198,4 @@ def turnaround_report(tables: Mapping[str, DataFrame], start, end, pharmacies=No
         F.col("average_turn_around_time_min").alias("average_turn_around_time_minutes"))
     if display_names:
         report = report.select(*[F.col(c).alias(K.TURNAROUND_LABELS[c]) for c in report.columns])
-    return holds(report, detail)
+    return report

@@ -58,14 +58,14 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return "/".join([base.rstrip("/"), *parts, uuid.uuid4().hex])
 
 
-def holds(report: DataFrame, *persisted: DataFrame) -> DataFrame:
-    """``report`` with a handle on the inputs persisted for it."""
-    report.persisted_inputs = [df for df in persisted if df.is_cached]
+def holds(report: DataFrame, *tables) -> DataFrame:
+    """``report`` with a handle on the temp tables it reads."""
+    report.temp_tables = list(tables)
     return report
 
 
 def release(report: DataFrame) -> None:
-    """Unpersist what was persisted for ``report``, and nothing else."""
-    for df in getattr(report, "persisted_inputs", []):
-        df.unpersist()
-    report.persisted_inputs = []
+    """Drop the temp tables of ``report``, and nothing else; it can't be read afterwards."""
+    for table in getattr(report, "temp_tables", []):
+        table.drop()
+    report.temp_tables = []

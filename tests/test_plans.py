@@ -37,7 +37,16 @@ def test_no_cartesian_products(spark, name):
 
 
 def test_period_filter_reaches_the_scan(spark):
-    plan = _plan(spark, "Q2")
+    """In the plan that scans the visits: the denominator's, which Q2 stores before it counts."""
+    from medwright import constants as K
+    from medwright.functions.text import starts_with_any
+    from medwright.plans import measures
+    from medwright.testing import oracle
+    from medwright.testing.testmap import tables_for
+    M = oracle.MEASURE
+    den = measures.denominator(tables_for(spark, SF_SMALL).measure_tables(), M["start"], M["end"], M["as_of"],
+                               lambda c: starts_with_any(c, K.DIABETES_ICD10_PREFIXES), K.DIABETES_AGE)
+    plan = den._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", plan)
 
 
