@@ -36,3 +36,18 @@ def not_exists(left: DataFrame, right: DataFrame, on) -> DataFrame:
     """Correlated ``NOT EXISTS`` (J10, J11). Build the subquery body as a
     DataFrame first, then anti-join on the correlated key(s)."""
     return left.join(right, on, "left_anti")
+
+
+def not_in_table(rows: DataFrame, column: str, excluded: DataFrame, excluded_column: str | None = None) -> DataFrame:
+    """``column NOT IN (SELECT excluded_column FROM excluded)`` for a list of any length.
+
+    An anti-join on the value, which Spark may broadcast or shuffle as it likes, with the three
+    NULL cases of ``NOT IN`` around it: a NULL in the list rejects every row, a NULL
+    value passes only an empty list, and an empty list passes everything. (Spark's own ``NOT IN
+    (SELECT ..)`` plans a null-aware join that always broadcasts the list.)
+    """
+    listed = excluded.select(F.col(excluded_column or column).alias("_not_in"))
+    size = listed.agg(F.count(F.lit(1))).scalar()
+    nulls = listed.agg(F.count_if(F.col("_not_in").isNull())).scalar()
+    kept = rows.join(listed.filter(F.col("_not_in").isNotNull()), rows[column] == F.col("_not_in"), "left_anti")
+    return kept.filter((size == 0) | ((nulls == 0) & F.col(column).isNotNull()))

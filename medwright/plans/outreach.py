@@ -9,15 +9,17 @@ Plan shape: the order table is filtered first (a one-day window on
 anti-join on cancelling edits runs next, and only then the 18 joins to
 encounter, patient and code tables, so every later join sees the small
 side of the data. Region/payer rules come in as data (``rules``), not as
-edited SQL text (P18, K12). The grain is the external order id; every
+edited SQL text (P18, K12): as rule groups in code, or as a rule table (``RuleTable``)
+that is joined, whatever its size. The grain is the external order id; every
 column is a MAX (K10, K11).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -37,7 +39,51 @@ def region_payer_rule(rules: Sequence[Mapping], pos_id: Column, payor: Column) -
     return any_of(*[pos_id.isin(list(g["pos_ids"])) & not_in(payor, g["excluded_payors"]) for g in rules])
 
 
-def future_lab_outreach(tables: Mapping[str, DataFrame], as_of, rules: Sequence[Mapping] = K.OUTREACH_REGION_RULES,
+@dataclass
+class RuleTable:
+    """Region/payer rules as two tables: the regions a rule covers and the payers it excludes.
+
+    ``regions``: rule, pos_id. ``exclusions``: rule, payor. Rows may repeat.
+    """
+    regions: DataFrame
+    exclusions: DataFrame
+
+    @classmethod
+    def of(cls, spark: SparkSession, rules: Sequence[Mapping]) -> "RuleTable":
+        """Rule groups as written in code, as tables."""
+        regions = [(i, int(p)) for i, g in enumerate(rules) for p in g["pos_ids"]]
+        exclusions = [(i, p) for i, g in enumerate(rules) for p in g["excluded_payors"]]
+        return cls(spark.createDataFrame(regions, "rule int, pos_id long"), spark.createDataFrame(exclusions, "rule int, payor string"))
+
+
+def allowed_payers(rows: DataFrame, rules: RuleTable, pos_id: str, payor: str) -> DataFrame:
+    """The rows that some rule allows: it covers the row's region and doesn't exclude its payer.
+
+    No row is multiplied by the rules of its region: a row passes when fewer rules exclude its
+    payer there than cover its region, and both numbers are aggregated over the rule tables before the join. As with
+    ``NOT IN``, a rule with a NULL among its payers allows nothing, and a NULL payer
+    passes only a rule that excludes nobody.
+    """
+    exclusions = rules.exclusions.select("rule", F.col("payor").alias("_payor")).distinct()
+    kinds = exclusions.groupBy("rule").agg(F.max(F.col("_payor").isNull()).alias("_closed"))
+    covers = (rules.regions.filter(F.col("pos_id").isNotNull()).select("rule", F.col("pos_id").alias("_pos")).distinct()
+              .join(kinds, "rule", "left").filter(~F.coalesce("_closed", F.lit(False))))
+    offered = covers.groupBy("_pos").agg(F.count(F.lit(1)).alias("_offered"), F.count_if(F.col("_closed").isNull()).alias("_free"))
+    barred = covers.join(exclusions, "rule").groupBy(F.col("_pos").alias("_at"), "_payor").agg(F.count(F.lit(1)).alias("_barred"))
+    known = rows.columns
+    return (rows.join(offered, F.col(pos_id) == F.col("_pos"))
+            .join(barred, (F.col(pos_id) == F.col("_at")) & (F.col(payor) == F.col("_payor")), "left")
+            .filter((F.col("_free") > 0) | (F.col(payor).isNotNull() & (F.coalesce("_barred", F.lit(0)) < F.col("_offered"))))
+            .select(*known))
+
+
+def _by_rules(rows: DataFrame, rules: Sequence[Mapping] | RuleTable) -> DataFrame:
+    if isinstance(rules, RuleTable):
+        return allowed_payers(rows, rules, "pos_id", "payor_name")
+    return rows.filter(region_payer_rule(rules, F.col("pos_id"), F.col("payor_name")))
+
+
+def future_lab_outreach(tables: Mapping[str, DataFrame], as_of, rules: Sequence[Mapping] | RuleTable = K.OUTREACH_REGION_RULES,
                         service_area=K.OUTREACH_SERVICE_AREA, resulting_labs: Iterable = K.OUTREACH_RESULTING_LABS,
                         excluded_procs: Iterable = K.OUTREACH_EXCLUDED_PROC_IDS) -> DataFrame:
     today = _as_date(as_of)
@@ -84,10 +130,10 @@ def future_lab_outreach(tables: Mapping[str, DataFrame], as_of, rules: Sequence[
     zop = tables["zc_order_priority"].select("order_priority_c", F.col("name").alias("order_priority_name"))
     zst = tables["zc_specimen_type"].select("specimen_type_c", F.col("name").alias("specimen_type_name"))
 
-    rows = (op.join(os_, "order_proc_id").join(op2, "order_proc_id").join(dep, "department_id")
-            .join(dep4, "department_id").join(pos, "pos_id")
-            .join(pe, "pat_enc_csn_id").join(cvg, "coverage_id").join(epm, "payor_id")
-            .filter(region_payer_rule(rules, F.col("pos_id"), F.col("payor_name")))
+    covered = (op.join(os_, "order_proc_id").join(op2, "order_proc_id").join(dep, "department_id")
+               .join(dep4, "department_id").join(pos, "pos_id")
+               .join(pe, "pat_enc_csn_id").join(cvg, "coverage_id").join(epm, "payor_id"))
+    rows = (_by_rules(covered, rules)
             .join(lab, "resulting_lab_id").join(om, "order_proc_id").join(loc, "refg_facility_id")
             .join(cam, F.col("code_value") == F.col("pos_id").cast("string"))  # text key vs number (J14)
             .join(pat, "pat_id").join(ec, "pat_enc_csn_id")
