@@ -4,7 +4,7 @@
 
 ``--tables`` is either a directory holding one Parquet folder per table
 (``<dir>/pat_enc``, ``<dir>/patient`` …) or, with ``--catalog``, a database
-name whose tables are read with ``spark.table``. Parameters are the report
+name (or several, comma separated) whose tables are read with ``spark.table``. Parameters are the report
 function's keyword arguments; lists are comma separated, ``rules`` is JSON.
 Only the tables a report needs are read, and only the columns it uses.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import constants as K
 from .plans import dispense, load, measures, outreach, safety, schema_gate, turnaround
+from .sources.namespaces import tables_from
 
 REPORTS = {
     "concurrent-rx": (safety.concurrent_rx, [
@@ -45,7 +46,7 @@ REPORTS = {
 INT_LISTS = {"service_areas", "rev_locs", "pharmacies", "resulting_labs", "age_range"}
 STR_LISTS = {"flags", "npis", "dx_prefixes", "intervention_flags", "excluded_procs"}
 BOOLS = {"los_fixed", "null_as_zero", "display_names", "with_counts", "cache"}
-INTS = {"days", "keep_snapshots", "service_area", "proc_id", "sys_max", "dia_max"}
+INTS = {"days", "keep_snapshots", "buckets", "service_area", "proc_id", "sys_max", "dia_max"}
 FLOATS = {"threshold"}
 
 
@@ -72,7 +73,7 @@ def parse_params(pairs: list[str]) -> dict:
 
 def load_tables(spark: SparkSession, names: list[str], source: str, catalog: bool) -> dict[str, DataFrame]:
     if catalog:
-        return {n: spark.table(f"{source}.{n}") for n in names}
+        return tables_from(spark, names, source.split(","))
     return {n: spark.read.parquet(f"{source.rstrip('/')}/{n}") for n in names}
 
 
