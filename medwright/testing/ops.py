@@ -929,9 +929,12 @@ def q5_declared(spark, sf):
     src = tables_for(spark, sf).patientwic_source
     name = f"vendor_{uuid.uuid4().hex}"
     spark.sql(f"CREATE TABLE {name} (patientid BIGINT, wicresult VARCHAR(20), wicresultdate DATE) USING parquet LOCATION '{shared_dir(spark, 'vendor')}'")
-    src.select("patientid", "wicresult", "wicresultdate").write.insertInto(name)
-    table = spark.table(name)
-    actual = schema_gate.actual_columns(table, "dbo", "PatientWIC_Source", schema_gate.declared_lengths(table))
+    try:
+        src.select("patientid", "wicresult", "wicresultdate").write.insertInto(name)
+        table = spark.table(name)
+        actual = schema_gate.actual_columns(table, "dbo", "PatientWIC_Source", schema_gate.declared_lengths(table))
+    finally:
+        spark.sql(f"DROP TABLE {name}")  # external: the files stay
     detail = schema_gate.validate_schema(schema_gate.expected_schema(spark), actual, length_rule="declared")
     longest = src.agg(F.max(F.length("wicresult")).alias("longest"))
     return detail.select("column_name", "actual_data_type", "expected_max_length", "actual_max_length", "is_wrong_length").crossJoin(longest)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans import dispense, load, measures, outreach, safety, schema_gate, turnaround
-from . import oracle, ops
+from . import mechanisms, oracle, ops  # noqa: F401  mechanisms registers its entries with ops
 from .testmap import tables_for as TestTables
 
 M = oracle.MEASURE
@@ -109,9 +109,7 @@ ALIASES = {
     "P1": "Q7_display_names", "P2": "S25", "P17": "Q8a_clean", "P21": "Q7",
     "J5": "Q6", "J8": "Q8",
     "A3": "A1", "A7": "Q5_count",
-    "IO2": "Q7", "IO3": "Q8", "IO6": "W2", "IO7": "Q4", "IO8": "Q4",
-    "IO11": "Q5", "IO12": "Q5", "IO15": "Q8a_flags",
-    "U1": "Q4", "U6": "Q5",
+    "IO6": "W2", "IO11": "Q5", "IO12": "Q5", "U6": "Q5",
 }
 
 
