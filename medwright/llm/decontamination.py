@@ -2,48 +2,52 @@
 
 Document frequencies of hashed words come from all documents. The benchmark's passages become TF-IDF rows,
 and a distributed randomised SVD of them (a random projection, one power iteration, each a Spark job that
-sums per feature block) gives the latent space. Every passage of every document (overlapping windows of 40 words) is
-projected into it, and items whose passages reach a cosine of ``COSINE`` are candidates; the window counts as
-no longer than the passage, so that what surrounds a short item does not hide it. An item that the space does
-not hold (a passage keeps less than ``KEPT`` of its length) is sought without it: half of its answer words must
-stand close together, and the cosine is that of the full TF-IDF rows. A candidate is
+sums per block of features) gives latent spaces: items are dealt to blocks of about ``BLOCK_PASSAGES`` passages, half as many
+again as a space has dimensions, so that a space keeps most of every passage however large the benchmark is. Only the features that a
+block's items have are numbered, sent and gathered. Every passage of every document (overlapping windows of 40 words) is
+projected into each space, and items whose passages reach a cosine of ``COSINE`` are candidates; the window counts as
+no longer than the passage, so that what surrounds a short item does not hide it, and a passage of which the space
+keeps little (one of a very long item) asks for ``SHARE`` of what it keeps, so that a verbatim copy always passes. A candidate is
 confirmed on the words themselves: the longest common subsequence of the item and the words around the
 passage must cover ``LCS`` of the item, and its answer words (the rarest quarter of its words) must be
 present to ``ANSWER``. Reordered or reworded passages pass the first test and are judged by the other two.
 
+One scan of the documents serves ``SPACES`` blocks; a benchmark of more takes more scans, each over the table the one before has written.
+
 Words are runs of letters and digits in lower case. Defined cases: null or empty texts hold no passage and
 are clean; items of fewer than ``LEAST_WORDS`` words are found where their words stand as one run, and only there (cosine,
 lcs and answer are 1); items without a word or without an item_id are not searched, as nothing could be found or named; every word weighs something, so that an item
 which most documents hold is found in all of them; items that
-repeat are one item, under the smallest item_id; without documents or items nothing is contaminated; extra
+repeat are one item, under the smallest item_id; hits of equal lcs and cosine rank by item_id; rows that repeat are
+searched each for itself; texts and items of any length are taken whole, window by window; without documents or items nothing is contaminated; extra
 columns stay as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medwright.llm.common import LETTERS, hash_spans, lowered, mix, slices, table, words_of
+from medwright.llm.common import LETTERS, hash_spans, lowered, mix, release, slices, table, words_of, written
 
 FEATURES = 1 << 16
 RANK = 192
 STRIDE = 20  # words of half a window
 COSINE = 0.3
-#: Items of which a passage keeps less of its length in the latent space are sought by their full TF-IDF rows.
-KEPT = 0.999
-#: Word occurrences of items that are looked at together.
-_CHUNK = 1 << 21
+#: The least share of what the space keeps of a passage that a window has to reach, where that is less than ``COSINE``.
+SHARE = 2 / 3
 LCS = 0.6
 ANSWER = 0.5
 LEAST_WORDS = 8
-#: Items searched in one pass over the documents; more items take more passes.
-ITEM_BLOCK = 20_000
+#: Passages of the items of a space, on average.
+BLOCK_PASSAGES = 288
+#: Spaces searched in one scan of the documents: some 50 MB that every task holds.
+SPACES = 16
 _FEATURE_BLOCK = 1024
 
 _HITS = "array<struct<item_id:bigint,cosine:double,lcs:double,answer:double>>"
@@ -92,20 +96,8 @@ def idf_of(docs: DataFrame) -> np.ndarray:
     return np.log((df[-1] + 1) / (df[:-1] + 1)) + 0.05
 
 
-def _rows(words: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Dense TF-IDF windows of one text's words, each of length 1."""
-    place = np.arange(len(words))
-    cell, first, counts = cells_of(words, np.zeros(len(words), np.int64), place, 1)
-    n = int(first[1])
-    cells = np.zeros((n, FEATURES), np.float32)
-    f = _features(words)
-    np.add.at(cells, (cell[counts], f[counts]), idf[f[counts]])
-    out = cells[:-1] + cells[1:] if n > 1 else cells
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-
 def passages_of(words: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """The windows of ``_rows``: features, their weights (of length 1 together), and the length before that."""
+    """TF-IDF windows of one text's words: features, their weights (of length 1 together), and the length before that."""
     cell, first, counts = cells_of(words, np.zeros(len(words), np.int64), np.arange(len(words)), 1)
     f, cell = _features(words)[counts], cell[counts]
     out = []
@@ -117,102 +109,24 @@ def passages_of(words: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np
     return out
 
 
-def _ranges(first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All places of the parts ``which`` of a list with part limits ``first``, and of each place the number in ``which``."""
-    n = first[which + 1] - first[which]
-    owner = np.repeat(np.arange(len(which)), n)
-    return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + first[which][owner], owner
-
-
-class Full:
-    """Items that the latent space does not hold: an index of their answer words, and their full TF-IDF passages."""
-
-    def __init__(self, numbers: list[int], item_words: list[np.ndarray], answers: list[np.ndarray], passages: list[list[tuple]], idf: np.ndarray) -> None:
-        self.numbers = np.array(numbers, np.int64)  # of each item its number in the space
-        self.need = np.array([max(1, int(np.ceil(ANSWER * len(a)))) for a in answers], np.int64)
-        #: No stretch that is confirmed has more words.
-        self.span = np.array([4 * len(w) + 4 * STRIDE for w in item_words], np.int64)
-        owner = np.repeat(np.arange(len(answers)), [len(a) for a in answers])
-        every = np.concatenate(answers) if answers else np.zeros(0, np.uint64)
-        order = np.argsort(every, kind="stable")
-        self.items = owner[order]
-        self.keys, begin = np.unique(every[order], return_index=True)
-        self.first = np.append(begin, len(every)).astype(np.int64)
-        flat = [p for own in passages for p in own]
-        self.own = np.cumsum([0] + [len(own) for own in passages])  # passages of each item
-        self.cuts = np.cumsum([0] + [len(f) for f, _, _ in flat])  # features of each passage
-        self.features = np.concatenate([f for f, _, _ in flat]) if flat else np.zeros(0, np.int64)
-        self.weights = np.concatenate([w for _, w, _ in flat]) * idf[self.features] if flat else np.zeros(0)
-        self.sizes = np.array([size for _, _, size in flat])
-
-    def pairs(self, words: np.ndarray, rows: np.ndarray, counts: np.ndarray, cell: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Windows with an answer word where enough answer words of an item stand close together, as item * cells + window."""
-        cells = int(first[-1])
-        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
-        hit = np.flatnonzero(counts & (self.keys[at] == words))
-        total = np.cumsum(self.first[at[hit] + 1] - self.first[at[hit]])
-        groups = int(total[-1]) // _CHUNK + 1 if len(total) else 0
-        pieces = np.split(hit, np.searchsorted(total, np.arange(1, groups) * _CHUNK)) if groups else []
-        out = [np.zeros(0, np.int64)]
-        for g in range(groups):  # each group takes all words and a share of the items, which bounds the memory
-            some = []
-            for piece in pieces:
-                places, owner = _ranges(self.first, at[piece])
-                item = self.items[places]
-                keep = item % groups == g
-                some.append((item[keep], piece[owner[keep]]))
-            item, pos = (np.concatenate(x) for x in zip(*some))
-            order = np.argsort(item, kind="stable")
-            item, pos = item[order], pos[order]
-            end = np.arange(len(item)) + self.need[item] - 1
-            to = np.minimum(end, max(len(item) - 1, 0))
-            begin = np.flatnonzero((end == to) & (item[to] == item) & (rows[pos[to]] == rows[pos]) & (pos[to] - pos < self.span[item]))
-            inside = np.cumsum(np.bincount(begin, minlength=len(item) + 1) - np.bincount(end[begin] + 1, minlength=len(item) + 1))[:len(item)] > 0
-            item, pos = item[inside], pos[inside]
-            before = cell[pos] > first[rows[pos]]
-            out += [item * cells + cell[pos], item[before] * cells + cell[pos][before] - 1]
-        return np.unique(np.concatenate(out))
-
-    def near(self, pairs: np.ndarray, keys: np.ndarray, tf: np.ndarray, length: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """Item, window and cosine where a passage reaches ``COSINE``; ``keys`` and ``tf`` count the features of each cell."""
-        def held(key: np.ndarray) -> np.ndarray:
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            return np.where(keys[at] == key, tf[at], 0)
-
-        cells = len(last)
-        width = self.cuts[self.own[1:]] - self.cuts[self.own[:-1]]
-        limits = np.cumsum(width[pairs // cells])
-        for some in np.split(pairs, np.searchsorted(limits, np.arange(1, int(limits[-1]) // _CHUNK + 1) * _CHUNK)) if len(pairs) else []:
-            passage, owner = _ranges(self.own, some // cells)
-            window = (some % cells)[owner]
-            places, part = _ranges(self.cuts, passage)
-            f, c = self.features[places], window[part]
-            count = held(c * FEATURES + f) + np.where(last[c], 0, held((c + 1) * FEATURES + f))
-            dot = np.bincount(part, count * self.weights[places], len(passage))
-            for k in np.flatnonzero(dot >= COSINE * np.minimum(length[window], self.sizes[passage])):
-                yield int(self.numbers[some[owner[k]] // cells]), int(window[k]), float(dot[k] / length[window[k]])
-
-
 @dataclass
 class Space:
-    """The latent space: idf, of each feature its row in ``basis`` (-1: none), and the items."""
+    """The latent space of a block of items: idf, of each feature its row in ``basis`` (-1: none), and the items."""
 
     idf: np.ndarray
     place: np.ndarray
-    basis: np.ndarray  # (features of the benchmark, rank)
-    passages: np.ndarray  # (passages, rank), of length 1
-    owner: np.ndarray  # item of each passage
+    basis: np.ndarray  # (features of the block's items, dimensions)
+    weighted: np.ndarray  # basis times idf
     item_ids: list[int]
     item_words: list[np.ndarray]
     answers: list[np.ndarray]
-    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # length of each passage's TF-IDF row
-    full: Full | None = None
+    passages: np.ndarray  # (passages, dimensions), of length 1
+    owner: np.ndarray  # item of each passage
+    sizes: np.ndarray  # length of each passage's TF-IDF row
+    least: np.ndarray  # cosine that makes a candidate of it
     #: Of each length below LEAST_WORDS the hashes of the items' whole runs of words, sorted, and their items.
     runs: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
-    def __post_init__(self) -> None:
-        self.weighted = np.ascontiguousarray(self.basis) * self.idf[np.flatnonzero(self.place >= 0)].astype(np.float32)[:, None]
-
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of the ``n`` words from each word on (the last n - 1 words begin no run)."""
@@ -224,93 +138,113 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _svd(items: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
-    """Right singular vectors (features x rank) of the items' TF-IDF passages, by randomised subspace iteration.
+def _words(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return passage_words(raw, np.array([0, len(raw)]))[0]
+
 
-    A job sends the current basis to the passages, and sums A'(A X) per block of features.
+def _svd(items: DataFrame, idf: np.ndarray, places: dict[int, np.ndarray], rank: int) -> dict[int, np.ndarray]:
+    """Right singular vectors of each block's TF-IDF passages, by randomised subspace iteration.
+
+    ``items`` has block and text, ``places`` numbers each block's features. A job sends the current
+    bases to the passages and sums A'(A X) per block of features, for all blocks of items at once.
     """
-    def product(basis: np.ndarray | None):
+    sizes = {b: int(place.max()) + 1 for b, place in places.items()}
+    kind = "block int, rows int, part binary"
+
+    def parts(total: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[i] for k in total], pa.int32()) for i in range(2)] + [pa.array([v.tobytes() for v in total.values()], pa.binary())],
+                                          names=["block", "rows", "part"])
+
+    def product(bases: dict[int, np.ndarray] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x = np.random.default_rng(3).standard_normal((FEATURES, rank), np.float32) if basis is None else basis
-            total: dict[int, np.ndarray] = {}
+            x, total = dict(bases or {}), {}
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    raw = np.frombuffer(text.encode(), np.uint8)
-                    words = passage_words(raw, np.array([0, len(raw)]))[0]
-                    for row in _rows(words, idf) if len(words) else []:
-                        some = np.flatnonzero(row)
-                        y = row[some] @ x[some]
-                        for block in np.unique(some // _FEATURE_BLOCK):
-                            own = some[some // _FEATURE_BLOCK == block]
-                            total.setdefault(int(block), np.zeros((_FEATURE_BLOCK, rank), np.float32))[own % _FEATURE_BLOCK] += np.outer(row[own], y)
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["block", "part"])
+                for b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    words = _words(text)
+                    if not len(words):
+                        continue
+                    if b not in x:
+                        x[b] = np.random.default_rng(3).standard_normal((sizes[b], rank), np.float32)
+                    if b not in total:
+                        total[b] = np.zeros((sizes[b], x[b].shape[1]), np.float32)
+                    for f, weight, _ in passages_of(words, idf):
+                        own, weight = places[b][f], weight.astype(np.float32)
+                        total[b][own] += np.outer(weight, weight @ x[b][own])
+            for b, sums in total.items():
+                yield parts({(b, i): sums[i:i + _FEATURE_BLOCK] for i in range(0, len(sums), _FEATURE_BLOCK)})
         return run
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for block, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(part.as_buffer(), np.float32).reshape(_FEATURE_BLOCK, rank)
-                total[block] = total[block] + part if block in total else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["block", "part"])
+            for b, i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                part = np.frombuffer(part.as_buffer(), np.float32)
+                total[b, i] = total[b, i] + part if (b, i) in total else part
+        yield parts(total)
 
-    basis = None
+    bases = None
     for _ in range(3):
-        parts = items.mapInArrow(product(basis), "block int, part binary").repartition(8, "block").mapInArrow(add, "block int, part binary").toArrow()
-        y = np.zeros((FEATURES, rank), np.float32)
-        for block, part in zip(parts.column(0).to_pylist(), parts.column(1)):
-            y[block * _FEATURE_BLOCK:(block + 1) * _FEATURE_BLOCK] = np.frombuffer(part.as_buffer(), np.float32).reshape(_FEATURE_BLOCK, rank)
-        used = np.flatnonzero(np.abs(y).sum(1))
-        basis = np.zeros_like(y)
+        sums = items.mapInArrow(product(bases), kind).repartition(8, "block", "rows").mapInArrow(add, kind).toArrow()
+        found: dict[int, dict[int, np.ndarray]] = {}
+        for b, i, part in zip(sums.column(0).to_pylist(), sums.column(1).to_pylist(), sums.column(2)):
+            found.setdefault(b, {})[i] = np.frombuffer(part.as_buffer(), np.float32)
+        bases = {}
+        for b, own in found.items():
+            y = np.concatenate([own[i] for i in sorted(own)]).reshape(sizes[b], -1)
+            left, values, _ = np.linalg.svd(y, full_matrices=False)
+            bases[b] = np.ascontiguousarray(left[:, values > values[0] * 1e-5])
+    return bases
+
+
+def latent_spaces(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> list[Space]:
+    """The spaces of the blocks of ``items`` (block, item_id, text); their items are read to the driver, block by block few."""
+    read: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for row in sorted(items.select("block", "item_id", "text").collect()):
+        read.setdefault(row.block, []).append((row.item_id, _words(row.text)))
+    places = {}
+    for b, own in read.items():
+        used = np.unique(np.concatenate([_features(words) for _, words in own]))
         if len(used):
-            left, sizes, _ = np.linalg.svd(y[used], full_matrices=False)
-            keep = sizes > sizes[0] * 1e-5
-            basis[used[:, None], np.arange(int(keep.sum()))] = left[:, keep]
-    return basis
-
-
-def latent_space(docs: DataFrame, items: DataFrame, idf: np.ndarray | None = None, rank: int = RANK) -> Space:
-    """The space of one block of at most ``ITEM_BLOCK`` items (item_id, text)."""
-    idf = idf_of(docs) if idf is None else idf
-    basis = _svd(items.select("text"), idf, rank)
-    used = np.flatnonzero(np.abs(basis).sum(1))
-    place = np.full(FEATURES, -1, np.int32)
-    place[used] = np.arange(len(used))
-    space = Space(idf, place, basis[used], np.zeros((0, rank), np.float32), np.zeros(0, np.int64), [], [], [])
-    passages, owner, sizes, apart, apart_passages = [], [], [], [], []
+            places[b] = np.full(FEATURES, -1, np.int32)
+            places[b][used] = np.arange(len(used))
+    bases = _svd(items.select(F.col("block").cast("int"), "text"), idf, places, rank) if places else {}
+    return [_space(read[b], idf, places[b], bases[b]) for b in places]
+
+
+def _space(items: list[tuple[int, np.ndarray]], idf: np.ndarray, place: np.ndarray, basis: np.ndarray) -> Space:
+    item_ids, item_words, answers, passages, owner, sizes = [], [], [], [], [], []
     runs: dict[int, list[tuple[int, int]]] = {}
-    for row in sorted(items.select("item_id", "text").collect()):
-        raw = np.frombuffer(row.text.encode(), np.uint8)
-        words = passage_words(raw, np.array([0, len(raw)]))[0]
-        if len(words) < LEAST_WORDS:
-            if len(words):
-                runs.setdefault(len(words), []).append((int(run_hashes(words, len(words))[0]), len(space.item_ids)))
-                space.item_ids.append(row.item_id)
-                space.item_words.append(words)
-                space.answers.append(words)
+    for item_id, words in items:
+        if not len(words):
             continue
-        own = passages_of(words, idf)
-        latent = np.array([w[place[f] >= 0] @ space.basis[place[f][place[f] >= 0]] for f, w, _ in own]).reshape(len(own), rank)
-        kept = np.linalg.norm(latent, axis=1, keepdims=True)
-        if kept.min() >= KEPT:
-            passages.append(latent / kept)
-            sizes += [size for _, _, size in own]
-            owner += [len(space.item_ids)] * len(latent)
+        if len(words) < LEAST_WORDS:
+            runs.setdefault(len(words), []).append((int(run_hashes(words, len(words))[0]), len(item_ids)))
+            answers.append(words)
         else:
-            apart.append(len(space.item_ids))
-            apart_passages.append(own)
-        distinct = np.unique(words)
-        weight = idf[_features(distinct)]
-        space.item_ids.append(row.item_id)
-        space.item_words.append(words)
-        space.answers.append(distinct[np.argsort(-weight, kind="stable")][:max(2, len(distinct) // 4)])
-    if passages:
-        space.passages, space.owner, space.sizes = np.concatenate(passages).astype(np.float32), np.array(owner), np.array(sizes, np.float32)
+            for f, weight, size in passages_of(words, idf):
+                passages.append(weight @ basis[place[f]])
+                owner.append(len(item_ids))
+                sizes.append(size)
+            distinct = np.unique(words)
+            weight = idf[_features(distinct)]
+            answers.append(distinct[np.argsort(-weight, kind="stable")][:max(2, len(distinct) // 4)])
+        item_ids.append(item_id)
+        item_words.append(words)
+    latent = np.array(passages, np.float32).reshape(len(passages), basis.shape[1])
+    kept = np.linalg.norm(latent, axis=1)
+    sorted_runs = {}
     for n, own in runs.items():
         own.sort()
-        space.runs[n] = np.array([h for h, _ in own], np.uint64), np.array([i for _, i in own])
-    if apart:
-        space.full = Full(apart, [space.item_words[i] for i in apart], [space.answers[i] for i in apart], apart_passages, idf)
+        sorted_runs[n] = np.array([h for h, _ in own], np.uint64), np.array([i for _, i in own])
+    return Space(idf, place, basis, basis * idf[place >= 0].astype(np.float32)[:, None], item_ids, item_words, answers,
+                 latent / np.maximum(kept, 1e-9)[:, None], np.array(owner, np.int64), np.array(sizes, np.float32),
+                 np.minimum(COSINE, SHARE * kept).astype(np.float32), sorted_runs)
+
+
+def latent_space(docs: DataFrame, items: DataFrame, rank: int = RANK) -> Space:
+    """One space for all of ``items`` (item_id, text)."""
+    (space,) = latent_spaces(items.withColumn("block", F.lit(0)), idf_of(docs), rank)
     return space
 
 
@@ -345,59 +279,79 @@ def _sums(basis: np.ndarray, place: np.ndarray, cell: np.ndarray, cells: int) ->
     return out
 
 
-def search(words: np.ndarray, rows: np.ndarray, place: np.ndarray, n: int, space: Space) -> list[list[dict]]:
+def search(words: np.ndarray, rows: np.ndarray, place: np.ndarray, n: int, *spaces: Space) -> list[list[dict]]:
     """Confirmed items of each of ``n`` rows, the best first."""
-    hits: list[dict[int, dict]] = [{} for _ in range(n)]
-    if not len(words) or not len(space.item_ids):
-        return [[] for _ in range(n)]
+    hits: list[list[dict]] = [[] for _ in range(n)]
+    if not len(words) or not spaces:
+        return hits
     cell, first, counts = cells_of(words, rows, place, n)
-    cells = int(first[-1])
     f = _features(words)
-    weight = np.where(counts, space.idf[f], 0)
-    last = np.zeros(cells, bool)
+    weight = np.where(counts, spaces[0].idf[f], 0)
+    last = np.zeros(int(first[-1]), bool)
     last[first[1:][np.diff(first) > 0] - 1] = True
-    norm = np.bincount(cell, weight * weight, cells)
+    norm = np.bincount(cell, weight * weight, len(last))
     norm[:-1] += np.where(last[:-1], 0, norm[1:])
     length = np.sqrt(np.maximum(norm, 1e-9)).astype(np.float32)
     starts = np.searchsorted(rows, np.arange(n + 1))
-    found: dict[tuple[int, int], list] = {}
+    for space in spaces:
+        for row, found in _confirmed(_candidates(space, f, cell, counts, first, last, length), words, starts, space).items():
+            hits[row] += found.values()
+        for row, item in _short_items(words, rows, space):
+            hits[row].append({"item_id": space.item_ids[item], "cosine": 1.0, "lcs": 1.0, "answer": 1.0})
+    return [sorted(h, key=_best_first) for h in hits]
 
-    def candidate(item: int, at: int, cosine: float) -> None:
-        row = int(np.searchsorted(first, at, side="right")) - 1
-        found.setdefault((row, item), []).append((at - int(first[row]), cosine))
-
-    if len(space.passages):
-        known = np.flatnonzero((space.place[f] >= 0) & (weight > 0))
-        window = _sums(space.weighted, space.place[f[known]], cell[known], cells)
-        window[:-1] += np.where(last[:-1, None], 0, window[1:])
-        for i in range(0, cells, 4096):
-            for k in range(0, len(space.passages), 4096):
-                dot = window[i:i + 4096] @ space.passages[k:k + 4096].T
-                for c, p in zip(*np.nonzero(dot >= COSINE * np.minimum(length[i:i + 4096, None], space.sizes[k:k + 4096]))):
-                    candidate(int(space.owner[p + k]), int(c + i), float(dot[c, p] / length[c + i]))
-    if space.full is not None:
-        pairs = space.full.pairs(words, rows, counts, cell, first)
-        if len(pairs):
-            keys, tf = np.unique(cell[counts] * FEATURES + f[counts], return_counts=True)
-            for item, at, cosine in space.full.near(pairs, keys, tf, length, last):
-                candidate(item, at, cosine)
-    for (row, item), places in found.items():
+
+def _best_first(hit: dict) -> tuple:
+    return -hit["lcs"], -hit["cosine"], hit["item_id"]
+
+
+def _candidates(space: Space, f: np.ndarray, cell: np.ndarray, counts: np.ndarray, first: np.ndarray, last: np.ndarray,
+                length: np.ndarray) -> dict[tuple[int, int], list[tuple[int, float]]]:
+    """Of each row and item the windows (number in the row, cosine) that reach the item in the space."""
+    found: dict[tuple[int, int], list] = {}
+    if not len(space.passages):
+        return found
+    known = np.flatnonzero((space.place[f] >= 0) & counts)
+    window = _sums(space.weighted, space.place[f[known]], cell[known], len(last))
+    window[:-1] += np.where(last[:-1, None], 0, window[1:])
+    # No product with a passage is longer than the window's projection, so most windows need none.
+    long_enough = np.flatnonzero(np.linalg.norm(window, axis=1) >= space.least.min() * np.minimum(length, space.sizes.min()) * (1 - 1e-5))
+    for i in range(0, len(long_enough), 4096):
+        some = long_enough[i:i + 4096]
+        for k in range(0, len(space.passages), 4096):
+            dot = window[some] @ space.passages[k:k + 4096].T
+            for c, p in zip(*np.nonzero(dot >= space.least[k:k + 4096] * np.minimum(length[some, None], space.sizes[k:k + 4096]) * (1 - 1e-5))):
+                at = int(some[c])
+                row = int(np.searchsorted(first, at, side="right")) - 1
+                found.setdefault((row, int(space.owner[p + k])), []).append((at - int(first[row]), float(dot[c, p] / length[at])))
+    return found
+
+
+def _confirmed(candidates: dict[tuple[int, int], list[tuple[int, float]]], words: np.ndarray, starts: np.ndarray, space: Space) -> dict[int, dict[int, dict]]:
+    """The candidates whose words are there: of each row the items and their best figures."""
+    hits: dict[int, dict[int, dict]] = {}
+    for (row, item), places in candidates.items():
         a = space.item_words[item]
         text = words[starts[row]:starts[row + 1]]
         for at, end, cosine in _runs(sorted(places), len(a)):
             region = text[max(0, at * STRIDE - len(a)):(end + 2) * STRIDE + len(a)]
             answer = float(np.isin(space.answers[item], region).mean())
             lcs = lcs_length(a, region) / len(a) if answer >= ANSWER else 0.0
-            if lcs >= LCS and (item not in hits[row] or lcs > hits[row][item]["lcs"]):
-                hits[row][item] = {"item_id": space.item_ids[item], "cosine": min(1.0, cosine), "lcs": lcs, "answer": answer}
+            own = hits.setdefault(row, {})
+            if lcs >= LCS and (item not in own or lcs > own[item]["lcs"]):
+                own[item] = {"item_id": space.item_ids[item], "cosine": min(1.0, cosine), "lcs": lcs, "answer": answer}
+    return hits
+
+
+def _short_items(words: np.ndarray, rows: np.ndarray, space: Space) -> Iterator[tuple[int, int]]:
+    """Row and item where all words of a short item stand as one run."""
     for size, (keys, owner) in space.runs.items():
         run = run_hashes(words, size)
         at = np.searchsorted(keys, run)
         same = np.flatnonzero((keys[np.minimum(at, len(keys) - 1)] == run) & (rows[:len(run)] == rows[len(words) - len(run):]))
         for row, k in np.unique(np.stack([rows[same], at[same]], 1), axis=0).tolist():
             for item in owner[k:np.searchsorted(keys, keys[k], side="right")].tolist():  # texts that differ in case or marks share a run
-                hits[row][item] = {"item_id": space.item_ids[item], "cosine": 1.0, "lcs": 1.0, "answer": 1.0}
-    return [sorted(h.values(), key=lambda x: (-x["lcs"], -x["cosine"], x["item_id"])) for h in hits]
+                yield row, item
 
 
 def _runs(places: list[tuple[int, float]], length: int) -> Iterator[tuple[int, int, float]]:
@@ -416,25 +370,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, hits: str = "hits") -> Dat
     """``docs`` with the benchmark items that each text holds, under ``hits``, the best first."""
     items = (benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
              .groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id")))
-    blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    words = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
+    passages = items.agg(F.sum(F.greatest(F.lit(1), F.ceil(words / STRIDE) - 1)).alias("n")).first().n or 0
+    blocks = max(1, -(-int(passages) // BLOCK_PASSAGES))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
     idf = idf_of(docs)
-    out = docs.withColumn(hits, F.lit(None).cast(_HITS))
-    for b in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        out = _search_all(out, latent_space(docs, own, idf), hits)
+    out = docs.withColumn(hits, F.array().cast(_HITS))
+    for b in range(0, blocks, SPACES):
+        if b:
+            before, out = out, written(out, "leaks")
+            release(docs.sparkSession, before)
+        out = _search_all(out, latent_spaces(dealt.filter(F.col("block").between(b, b + SPACES - 1)), idf), hits)
     return out
 
 
-def _search_all(docs: DataFrame, space: Space, hits: str) -> DataFrame:
+def _search_all(docs: DataFrame, spaces: list[Space], hits: str) -> DataFrame:
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64())]))
+    slim = [replace(space, basis=space.basis[:0]) for space in spaces]  # a search only needs the weighted one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch.schema.get_field_index(hits)
             for part, data, offsets in slices(batch):
-                old = part.column(part.schema.get_field_index(hits)).to_pylist()
-                new = search(*passage_words(data, offsets), part.num_rows, space)
-                both = [sorted((a or []) + b, key=lambda x: (-x["lcs"], -x["cosine"], x["item_id"])) for a, b in zip(old, new)]
-                yield part.set_column(part.schema.get_field_index(hits), hits, pa.array(both, kind))
+                new = search(*passage_words(data, offsets), part.num_rows, *slim)
+                both = [sorted(a + b, key=_best_first) if a and b else a or b for a, b in zip(part.column(at).to_pylist(), new)]
+                yield part.set_column(at, hits, pa.array(both, kind))
 
     return docs.mapInArrow(run, docs.schema)
 
