@@ -320,10 +320,17 @@ def _candidates(space: Space, f: np.ndarray, cell: np.ndarray, counts: np.ndarra
         some = long_enough[i:i + 4096]
         for k in range(0, len(space.passages), 4096):
             dot = window[some] @ space.passages[k:k + 4096].T
-            for c, p in zip(*np.nonzero(dot >= space.least[k:k + 4096] * np.minimum(length[some, None], space.sizes[k:k + 4096]) * (1 - 1e-5))):
-                at = int(some[c])
-                row = int(np.searchsorted(first, at, side="right")) - 1
-                found.setdefault((row, int(space.owner[p + k])), []).append((at - int(first[row]), float(dot[c, p] / length[at])))
+            near = dot >= space.least[k:k + 4096] * np.minimum(length[some, None], space.sizes[k:k + 4096]) * (1 - 1e-5)
+            hit = np.flatnonzero(near.any(1))
+            if not len(hit):
+                continue
+            items, begin = np.unique(space.owner[k:k + 4096], return_index=True)  # an item's passages stand together
+            at = some[hit]
+            best = np.maximum.reduceat(np.where(near[hit], dot[hit] / length[at, None], -1), begin, axis=1)
+            row = np.searchsorted(first, at, side="right") - 1
+            c, item = np.nonzero(best >= 0)
+            for key, place, cosine in zip(zip(row[c].tolist(), items[item].tolist()), (at - first[row])[c].tolist(), best[c, item].tolist()):
+                found.setdefault(key, []).append((place, cosine))
     return found
 
 
