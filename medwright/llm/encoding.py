@@ -36,6 +36,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(silent)}
 
 
+class _Memory(dict):
+    """Words and their ids; a word that is not there is learnt when it is looked up, so texts are gone over once."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian uint32 bytes."""
 
@@ -46,7 +58,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = remembered
-        self.words: dict[str, bytes] = {}
+        self.words = _Memory(self._learn)
         self.older: dict[str, bytes] = {}
         self.letters = _byte_letters()
         # How the model wants a plain word, by trial: with the space (byte-level), or bare and in lower case.
@@ -63,41 +75,28 @@ class Encoder:
     def _ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        """Remember the ids of words."""
-        other = []
-        plain, tokenize, known = self.plain, self.model.tokenize, self.words
-        for w in words:
-            if plain and _PLAIN.match(w):
-                known[w] = array("I", [t.id for t in tokenize(plain(w))]).tobytes()
+    def _learn(self, word: str) -> bytes:
+        """The ids of a word: as remembered longer ago, or by the library."""
+        ids = self.older.get(word)
+        if ids is None:
+            if self.plain and _PLAIN.match(word):
+                ids = array("I", [t.id for t in self.model.tokenize(self.plain(word))]).tobytes()
             else:
-                other.append(w)
-        for i in range(0, len(other), 4096):
-            known.update((w, x.tobytes()) for w, x in zip(other[i:i + 4096], self._ids(other[i:i + 4096])))
+                ids = self._ids([word])[0].tobytes()
+        return ids
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text; null has none."""
-        if len(self.words) > self.remembered:
-            self.older, self.words = self.words, {}
-        cut, whole = [], []
-        missing: set[str] = set()
-        for i, text in enumerate(texts):
+        out = []
+        for text in texts:
+            if len(self.words) > self.remembered:
+                self.older, self.words = self.words, _Memory(self._learn)
             if not text:
-                cut.append(())
+                out.append(b"")
             elif any(s in text for s in self.specials):
-                cut.append(())
-                whole.append(i)
+                out.append(self._ids([text])[0].tobytes())
             else:
-                words = _WORDS.findall(text)
-                missing.update(set(words).difference(self.words))
-                cut.append(words)
-        if missing:
-            known = missing.intersection(self.older)
-            self.words.update((w, self.older[w]) for w in known)
-            self._learn(missing - known)
-        out = [b"".join(map(self.words.__getitem__, words)) for words in cut]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids.tobytes()
+                out.append(b"".join(map(self.words.__getitem__, _WORDS.findall(text))))
         return out
 
 
