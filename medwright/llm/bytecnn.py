@@ -1,7 +1,7 @@
 """Byte-level convolution in numpy: filters over raw UTF-8, max-pooled over fixed-length blocks.
 
-Documents are laid end to end, each padded with the byte 0xFF (which UTF-8 never holds) to whole blocks,
-so pooling is a reshape and filters never see two documents. A filter of width w over one-hot bytes is a
+Documents are laid end to end, each padded with the byte 0xFF (which UTF-8 never holds) in front and behind to whole
+blocks, so pooling is a reshape and filters never see two documents: a window that begins in the pad behind a document ends in the pad in front of the next. A filter of width w over one-hot bytes is a
 sum of w table rows; two neighbouring bytes are taken at once from a table of 65,536 rows. Training
 needs the position of each block's maximum only, so the backward pass is a weighted count.
 """
@@ -14,17 +14,17 @@ from dataclasses import dataclass
 import numpy as np
 
 BLOCK = 256
-_GAP = 8  # pad bytes behind each document, as many as the widest filter at least
+_GAP = 8  # pad bytes before and behind each document, as many as the widest filter at least
 _TILE = 64  # blocks convolved at a time
 
 
 def lay_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Padded bytes (and a spare block behind them), and the first block of each row (n + 1 numbers)."""
     sizes = np.diff(offsets)
-    first = np.concatenate([[0], np.cumsum(-(-(sizes + _GAP) // BLOCK))])
+    first = np.concatenate([[0], np.cumsum(-(-(sizes + 2 * _GAP) // BLOCK))])
     out = np.full((int(first[-1]) + 1) * BLOCK, 0xFF, np.uint8)
     if len(data):
-        out[np.arange(len(data)) + np.repeat(first[:-1] * BLOCK - offsets[:-1], sizes)] = data
+        out[np.arange(len(data)) + np.repeat(first[:-1] * BLOCK + _GAP - offsets[:-1], sizes)] = data
     return out, first
 
 

@@ -9,7 +9,8 @@ doc_id, without texts of over ``TRAIN_BYTES`` bytes. Prediction reads every whol
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without a training language every
 text is ``und``; one training language only has score 1; extra columns stay as they are; an empty table
-gives an empty result.
+gives an empty result. Of equally likely languages the first by name is predicted. Rows that repeat are predicted each for itself;
+rows of one doc_id with different languages teach each. A text of any length is read whole, in windows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ with the least hash of doc_id. Scoring reads every whole text.
 
 Defined cases: a null or empty text is scored as one block of padding; labels that repeat count as good if one row
 says so; without labels, or with one class only, every score is the share of good labels (0.5 without
-labels); extra columns stay as they are; an empty table gives an empty result.
+labels); extra columns stay as they are; an empty table gives an empty result. Rows that repeat are scored each
+for itself, and where their doc_id is in the training sample each of them is learnt from. Equal scores are not
+ranked. A text of any length is scored whole, in blocks.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ stand, and all others as in the worst stretch of ``TRAIN_WORDS`` words; up to th
 
 Defined cases: a null or empty text has no sentence and scores 0; without any usable label (or of one
 class only) every score is the share of toxic labels, 0 without labels; labels that repeat count as toxic if one row says so;
-an empty table gives an empty result.
+an empty table gives an empty result. Rows that repeat are scored each for itself, and where their doc_id is in the training sample
+each of them is learnt from. Spans stand in the order of the text; equal scores are not ranked.
 """
 
 from __future__ import annotations

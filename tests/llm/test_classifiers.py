@@ -168,3 +168,82 @@ def test_up_to_the_trained_length_the_score_is_the_noisy_or():
 def test_utf8_of_slices():
     data, offsets = utf8(pa.array(["ab", None, "é", ""]).slice(1, 3))
     assert data.tobytes() == "é".encode() and offsets.tolist() == [0, 0, 2, 2]
+
+
+# ---------------------------------------------------------------- queries against one document at a time
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def block_maxima(filters, text):
+    """Of one document laid out alone: each block's maximum of each filter, window by window, and the bytes it holds."""
+    data = [0xFF] * 8 + list(text.encode())
+    data += [0xFF] * (-(-(len(data) + 8) // 256) * 256 - len(data))
+    held = [sum(b != 0xFF for b in data[i:i + 256]) for i in range(0, len(data), 256)]
+    padded = np.array(data + [0xFF] * 8)
+    columns = []
+    for w, x in filters.weights.items():
+        values = sum(x[j, padded[j:j + len(data)]] for j in range(w))
+        columns.append(np.stack([values[i:i + 256].max(0) for i in range(0, len(data), 256)]))
+    return np.concatenate(columns, axis=1), np.array(held)
+
+
+def plain_quality(net, text):
+    blocks, _ = block_maxima(net.filters, text or "")
+    chunks = [np.maximum(a, b) for a, b in zip(blocks, blocks[1:])] or [blocks[0]]
+    x = np.concatenate([np.max(chunks, axis=0), np.mean(chunks, axis=0)])
+    h = np.tanh((x - net.layers["mean"]) / net.layers["scale"] @ net.layers["w1"] + net.layers["b1"])
+    return 1 / (1 + np.exp(-float((h @ net.layers["w2"] + net.layers["b2"])[0])))
+
+
+def plain_language(net, text):
+    blocks, held = block_maxima(net.filters, text)
+    z = sum(n * ((b - net.layers["mean"]) / net.layers["scale"] @ net.layers["w"] + net.layers["b"]) for b, n in zip(blocks, held)) / held.sum()
+    p = np.exp(z - z.max())
+    return net.languages[int(p.argmax())], float(p.max() / p.sum())
+
+
+def test_quality_query_equals_one_document_at_a_time(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    net = quality.train(docs.select("doc_id", "text"), labels)
+    got = {r.doc_id: r for r in quality.op2_quality(spark, SMALL).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert net.prior is None and len(got) == len(rows)
+    for r in rows:
+        want = plain_quality(net, r.text)
+        assert abs(got[r.doc_id].score - want) < 1e-4, r.doc_id
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5) and got[r.doc_id].held_out == crc_held_out(r.doc_id, 3, 1)
+
+
+def test_language_query_equals_one_document_at_a_time(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    net = langid.train(docs.select("doc_id", "text", "lang"))
+    got = {r.doc_id: r for r in langid.op7_language(spark, SMALL).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        lang, p = plain_language(net, r.text)
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - p) < 1e-4, r.doc_id
+
+
+def test_a_score_does_not_depend_on_the_neighbours(labelled):
+    texts = [raw(d["text"]) for d in labelled[:120]]
+    net = quality.fit(texts, [i % 2 for i in range(len(texts))], epochs=1)
+    lang = langid.fit(texts, [("a", "b")[i % 2] for i in range(len(texts))], epochs=1)
+    tables = net.filters.pair_tables(), lang.filters.pair_tables()
+    together = net.probabilities(tables[0], *bytecnn.join_rows(texts)), lang.predict(tables[1], *bytecnn.join_rows(texts))[1]
+    alone = [net.probabilities(tables[0], *bytecnn.join_rows([t]))[0] for t in texts], [lang.predict(tables[1], *bytecnn.join_rows([t]))[1][0] for t in texts]
+    assert np.allclose(together[0], alone[0], atol=1e-6) and np.allclose(together[1], alone[1], atol=1e-6)
+
+
+def test_repeated_rows_are_scored_each_for_itself(spark):
+    text = "The quick brown fox. " * 20
+    docs = awkward(spark, [(1, text), (1, text), (1, "something else entirely"), (2, text)])
+    net = quality.fit([raw(text), raw("zzz qqq")] * 4, [1, 0] * 4, epochs=1)
+    got = sorted((r.doc_id, round(r.quality, 6)) for r in quality.score(docs, net, "quality").collect())
+    assert len(got) == 4 and len({s for _, s in got}) == 2
+    lang = langid.fit([raw(text), raw("zzz qqq")] * 4, ["en", "xx"] * 4, epochs=1)
+    assert langid.identify(docs, lang, "l", "p").count() == 4

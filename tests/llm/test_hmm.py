@@ -88,3 +88,23 @@ def test_word_probabilities_sum_to_one():
             inside = 1.0 if k == 0 else sum((c + 1) / (sum(cs) + len(cs) + 1) for c in cs) + 1 / (sum(cs) + len(cs) + 1)
             total += m.emit[k, s] * inside
         assert abs(total - 1) < 1e-9
+
+
+def test_scores_of_whole_texts_equal_a_plain_forward_recursion(spark, monkeypatch):
+    monkeypatch.setattr(H, "CHUNK_BYTES", 20_000)
+    docs = awkward(spark, [(i, prose(i, 3 + 40 * (i % 9))) for i in range(60)] + [(100, ""), (101, None), (102, prose(5, 3000)), (102, prose(5, 3000))])
+    corpus = H.code(docs, 7, 2)
+    model = H.baum_welch(corpus, H.first_model(corpus))
+    got = sorted((r.doc_id, r.n_tokens, round(r.score, 6)) for r in H.score(corpus, model).collect())
+    want = []
+    for row in corpus.coded.collect():
+        classes, at = np.frombuffer(row.classes, "<u2"), 0
+        for doc_id, n, within in zip(row.doc_ids, row.lengths, row.within):
+            total, alpha = within, None
+            for c in classes[at:at + n].tolist():
+                alpha = (model.start if alpha is None else [sum(alpha[i] * model.move[i, j] for i in range(len(alpha))) for j in range(len(alpha))]) * model.emit[c]
+                total += math.log10(sum(alpha))
+                alpha = alpha / sum(alpha)
+            at += n
+            want.append((doc_id, n, round(total, 6)))
+    assert len(want) == 64 and got == sorted(want)
