@@ -16,8 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words of the newer and of the older half of the memory: some 90 MB a worker, which keeps it from task to task.
-REMEMBERED = 200_000
+#: Words of the newer and of the older half of the memory: some 170 MB a worker, which keeps it from task to task.
+REMEMBERED = 400_000
 
 # White space is that of Unicode, without \x1c-\x1f, which only Python counts. The letters named here are
 # letters to every pre-tokenizer, in either case (\u0130 is left out: in lower case it ends with a mark,

@@ -83,7 +83,7 @@ def test_a_stage_never_takes_an_input_columns_name(spark):
         assert stage(spark, docs, SF).columns == docs.columns
 
 
-@pytest.mark.parametrize("name", ["op3_exact_dedup", "op9_warc"])
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op9_warc", "op11_line_dedup", "op12_filter_audit", "op13_source_divergence"])
 def test_queries_equal_their_sql(spark, name):
     result = compare(entry.queries()[name](spark, SF), duckdb_connection(SF), entry.oracle_sql()[name])
     assert result["match"] and result["columns_match"] and result["types_match"]
