@@ -49,10 +49,14 @@ def io7(spark, sf):
     return buckets.read_bucketed(spark, bucketed_load(spark, sf))
 
 
-@op("IO8", f"SELECT * FROM ({O.q4()}) WHERE createddatetime <> lastupdateddatetime")
+@op("IO8", f"""
+    WITH loaded AS ({O.q4()})
+    SELECT * FROM loaded
+    UNION ALL SELECT * FROM loaded WHERE patientid IS NULL AND lastupdateddatetime = TIMESTAMP '{L["run_ts"]}'""")
 def io8(spark, sf):
-    """After a rerun of the day: matched rows keep their creation time under the refreshed update time."""
-    return buckets.read_bucketed(spark, bucketed_load(spark, sf, runs=2)).filter("createddatetime <> lastupdateddatetime")
+    """The whole target after a rerun of the day: matched rows keep their creation time under the refreshed update
+    time, the others are as they were, and a NULL key, which matches nothing, is inserted by each run."""
+    return buckets.read_bucketed(spark, bucketed_load(spark, sf, runs=2))
 
 
 # ---------------------------------------------------------------- temp tables

@@ -14,7 +14,7 @@ from medwright.session import release, shared_dir
 from medwright.sources import buckets, dated, sinks
 from medwright.sources.namespaces import mounted, tables_from
 from medwright.sources.temptables import TempTable, stored_once, temp_table
-from medwright.testing import mechanisms, oracle
+from medwright.testing import compare, mechanisms, oracle, registry
 from medwright.testing.testmap import tables_for
 
 from .conftest import SF_SMALL
@@ -87,6 +87,18 @@ def test_bucketed_load_equals_the_plain_one_with_null_keys_and_reruns(spark, buc
     assert sum(r[0] is None for r in rows(buckets.read_bucketed(spark, bucketed_target))) == 3  # the stored one and one of each run
 
 
+def test_io8_returns_the_whole_target_after_the_rerun(spark):
+    sf = "/root/testdata/sf0.01"  # the day has a NULL key here
+    got = mechanisms.io8(spark, sf)
+    whole, once = rows(got), rows(mechanisms.io7(spark, sf))
+    null_key = [r for r in once if r[0] is None and r[2] == r[3] == mechanisms.RUN_TS]
+    assert len(null_key) == 1 and whole == sorted(once + null_key, key=str)
+    stamps = {(r[2] == mechanisms.RUN_TS, r[3] == mechanisms.RUN_TS) for r in whole}
+    assert stamps == {(False, False), (False, True), (True, True)}  # kept, refreshed and new rows
+    con = compare.duckdb_connection(sf)
+    assert compare.compare(got, con, registry.oracle_sql()["IO8"])["match"]
+
+
 def test_a_failed_load_leaves_the_bucketed_target(spark, bucketed_target):
     before = sinks.pointer(spark, bucketed_target)
 
