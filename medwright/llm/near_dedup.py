@@ -14,6 +14,10 @@ generated, so a signature costs little more than a pass over the elements.
    sizes and the triangle inequality (Jaccard distance is a metric, and the distances from the least member are known)
    leave a link possible, and leave the bucket; some in the first round, eight times as many in each next one. So every pair of a bucket is compared, or
    ruled out, or already in one component, and a large group of copies costs about one comparison a member.
+   Copies that strayed too far from a text to be linked to it would still meet one another. So the members of crowded
+   buckets are first told apart by their rare shingles, which at most ``RARE`` of them hold: pairs that share one are found by it.
+   All other pairs share common shingles at most, and a member with too few of these for any partner of the bucket leaves it; the one
+   with the largest share of them, which the others were made from or are close to, is compared with the rest.
 3. A comparison is exact: the Jaccard similarity of both sets of 32-bit shingle hashes.
 4. Components come from alternating large-star and small-star steps.
 
@@ -41,6 +45,10 @@ ROWS = 4
 BANDS = 20
 #: Members of a bucket outside its largest component that are compared in the first later round.
 CENTRES = 32
+#: A bucket is crowded if it has more pairs than this between its largest component and the other ones' members.
+CROWD = 1024
+#: Members of crowded buckets that hold a rare shingle, at most.
+RARE = 32
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 16.0)])))
@@ -184,6 +192,59 @@ def components(links: DataFrame) -> DataFrame:
     return out.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
+def _shingle_counts(sets: DataFrame, limit: int) -> DataFrame:
+    """word, seen (by how many sets of a task) and, of words that no more than ``limit`` hold, those sets: a row per task and shingle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            word = np.concatenate(words)
+            order = np.argsort(word, kind="stable")
+            owner = np.repeat(np.array(names, np.int64), [len(w) for w in words])[order]
+            word, seen = np.unique(word, return_counts=True)
+            few = seen <= limit
+            offsets = np.concatenate([[0], np.cumsum(np.where(few, seen, 0))])
+            holders = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(owner[np.repeat(few, seen)]), mask=pa.array(~few))
+            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(seen), holders], names=["word", "seen", "sets"])
+
+        names, words, size = [], [], 0
+        for batch in batches:
+            for name, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words.append(np.frombuffer(x.as_buffer(), "<i4"))
+                names.append(name)
+                size += len(words[-1])
+                if size >= 1 << 20:
+                    yield out()
+                    names, words, size = [], [], 0
+        if names:
+            yield out()
+
+    return sets.select("set", "shingles").mapInArrow(run, "word int, seen long, sets array<long>")
+
+
+def _rare(sets: DataFrame, similarity: float, limit: int = RARE) -> tuple[DataFrame, DataFrame]:
+    """``common``: id, m and c, the shingles of an id's set and those that more than ``limit`` of ``sets`` hold; ``pairs``: x, y that
+    share a rare one and may be similar. All other pairs share min(c, c') shingles at most. (Of an id's sets m is the least, c the largest.)"""
+    sets = written(sets.groupBy("id", F.xxhash64("id", "shingles").alias("set")).agg(F.first("shingles").alias("shingles")), "near-crowd")
+    words = written(_shingle_counts(sets, limit), "near-words")
+    seen = words.groupBy("word").agg(F.sum("seen").alias("holders")).filter(F.col("holders") <= limit)
+    rare = written(words.drop("seen").join(seen.hint("merge"), "word").select("word", "holders", F.explode("sets").alias("set")), "near-rare")
+    number = rare.groupBy("set").agg(F.count("*").alias("rare"))
+    common = sets.select("id", "set", (F.octet_length("shingles") / 4).cast("int").alias("m")).join(number.hint("merge"), "set", "left")
+    common = written(common.groupBy("id").agg(F.min("m").alias("m"), F.max(F.col("m") - F.coalesce("rare", F.lit(0))).alias("c")), "near-common")
+    shared = rare.filter("holders > 1").join(sets.select("set", "id").hint("merge"), "set").select("word", "id").distinct()
+    pairs = shared.withColumnRenamed("id", "x").join(shared.withColumnRenamed("id", "y").hint("merge"), "word").filter("x < y").groupBy("x", "y").agg(F.count("*").alias("s"))
+    for side in ("x", "y"):
+        pairs = pairs.join(common.select(F.col("id").alias(side), F.col("m").alias(f"m_{side}"), F.col("c").alias(f"c_{side}")).hint("merge"), side)
+    pairs = pairs.filter(F.col("s") + F.least("c_x", "c_y") >= _overlap(F.col("m_x"), F.col("m_y"), similarity)).select("x", "y")
+    pairs = written(pairs, "near-sharing")
+    release(sets.sparkSession, words, rare, sets)
+    return common, pairs
+
+
+def _overlap(m, n, similarity: float):
+    """The elements that sets of ``m`` and ``n`` share at least if they are similar."""
+    return (m + n) * (similarity / (1 + similarity))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -214,32 +275,67 @@ def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMIL
     met_first = tried.select(F.col("b").alias("id"), F.col("a").alias("first"), (1 - F.col("similarity")).alias("d")).hint("merge")
     left = written(rest.select("key", "id", "n", F.col("centre.id").alias("first")).join(met_first, ["id", "first"], "left").select("key", "id", "n", "d"), "near-rest")
     tried = tried.select("a", "b")
+
+    def named(members):
+        """Members with the component they are in by now."""
+        return members.join(classes.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def link(pairs):
+        """Compare the pairs (x, y) that were not compared yet, and join what is close."""
+        nonlocal tried, links, classes
+        found = written(_compared(_ordered(pairs).join(tried.hint("merge"), ["a", "b"], "left_anti"), sets), "near-pairs")
+        tried = tried.unionByName(found.select("a", "b"))
+        new = found.filter(F.col("similarity") >= close).select("a", "b")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            classes = components(links)
+
+    def meetings(members, centres):
+        """Members and centres of a bucket in different components that can be close by what is known of them."""
+        centres = centres.select("key", *[F.col(c).alias(f"c_{c}") for c in ("id", "n", "d", "m", "c", "component")])
+        # Distances obey the triangle inequality: two members whose distances from the first centre differ too much can't be close.
+        apart = F.coalesce(F.abs(F.col("d") - F.col("c_d")) > 1 - close, F.lit(False))
+        few = F.when(F.col("c").isNotNull() & F.col("c_c").isNotNull(), F.least("c", "c_c") < _overlap(F.col("m"), F.col("c_m"), close)).otherwise(F.lit(False))
+        met = members.join(centres.hint("merge"), "key").filter((F.col("component") != F.col("c_component")) & fits(F.col("n"), F.col("c_n")) & ~apart & ~few)
+        return met.select(F.col("id").alias("x"), F.col("c_id").alias("y"))
+
+    left = left.withColumn("m", F.lit(None).cast("int")).withColumn("c", F.lit(None).cast("long"))
     limit = CENTRES
+    first_time = True
     while True:
-        state = left.join(classes.hint("merge"), "id", "left").select("key", "id", "n", "d", F.coalesce("component", "id").alias("component"))
+        state = named(left)
         parts = state.groupBy("key", "component").agg(F.count("*").alias("members"))
         # Buckets that still hold several components, and the largest of them.
         several = (parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("members").alias("all"), F.max(F.struct("members", "component")).alias("largest"))
-                   .filter("parts > 1").withColumn("share", F.greatest(F.lit(1), F.floor((F.col("all") - F.col("largest.members")) / limit))))
-        open_ = written(state.join(several.select("key", "share", F.col("largest.component").alias("largest")).hint("merge"), "key"), "near-open")
+                   .filter("parts > 1").withColumn("outside", F.col("all") - F.col("largest.members")).withColumn("share", F.greatest(F.lit(1), F.floor(F.col("outside") / limit)))
+                   .withColumn("crowded", F.col("outside") * F.col("all") > CROWD))
+        open_ = written(state.join(several.select("key", "share", "crowded", F.col("largest.component").alias("largest")).hint("merge"), "key"), "near-open")
         if open_.isEmpty():
             break
-        members = open_.select("key", "id", "n", "d", "component")
         old, sets = sets, written(sets.join(open_.select("id").distinct().hint("merge"), "id", "left_semi"), "near-sets")
         release(spark, old)
-        centres = (open_.filter((F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("id", "key"), F.col("share")) == 0))
-                   .select("key", F.col("id").alias("c_id"), F.col("n").alias("c_n"), F.col("d").alias("c_d"), F.col("component").alias("c_component")))
-        # Distances obey the triangle inequality: two members whose distances from the first centre differ too much can't be close.
-        apart = F.coalesce(F.abs(F.col("d") - F.col("c_d")) > 1 - close, F.lit(False))
-        met = members.join(centres.hint("merge"), "key").filter((F.col("component") != F.col("c_component")) & fits(F.col("n"), F.col("c_n")) & ~apart)
-        pairs = _ordered(met.select(F.col("id").alias("x"), F.col("c_id").alias("y"))).join(tried.hint("merge"), ["a", "b"], "left_anti")
-        found = written(_compared(pairs, sets), "near-pairs")
-        tried = tried.unionByName(found.select("a", "b"))
-        new = found.filter(F.col("similarity") >= close).select("a", "b")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            classes = components(links)
-        left = written(members.select("key", "id", "n", "d").join(centres.select("key", F.col("c_id").alias("id")).hint("merge"), ["key", "id"], "left_anti"), "near-rest")
+        members = open_.select("key", "id", "n", "d", "m", "c", "component")
+        crowd = open_.filter("crowded").select("id").distinct()
+        if first_time and not crowd.isEmpty():
+            first_time = False
+            common, sharing = _rare(sets.join(crowd.hint("merge"), "id", "left_semi"), close)
+            told = members.drop("m", "c").join(common.hint("merge"), "id", "left")
+            crowded = told.join(open_.filter("crowded").select("key").distinct().hint("merge"), "key", "left_semi")
+            best = crowded.groupBy("key").agg(F.max(F.struct(F.col("c") / F.col("m"), -F.col("id"), "id", "n", "d", "m", "c", "component")).alias("best")).select("key", "best.*")
+            ends = sharing
+            for side in ("x", "y"):
+                ends = named(ends.withColumnRenamed(side, "id")).withColumnRenamed("id", side).withColumnRenamed("component", f"of_{side}")
+            link(meetings(crowded, best).unionByName(ends.filter("of_x <> of_y").select("x", "y")))
+            # Members of crowded buckets whose common shingles are too few for the shortest set they could be close to are done with.
+            least = crowded.groupBy("key").agg(F.min("m").alias("least"))
+            done = (crowded.join(least.hint("merge"), "key").filter(F.col("c") < _overlap(F.col("m"), F.greatest(F.col("least"), F.col("m") * close), close)).select("key", "id").distinct())
+            left = written(told.drop("component").join(done.hint("merge"), ["key", "id"], "left_anti"), "near-rest")
+            release(spark, open_, common, sharing)
+            continue
+        first_time = False
+        centres = open_.filter((F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("id", "key"), F.col("share")) == 0))
+        link(meetings(members, centres))
+        left = written(members.drop("component").join(centres.select("key", "id").hint("merge"), ["key", "id"], "left_anti"), "near-rest")
         release(spark, open_)
         limit *= 8
     release(spark, buckets, sets)

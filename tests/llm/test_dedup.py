@@ -123,6 +123,57 @@ def test_near_classes_equal_brute_force(spark):
     assert by_id(got, "class_id") == brute_near(docs.collect())
 
 
+def strayed(n, size, copies, most):
+    """A text and copies with up to ``most`` words replaced, some by words that many copies share."""
+    base, rng = prose(n, size).split(), np.random.default_rng(n)
+    out = [" ".join(base)]
+    for k in range(copies):
+        words = list(base)
+        for j in rng.choice(size, int(rng.integers(1, most)), replace=False):
+            words[j] = f"new{k}x{j}" if rng.random() < 0.7 else f"often{rng.integers(3)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_strayed_copies_are_not_all_compared(spark, monkeypatch):
+    texts = strayed(3, 150, 240, 14) + [prose(50 + i, 120) for i in range(20)]
+    texts = texts[1:150] + texts[:1] + texts[150:]  # the least doc_id is not the original's
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    compared = []
+    one = N._compared
+
+    def counted(pairs, sets):
+        out = N.written(one(pairs, sets), "test-pairs")
+        compared.append(out.count())
+        return out
+    monkeypatch.setattr(N, "_compared", counted)
+    for rare in (4, 32):
+        compared.clear()
+        monkeypatch.setattr(N._rare, "__defaults__", (rare,))
+        got = N.near_duplicates(docs).collect()
+        assert by_id(got, "class_id") == brute_near(docs.collect())
+        assert len({r.class_id for r in got}) > 100 and sum(compared) < 20 * len(texts)
+
+
+def test_rare_shingles_name_every_pair_that_common_ones_do_not(spark):
+    """Similar pairs share a rare shingle, or have common ones enough."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(20, 50))).astype("<u4")) for _ in range(60)]
+    sets += [np.unique(np.append(s[rng.random(len(s)) < 0.95], np.uint32(100 + i))) for i, s in enumerate(sets)]
+    table = spark.createDataFrame([(i % 110, s.tobytes()) for i, s in enumerate(sets)], "id long, shingles binary")
+    common, pairs = N._rare(table, 0.8, 52)
+    common, pairs = {r.id: r for r in common.collect()}, {(r.x, r.y) for r in pairs.collect()}
+    assert len(common) == 110 and pairs
+    similar = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            x, y = sorted((i % 110, j % 110))
+            if x != y and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+                similar += 1
+                assert (x, y) in pairs or min(common[x].c, common[y].c) >= N._overlap(common[x].m, common[y].m, 0.8)
+    assert similar > 20
+
+
 def test_near_dedup_of_awkward_rows(spark):
     docs = awkward(spark)
     got = N.near_duplicates(docs).collect()
