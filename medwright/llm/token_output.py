@@ -28,9 +28,12 @@ from medwright.llm.encoding import encoder
 from medwright.llm.planes import CHUNK_IDS, Reader, Writer
 
 END_ID = 2
+#: Words of either half of a worker's memory: half as many again as beside other operators; 1,000,000 took an executor over 3000 MB.
+REMEMBERED = 600_000
 
 
-def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, planes: int = 4, chunk_ids: int = CHUNK_IDS, files: int | None = None) -> DataFrame:
+def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, planes: int = 4, chunk_ids: int = CHUNK_IDS, files: int | None = None,
+              remembered: int = REMEMBERED) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) below ``folder``; the manifest: path, first_id, rows, tokens."""
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -47,7 +50,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_I
                     name = f"{path}/{uuid.uuid4().hex}.bps"
                     out = store.open_output_stream(name)
                     writer = Writer(out, planes, chunk_ids)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(vocabulary).encode(part.column(1).to_pylist())):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(vocabulary, remembered).encode(part.column(1).to_pylist())):
                     writer.add(doc_id, ids + end)
         if writer is None:
             return

@@ -1,5 +1,6 @@
 import io
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 from medwright.llm import packing as P
 from medwright.llm import token_output as O
 from medwright.llm.common import scratch_dir
-from medwright.llm.encoding import Encoder
+from medwright.llm.encoding import _WORDS, Encoder
 from medwright.llm.planes import Reader, Writer, from_planes, to_planes
 
 from .helpers import awkward, empty
@@ -33,6 +34,27 @@ def test_cut_texts_encode_as_whole_ones(path):
         assert got == [whole(tokenizer, t, 0)[:-1].tobytes() for t in texts[i:i + 100]]
 
 
+def test_the_first_choice_of_a_word_is_that_of_the_others():
+    choice, rest = _WORDS.pattern[:_WORDS.pattern.index("|")], _WORDS.pattern[_WORDS.pattern.index("|") + 1:]
+    assert choice.startswith(" [A-Z")
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice(" aZéßİıɏ  \n\t\x1c.,:;!?\"'()-_0日\u0301\u00a0") for _ in range(30))
+        assert _WORDS.findall(text) == re.findall(rest, text)
+
+
+def test_token_files_are_written_with_a_memory_of_their_own(spark, monkeypatch):
+    """Words met again after as many others as a small memory holds are not learnt anew."""
+    assert O.REMEMBERED > 400_000
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"), O.REMEMBERED)
+    learnt = []
+    monkeypatch.setattr(e, "_learn", lambda w: learnt.append(w) or b"")
+    e.words.learn = e._learn
+    texts = [" ".join(f"{c}{i}x" for i in range(9000)) for c in "abcdefghij" * 5] + [" ".join(f"w{j}y{i}" for i in range(9000)) for j in range(40)]
+    e.encode(texts + texts)
+    assert len(learnt) == len(set(learnt))
+
+
 @pytest.mark.parametrize("planes", [4, 32])
 def test_planes_round_trip(planes):
     rng = np.random.default_rng(1)
