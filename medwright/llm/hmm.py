@@ -45,9 +45,11 @@ OWN_BYTES = 64
 ROUNDS = 3
 SAMPLE_DOCS = 1500
 SAMPLE_ROUNDS = 12
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Tokens of the documents that go through the recursion together.
-BATCH_TOKENS = 300_000
+BATCH_TOKENS = 150_000
+#: Tokens whose moves are summed together.
+_MOVE_TOKENS = 32_768
 _CLASS_BLOCK = 1024
 _PRIOR = 100.0
 
@@ -57,6 +59,20 @@ def words_of_text(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def pack_codes(codes: np.ndarray, distinct: int) -> bytes:
+    """Codes below ``distinct`` as byte planes, the low bytes first: three, or four if the codes need them. High planes compress well."""
+    planes = np.ascontiguousarray(codes, "<u4").view(np.uint8).reshape(-1, 4).T
+    return planes[:3 if distinct <= 1 << 24 else 4].tobytes()
+
+
+def unpack_codes(packed, n: int) -> np.ndarray:
+    """The ``n`` codes (one at least) behind ``pack_codes``."""
+    out = np.zeros((n, 4), np.uint8)
+    planes = np.frombuffer(packed, np.uint8).reshape(-1, n)
+    out[:, :len(planes)] = planes.T
+    return out.view("<u4")[:, 0]
+
+
 def _chunks(modulus: int, remainder: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -66,8 +82,8 @@ def _chunks(modulus: int, remainder: int):
             counts = np.bincount(codes[train], minlength=len(vocabulary))
             one = lambda x, t: pa.array([x], pa.list_(t))
             return pa.RecordBatch.from_arrays([
-                pa.array([uuid.uuid4().hex]), one(ids, pa.int64()), one(held, pa.bool_()), one(lengths, pa.int64()),
-                pa.array([codes.astype("<u4").tobytes()], pa.binary()), one(list(vocabulary), pa.binary()), one(counts, pa.int64())],
+                pa.array([uuid.uuid4().int >> 65], pa.int64()), one(ids, pa.int64()), one(held, pa.bool_()), one(lengths, pa.int64()),
+                pa.array([pack_codes(codes, len(vocabulary))], pa.binary()), one(list(vocabulary), pa.binary()), one(counts, pa.int64())],
                 names=["chunk", "doc_ids", "held", "lengths", "codes", "words", "counts"])
 
         vocabulary = defaultdict(count().__next__)
@@ -91,7 +107,7 @@ def _chunks(modulus: int, remainder: int):
     return run
 
 
-_CHUNK = "chunk string, doc_ids array<long>, held array<boolean>, lengths array<long>, codes binary, words array<binary>, counts array<long>"
+_CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, codes binary, words array<binary>, counts array<long>"
 _CODED = "doc_ids array<long>, held array<boolean>, lengths array<long>, classes binary, known array<long>, base array<double>, within array<double>"
 
 
@@ -133,8 +149,8 @@ def code(docs: DataFrame, modulus: int, remainder: int) -> Corpus:
                 place = f.field("place").to_numpy()
                 c, kind = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
                 c[place], kind[place] = f.field("c").to_numpy(), f.field("class").to_numpy()
-                codes = np.frombuffer(get("codes").as_buffer(), "<u4")
                 lengths = get("lengths").values.to_numpy()
+                codes = unpack_codes(get("codes").as_buffer(), int(lengths.sum()))
                 at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 with np.errstate(divide="ignore"):
                     base = np.log10((c + 1) / (n + v + 1))
@@ -235,7 +251,9 @@ def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray) -> t
         # The token behind each one that has one stands as far into the next time as it into its own.
         active = np.diff(begin)
         behind = np.arange(int(begin[1]), int(begin[-1]))
-        move += (alpha[behind - np.repeat(active[:-1], active[1:])].T @ ahead[behind]) * model.move
+        before = behind - np.repeat(active[:-1], active[1:])
+        for i in range(0, len(behind), _MOVE_TOKENS):
+            move += (alpha[before[i:i + _MOVE_TOKENS]].T @ ahead[behind[i:i + _MOVE_TOKENS]]) * model.move
         beta *= alpha
         start += beta[:int(begin[1])].sum(0)
         for j in range(k):

@@ -1,8 +1,11 @@
 import itertools
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from medwright.llm import hmm as H
 from medwright.llm.common import crc_held_out
@@ -108,3 +111,25 @@ def test_scores_of_whole_texts_equal_a_plain_forward_recursion(spark, monkeypatc
             at += n
             want.append((doc_id, n, round(total, 6)))
     assert len(want) == 64 and got == sorted(want)
+
+
+@pytest.mark.parametrize("distinct", [1, 300, 1 << 24, (1 << 24) + 9])
+def test_codes_come_back_from_their_planes(distinct):
+    codes = np.random.default_rng(1).integers(0, distinct, 5000).astype(np.uint32)
+    codes[0] = distinct - 1
+    packed = H.pack_codes(codes, distinct)
+    assert len(packed) == 5000 * (3 if distinct <= 1 << 24 else 4)
+    assert (H.unpack_codes(pa.py_buffer(packed), 5000) == codes).all()
+
+
+def test_training_holds_few_tokens_at_a_time():
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(100, 900, 1200)
+    classes = rng.integers(0, H.OWN + H.SHARED, int(lengths.sum())).astype(np.uint16)
+    model = H.Model.random(np.full(H.OWN + H.SHARED, 1 / (H.OWN + H.SHARED)), H.STATES, rng)
+    tracemalloc.start()
+    start, move, emit, _ = H.expected_counts(model, classes, lengths)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20  # some 600,000 tokens; two matrices of all of them would be 73 MB
+    assert np.isclose(emit.sum(), lengths.sum()) and np.isclose(start.sum(), len(lengths)) and np.isclose(move.sum(), lengths.sum() - len(lengths))
