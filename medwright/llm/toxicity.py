@@ -35,6 +35,8 @@ TRAIN_DOCS = 8000
 TRAIN_WORDS = 4096
 SENTENCE_WORDS = 32
 THRESHOLD = 0.7
+#: Words of the sample that the fit goes over at a time.
+_RUN_WORDS = 1 << 18
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".!?\n"]] = True
@@ -76,28 +78,40 @@ def fit(features: list[np.ndarray], sentences: list[np.ndarray], labels: np.ndar
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, prior=float(labels.mean()) if len(labels) else 0.0)
     known, df = np.unique(np.concatenate([np.unique(f) for f in features]), return_counts=True)
     known = known[df >= least_docs]
-    feat, inst, doc, n = [], [], [], 0
-    for d, (f, s) in enumerate(zip(features, sentences)):
+    sizes = [len(f) for f in features]
+    feat, inst = np.empty(sum(sizes), np.int32), np.empty(sum(sizes), np.int32)
+    doc, n, used = [], 0, 0
+    for d in range(len(labels)):
+        f, s = features[d], sentences[d]
         if not len(f):
             continue
         s = s - s[0]
         at = np.minimum(np.searchsorted(known, f), max(len(known) - 1, 0))
         hit = known[at] == f if len(known) else np.zeros(len(f), bool)
-        feat.append(at[hit])
-        inst.append(s[hit] + n)
-        doc.append(np.full(int(s[-1]) + 1, d))
-        n += int(s[-1]) + 1
-    feat, inst, doc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (feat, inst, doc))
+        more = used + int(hit.sum())
+        feat[used:more] = at[hit]
+        inst[used:more] = s[hit] + n
+        doc.append(np.full(int(s[-1]) + 1, d, np.int32))
+        n, used = n + int(s[-1]) + 1, more
+    feat, inst = feat[:used], inst[:used]
+    doc = np.concatenate(doc) if doc else np.zeros(0, np.int32)
+    # Words are gone over in runs that end with a sentence, so that working memory stays small beside the sample.
+    cuts = [0, *np.searchsorted(inst, inst[_RUN_WORDS::_RUN_WORDS], side="left").tolist(), used]
+    runs = [(feat[i:j], inst[i:j], int(inst[i]), int(inst[j - 1]) + 1) for i, j in zip(cuts, cuts[1:]) if i < j]
     w, b = np.zeros(len(known)), -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, epochs + 1):
-        z = b + np.bincount(inst, w[feat], n)
+        z = np.full(n, b)
+        for f, s, i, j in runs:
+            z[i:j] += np.bincount(s - i, w[f], j - i)
         some = np.bincount(doc, np.logaddexp(0, z), len(labels))  # -log of no toxic sentence
         none = np.exp(-some)
         p = noise + (1 - 2 * noise) * (1 - none)
         slope = (1 - 2 * noise) * none * np.where(labels > 0, -1 / p, 1 / (1 - p))
         gz = slope[doc] / (1 + np.exp(-z))
-        gw, gb = np.bincount(feat, gz[inst], len(w)), gz.sum()
+        gw, gb = np.zeros(len(w)), gz.sum()
+        for f, s, _, _ in runs:
+            gw += np.bincount(f, gz[s], len(w))
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         scale = rate / (np.sqrt(v / (1 - 0.99 ** t)) + 1.0)
@@ -123,8 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, n: int = TRAIN_DOCS) -> Model:
 
     sample = training_sample(docs, labelled(labels, "toxic"), n)
     rows = sample.mapInArrow(features, "doc_id long, label int, words binary, sentences binary").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    # The numbers of the sample are views of its buffers, which the fit needs no copy of.
     return fit([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("words")],
-               [np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in rows.column("sentences")], rows.column("label").to_numpy())
+               [np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("sentences")], rows.column("label").to_numpy())
 
 
 def document_hazard(hazard: np.ndarray, offending: np.ndarray, first: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:

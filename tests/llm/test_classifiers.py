@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -247,3 +249,21 @@ def test_repeated_rows_are_scored_each_for_itself(spark):
     assert len(got) == 4 and len({s for _, s in got}) == 2
     lang = langid.fit([raw(text), raw("zzz qqq")] * 4, ["en", "xx"] * 4, epochs=1)
     assert langid.identify(docs, lang, "l", "p").count() == 4
+
+
+def test_the_toxicity_fit_needs_little_memory_beside_its_sample(monkeypatch):
+    rng = np.random.default_rng(3)
+    vocabulary = np.sort(rng.integers(1, 1 << 62, 500).astype(np.uint64))
+    words = [rng.choice(vocabulary[:400], 2000) for _ in range(400)]
+    labels = np.arange(400) % 2
+    for i in range(1, 400, 2):
+        words[i][100:104] = vocabulary[400 + i % 100]
+    sentences = [np.repeat(np.arange(200, dtype=np.int32), 10) for _ in words]
+    tracemalloc.start()
+    model = toxicity.fit(words, sentences, labels, epochs=20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * sum(w.nbytes for w in words)  # of 12 bytes a word that the sample has
+    monkeypatch.setattr(toxicity, "_RUN_WORDS", 999)
+    short = toxicity.fit(words, sentences, labels, epochs=20)
+    assert (short.hashes == model.hashes).all() and np.allclose(short.weights, model.weights) and np.isclose(short.bias, model.bias)
