@@ -15,6 +15,8 @@ from medwright.session import shared_dir
 
 #: Texts are handed to numpy in slices of about this many UTF-8 bytes.
 SLICE_BYTES = 1 << 20
+#: Rows to a file of an intermediate whose rows are known, unless that leaves cores idle.
+FILE_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +35,24 @@ def shared_uri(path: str) -> str:
     return "file://" + path.removeprefix("file:")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def in_few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` rows at most, in no more partitions than those need, however many its last shuffle has.
+
+    Each file that is written costs an executor some processes (on a local disk Hadoop runs chmod, and the process that
+    is to become chmod counts as large as the executor for a moment), and its reader a task.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
+def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and fixes the rows.
 
-    The folder belongs to the caller's checkpoint directory; ``release`` deletes it.
+    The folder belongs to the caller's checkpoint directory; ``release`` deletes it. ``rows``: how many ``df`` has at most,
+    about, for as few files.
     """
     path = scratch_dir(df.sparkSession, label)
+    if rows is not None:
+        df = in_few(df, rows)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path

@@ -202,7 +202,8 @@ def build_index(docs: DataFrame, owners: int | None = None) -> DataFrame:
     rows = docs.select("doc_id", "key", "text_sha256", "norm").mapInArrow(_combine, _COMBINED)
     dealt = (rows.withColumn("key_range", F.shiftrightunsigned("key", 64 - bits))
              .repartition(owners, "key_range").sortWithinPartitions("key").drop("key_range"))
-    manifest = written(dealt.mapInArrow(_owner(folder), "path string, entries long, depth int"), "xhash-manifest")
+    # A row for each owner: one file holds many of them.
+    manifest = written(dealt.mapInArrow(_owner(folder), "path string, entries long, depth int").repartition(-(-owners // 1000)), "xhash-manifest")
     manifest.index_uri = folder
     return manifest
 

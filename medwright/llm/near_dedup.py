@@ -167,13 +167,14 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """id and component (its least id) of every linked node; ``links`` has a and b.
 
     Large-star: every neighbour above a node is hung on the node's least neighbour. Small-star: a node and its
-    neighbours below it are. Rounds repeat until the links no longer change; each is written to the shared folder.
+    neighbours below it are. Rounds repeat until the links no longer change; each is written to the shared folder. No round has more
+    links than the one before; ``rows`` is about how many there are at most.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links", rows)
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -181,7 +182,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower.hint("merge"), "a")
-        new = written(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "links")
+        new = written(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "links", rows)
         after = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         release(edges.sparkSession, edges)
         edges = new
@@ -220,22 +221,22 @@ def _shingle_counts(sets: DataFrame, limit: int) -> DataFrame:
     return sets.select("set", "shingles").mapInArrow(run, "word int, seen long, sets array<long>")
 
 
-def _rare(sets: DataFrame, similarity: float, limit: int = RARE) -> tuple[DataFrame, DataFrame]:
+def _rare(sets: DataFrame, similarity: float, limit: int = RARE, size: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``common``: id, m and c, the shingles of an id's set and those that more than ``limit`` of ``sets`` hold; ``pairs``: x, y that
-    share a rare one and may be similar. All other pairs share min(c, c') shingles at most. (Of an id's sets m is the least, c the largest.)"""
-    sets = written(sets.groupBy("id", F.xxhash64("id", "shingles").alias("set")).agg(F.first("shingles").alias("shingles")), "near-crowd")
+    share a rare one and may be similar (``size``: shingles of all sets, at most). All other pairs share min(c, c') shingles at most. (Of an id's sets m is the least, c the largest.)"""
+    sets = written(sets.groupBy("id", F.xxhash64("id", "shingles").alias("set")).agg(F.first("shingles").alias("shingles")), "near-crowd", size)
     words = written(_shingle_counts(sets, limit), "near-words")
     seen = words.groupBy("word").agg(F.sum("seen").alias("holders")).filter(F.col("holders") <= limit)
-    rare = written(words.drop("seen").join(seen.hint("merge"), "word").select("word", "holders", F.explode("sets").alias("set")), "near-rare")
+    rare = written(words.drop("seen").join(seen.hint("merge"), "word").select("word", "holders", F.explode("sets").alias("set")), "near-rare", size)
     number = rare.groupBy("set").agg(F.count("*").alias("rare"))
     common = sets.select("id", "set", (F.octet_length("shingles") / 4).cast("int").alias("m")).join(number.hint("merge"), "set", "left")
-    common = written(common.groupBy("id").agg(F.min("m").alias("m"), F.max(F.col("m") - F.coalesce("rare", F.lit(0))).alias("c")), "near-common")
+    common = written(common.groupBy("id").agg(F.min("m").alias("m"), F.max(F.col("m") - F.coalesce("rare", F.lit(0))).alias("c")), "near-common", size)
     shared = rare.filter("holders > 1").join(sets.select("set", "id").hint("merge"), "set").select("word", "id").distinct()
     pairs = shared.withColumnRenamed("id", "x").join(shared.withColumnRenamed("id", "y").hint("merge"), "word").filter("x < y").groupBy("x", "y").agg(F.count("*").alias("s"))
     for side in ("x", "y"):
         pairs = pairs.join(common.select(F.col("id").alias(side), F.col("m").alias(f"m_{side}"), F.col("c").alias(f"c_{side}")).hint("merge"), side)
     pairs = pairs.filter(F.col("s") + F.least("c_x", "c_y") >= _overlap(F.col("m_x"), F.col("m_y"), similarity)).select("x", "y")
-    pairs = written(pairs, "near-sharing")
+    pairs = written(pairs, "near-sharing", size)
     release(sets.sparkSession, words, rare, sets)
     return common, pairs
 
@@ -252,15 +253,17 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """``groups``: fp1, fp2, n, id (least doc_id) and copies of every distinct set; ``classes``: id and component of the linked ones."""
     spark = sketches.sparkSession
+    n_docs, size = sketches.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_bands = BANDS * n_docs
     named = sketches.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    groups = written(named.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "near-groups")
+    groups = written(named.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "near-groups", n_docs)
     heads = named.join(groups.select("fp1", "fp2", "n", F.col("id").alias("doc_id")).hint("merge"), ["fp1", "fp2", "n", "doc_id"])
     heads = heads.groupBy("fp1", "fp2", "n", "doc_id").agg(F.first("bands").alias("bands"))  # rows that repeat
     bands = heads.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
     # Buckets with one member say nothing. The least member is the first centre.
     first = bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("centre"), F.count("*").alias("members")).filter("members > 1")
-    buckets = written(bands.join(first.drop("members").hint("merge"), "key"), "near-buckets")
-    sets = written(_sets(docs, buckets.select("id").distinct()), "near-sets")
+    buckets = written(bands.join(first.drop("members").hint("merge"), "key"), "near-buckets", n_bands)
+    sets = written(_sets(docs, buckets.select("id").distinct()), "near-sets", size)
     close = similarity - 1e-9
 
     def fits(n, m):
@@ -268,12 +271,12 @@ def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMIL
 
     rest = buckets.filter(F.col("id") != F.col("centre.id"))  # the centre meets all
     pairs = rest.filter(fits(F.col("n"), F.col("centre.n"))).select(F.col("id").alias("x"), F.col("centre.id").alias("y"))
-    tried = written(_compared(_ordered(pairs), sets), "near-pairs")
+    tried = written(_compared(_ordered(pairs), sets), "near-pairs", n_bands)
     links = tried.filter(F.col("similarity") >= close).select("a", "b")
-    classes = components(links)
+    classes = components(links, n_bands)
     # Every member's distance from the first centre; where sizes alone rule a link out it stays open.
     met_first = tried.select(F.col("b").alias("id"), F.col("a").alias("first"), (1 - F.col("similarity")).alias("d")).hint("merge")
-    left = written(rest.select("key", "id", "n", F.col("centre.id").alias("first")).join(met_first, ["id", "first"], "left").select("key", "id", "n", "d"), "near-rest")
+    left = written(rest.select("key", "id", "n", F.col("centre.id").alias("first")).join(met_first, ["id", "first"], "left").select("key", "id", "n", "d"), "near-rest", n_bands)
     tried = tried.select("a", "b")
 
     def named(members):
@@ -283,12 +286,12 @@ def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMIL
     def link(pairs):
         """Compare the pairs (x, y) that were not compared yet, and join what is close."""
         nonlocal tried, links, classes
-        found = written(_compared(_ordered(pairs).join(tried.hint("merge"), ["a", "b"], "left_anti"), sets), "near-pairs")
+        found = written(_compared(_ordered(pairs).join(tried.hint("merge"), ["a", "b"], "left_anti"), sets), "near-pairs", n_bands)
         tried = tried.unionByName(found.select("a", "b"))
         new = found.filter(F.col("similarity") >= close).select("a", "b")
         if not new.isEmpty():
             links = links.unionByName(new)
-            classes = components(links)
+            classes = components(links, n_bands)
 
     def meetings(members, centres):
         """Members and centres of a bucket in different components that can be close by what is known of them."""
@@ -309,16 +312,16 @@ def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMIL
         several = (parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("members").alias("all"), F.max(F.struct("members", "component")).alias("largest"))
                    .filter("parts > 1").withColumn("outside", F.col("all") - F.col("largest.members")).withColumn("share", F.greatest(F.lit(1), F.floor(F.col("outside") / limit)))
                    .withColumn("crowded", F.col("outside") * F.col("all") > CROWD))
-        open_ = written(state.join(several.select("key", "share", "crowded", F.col("largest.component").alias("largest")).hint("merge"), "key"), "near-open")
+        open_ = written(state.join(several.select("key", "share", "crowded", F.col("largest.component").alias("largest")).hint("merge"), "key"), "near-open", n_bands)
         if open_.isEmpty():
             break
-        old, sets = sets, written(sets.join(open_.select("id").distinct().hint("merge"), "id", "left_semi"), "near-sets")
+        old, sets = sets, written(sets.join(open_.select("id").distinct().hint("merge"), "id", "left_semi"), "near-sets", size)
         release(spark, old)
         members = open_.select("key", "id", "n", "d", "m", "c", "component")
         crowd = open_.filter("crowded").select("id").distinct()
         if first_time and not crowd.isEmpty():
             first_time = False
-            common, sharing = _rare(sets.join(crowd.hint("merge"), "id", "left_semi"), close)
+            common, sharing = _rare(sets.join(crowd.hint("merge"), "id", "left_semi"), close, size=size)
             told = members.drop("m", "c").join(common.hint("merge"), "id", "left")
             crowded = told.join(open_.filter("crowded").select("key").distinct().hint("merge"), "key", "left_semi")
             best = crowded.groupBy("key").agg(F.max(F.struct(F.col("c") / F.col("m"), -F.col("id"), "id", "n", "d", "m", "c", "component")).alias("best")).select("key", "best.*")
@@ -329,13 +332,13 @@ def link_classes(sketches: DataFrame, docs: DataFrame, similarity: float = SIMIL
             # Members of crowded buckets whose common shingles are too few for the shortest set they could be close to are done with.
             least = crowded.groupBy("key").agg(F.min("m").alias("least"))
             done = (crowded.join(least.hint("merge"), "key").filter(F.col("c") < _overlap(F.col("m"), F.greatest(F.col("least"), F.col("m") * close), close)).select("key", "id").distinct())
-            left = written(told.drop("component").join(done.hint("merge"), ["key", "id"], "left_anti"), "near-rest")
+            left = written(told.drop("component").join(done.hint("merge"), ["key", "id"], "left_anti"), "near-rest", n_bands)
             release(spark, open_, common, sharing)
             continue
         first_time = False
         centres = open_.filter((F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("id", "key"), F.col("share")) == 0))
         link(meetings(members, centres))
-        left = written(members.drop("component").join(centres.select("key", "id").hint("merge"), ["key", "id"], "left_anti"), "near-rest")
+        left = written(members.drop("component").join(centres.select("key", "id").hint("merge"), ["key", "id"], "left_anti"), "near-rest", n_bands)
         release(spark, open_)
         limit *= 8
     release(spark, buckets, sets)
@@ -348,7 +351,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     groups, classes = link_classes(sketches, docs, similarity)
     known = groups.join(classes.hint("merge"), "id", "left").select("fp1", "fp2", "n", "copies", F.coalesce("component", "id").alias("class_id"))
     sizes = known.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    known = written(known.join(sizes.hint("merge"), "class_id").select("fp1", "fp2", "n", "class_id", "class_size"), "near-classes")
+    known = written(known.join(sizes.hint("merge"), "class_id").select("fp1", "fp2", "n", "class_id", "class_size"), "near-classes", sketches.count())
     out = sketches.select("doc_id", "n", "fp1", "fp2").join(known.hint("merge"), ["fp1", "fp2", "n"], "left")
     named = F.col("doc_id").isNotNull()
     class_id = F.when(named, F.coalesce("class_id", "doc_id"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medwright.llm.common import slices, table, written
+from medwright.llm.common import in_few, slices, table, written
 from medwright.llm.encoding import encoder
 
 CAPACITY = 2048
@@ -124,11 +124,11 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     names = ["bin_id", "bin_fill"]
     underfull = pieces.filter(F.col("bin_fill") < capacity - NEARLY_FULL).groupBy("bin_id").agg(F.first("bin_fill").alias("bin_fill")).select(names)
     moves, level = None, 0
-    count = underfull.count()
+    first = count = underfull.count()
     while count > 1:
         groups = -(-count // GROUP_ITEMS)
-        step = written(_merge(underfull, groups, capacity, level), "pack-round")
-        moves = step if moves is None else written(_follow(moves, step), "pack-moves")
+        step = written(_merge(underfull, groups, capacity, level), "pack-round", count)
+        moves = step if moves is None else written(_follow(moves, step), "pack-moves", first)
         underfull = step.filter(F.col("fill") < capacity - NEARLY_FULL).groupBy(F.col("parent").alias("bin_id")).agg(F.first("fill").alias("bin_fill")).select(names)
         after, level = underfull.count(), level + 1
         # All in one group: best fit has said its last word. Else go on while rounds still merge.
@@ -141,7 +141,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
         to = moves.select("bin_id", "parent", "shift").hint("merge")
         moved = (pieces.join(to, "bin_id", "left").withColumn("sequence_id", F.coalesce("parent", "bin_id"))
                  .withColumn("offset", F.col("bin_offset") + F.coalesce("shift", F.lit(0))))
-    return moved.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return in_few(moved.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"), pieces.count())
 
 
 def _follow(moves: DataFrame, step: DataFrame) -> DataFrame:

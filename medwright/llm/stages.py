@@ -23,6 +23,11 @@ def _fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _no_wider(part: DataFrame, docs: DataFrame) -> DataFrame:
+    """``part`` of ``docs`` in no more partitions than the stored ``docs`` is read in, however many a join deals it to."""
+    return part.coalesce(max(part.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()))
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score ``toxicity.THRESHOLD`` or more go; null and empty texts score 0 and stay."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -39,14 +44,14 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     gone_id, gone_sha = _fresh(docs, "gone_id"), _fresh(docs, "gone_sha")
     gone = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha)).distinct()
     sha = F.sha2(normalised_text().cast("binary"), 256)
-    return docs.join(gone.hint("merge"), (F.col("doc_id") == F.col(gone_id)) & (sha == F.col(gone_sha)), "left_anti")
+    return _no_wider(docs.join(gone.hint("merge"), (F.col("doc_id") == F.col(gone_id)) & (sha == F.col(gone_sha)), "left_anti"), docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest doc_id stays; a null doc_id has no class and stays."""
     gone_id = _fresh(docs, "gone_id")
     gone = near_dedup.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(gone_id)).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col(gone_id), "left_anti")
+    return _no_wider(docs.join(gone.hint("merge"), F.col("doc_id") == F.col(gone_id), "left_anti"), docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
