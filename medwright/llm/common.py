@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -122,6 +123,23 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         i = j
 
 
+#: Functions that empty what an operator keeps in a worker process from task to task.
+KEPT: list[Callable[[], None]] = []
+
+
+def unburden() -> None:
+    """Begin a task that uses nothing which earlier tasks of the worker have kept: drop that, and give free memory back to the system.
+
+    Spark hands a worker from stage to stage; without this it would hold the largest memory of any of them.
+    """
+    for drop in KEPT:
+        drop()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     x = x.astype(np.uint64)

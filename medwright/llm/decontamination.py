@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medwright.llm.common import LETTERS, hash_spans, lowered, mix, release, slices, table, words_of, written
+from medwright.llm.common import LETTERS, hash_spans, lowered, mix, release, slices, table, unburden, words_of, written
 
 FEATURES = 1 << 16
 RANK = 192
@@ -79,6 +79,7 @@ def cells_of(words: np.ndarray, rows: np.ndarray, place: np.ndarray, n: int) ->
 def idf_of(docs: DataFrame) -> np.ndarray:
     """Inverse document frequency of every feature over all documents; never 0, as an item may stand in most of them."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unburden()
         df = np.zeros(FEATURES + 1, np.int64)
         for batch in batches:
             for part, data, offsets in slices(batch):
@@ -396,6 +397,7 @@ def _search_all(docs: DataFrame, spaces: list[Space], hits: str) -> DataFrame:
     slim = [replace(space, basis=space.basis[:0]) for space in spaces]  # a search only needs the weighted one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unburden()
         for batch in batches:
             at = batch.schema.get_field_index(hits)
             for part, data, offsets in slices(batch):

@@ -9,6 +9,7 @@ Texts that hold the name of a special token are encoded whole.
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from collections.abc import Sequence
@@ -16,7 +17,9 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words of the newer and of the older half of the memory: some 170 MB a worker, which keeps it from task to task.
+from medwright.llm.common import KEPT
+
+#: Words of the newer and of the older half of the memory: some 170 MB a worker, which keeps it from task to task until it goes on to other work.
 REMEMBERED = 400_000
 
 # White space is that of Unicode, without \x1c-\x1f, which only Python counts. The letters named here are
@@ -106,3 +109,12 @@ class Encoder:
 def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One encoder for a worker process and vocabulary: tasks that follow each other share its memory."""
     return Encoder(path, remembered)
+
+
+def _forget() -> None:
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()  # an encoder and its memory refer to each other
+
+
+KEPT.append(_forget)

@@ -26,7 +26,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medwright.llm.common import scratch_dir, shared_uri, table, written
+from medwright.llm.common import scratch_dir, shared_uri, table, unburden, written
 
 #: Entries of a bucket before it splits.
 BUCKET_ENTRIES = 128
@@ -108,6 +108,7 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A text goes out when it is first met; further copies are counted and go out at the end without it.
     """
+    unburden()
     seen: dict[str, list] = {}
     types = pa.schema([("key", pa.int64()), ("text_sha256", pa.string()), ("text", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64())])
 
@@ -136,6 +137,7 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _owner(folder: str):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unburden()
         index = ExtendibleHash()
         key, chain = None, {}  # the chain under the current key: sha -> [text bytes, least id, rows]
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medwright.llm.common import hash_spans, lowered, mix, release, slices, table, words_of, written
+from medwright.llm.common import hash_spans, lowered, mix, release, slices, table, unburden, words_of, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -109,6 +109,7 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Rows (doc_id, text) with the shingles of each."""
+    unburden()
     for batch in batches:
         for part, data, offsets in slices(batch):
             data = lowered(data)

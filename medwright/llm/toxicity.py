@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from medwright.llm.common import LETTERS, hash_spans, held_out, labelled, lowered, slices, table, training_sample, with_columns, words_of
+from medwright.llm.common import LETTERS, hash_spans, held_out, labelled, lowered, slices, table, training_sample, unburden, with_columns, words_of
 
 TRAIN_DOCS = 8000
 TRAIN_WORDS = 4096
@@ -124,6 +124,7 @@ def fit(features: list[np.ndarray], sentences: list[np.ndarray], labels: np.ndar
 
 def train(docs: DataFrame, labels: DataFrame, n: int = TRAIN_DOCS) -> Model:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unburden()
         for batch in batches:
             for part, data, offsets in slices(batch):
                 h, _, _, rows, sentence = sentence_words(data, offsets)
@@ -171,6 +172,7 @@ def score(docs: DataFrame, model: Model, score: str = "score", spans: str | None
     schema = schema.add(spans, T.DataType.fromDDL(kind)) if spans else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unburden()
         for batch in batches:
             for part, data, offsets in slices(batch):
                 h, starts, ends, rows, sentence = sentence_words(data, offsets)
