@@ -222,7 +222,7 @@ def _shingle_counts(sets: DataFrame, limit: int) -> DataFrame:
     return sets.select("set", "shingles").mapInArrow(run, "word int, seen long, sets array<long>")
 
 
-def _rare(sets: DataFrame, similarity: float, limit: int = RARE, size: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _rare(sets: DataFrame, similarity: float, limit: int = RARE, *, size: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``common``: id, m and c, the shingles of an id's set and those that more than ``limit`` of ``sets`` hold; ``pairs``: x, y that
     share a rare one and may be similar (``size``: shingles of all sets, at most). All other pairs share min(c, c') shingles at most. (Of an id's sets m is the least, c the largest.)"""
     sets = written(sets.groupBy("id", F.xxhash64("id", "shingles").alias("set")).agg(F.first("shingles").alias("shingles")), "near-crowd", size)
