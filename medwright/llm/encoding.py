@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from medwright.llm.common import KEPT
+from medwright.llm.common import KEPT, unburden
 
 #: Words of the newer and of the older half of the memory: some 170 MB a worker, which keeps it from task to task until it goes on to other work.
 REMEMBERED = 400_000
@@ -107,7 +107,11 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
-    """One encoder for a worker process and vocabulary: tasks that follow each other share its memory."""
+    """One encoder for a worker process and vocabulary: tasks that follow each other share its memory.
+
+    What the worker has left from other work goes first, so that the two don't add up.
+    """
+    unburden()
     return Encoder(path, remembered)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medwright.llm.common import in_few, slices, table, written
-from medwright.llm.encoding import encoder
+from medwright.llm.encoding import REMEMBERED, encoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -63,7 +63,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin_id long, bin_offset long, bin_fill long"
 
 
-def _pack_local(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
+def _pack_local(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, remembered: int) -> DataFrame:
     """Pieces of all documents with the sequence their own task packed them into; bin_id is unique to the task's attempt."""
     end = np.array([end_id], "<u4").tobytes()
 
@@ -84,7 +84,7 @@ def _pack_local(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) ->
 
         for batch in batches:
             for part, _, _ in slices(batch):
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(vocabulary).encode(part.column(1).to_pylist())):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(vocabulary, remembered).encode(part.column(1).to_pylist())):
                     ids += end
                     for k, i in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[i:i + 4 * capacity]
@@ -118,9 +118,12 @@ def _merge(bins: DataFrame, groups: int, capacity: int, level: int) -> DataFrame
     return dealt.mapInArrow(run, "bin_id long, parent long, shift long, fill long")
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of ``docs`` (doc_id, text) and their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = written(_pack_local(docs, vocabulary, capacity, end_id), "pack-pieces")
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
+    """Pieces of ``docs`` (doc_id, text) and their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    ``remembered``: words of each half of a worker's memory; fewer take time, not results.
+    """
+    pieces = written(_pack_local(docs, vocabulary, capacity, end_id, remembered), "pack-pieces")
     names = ["bin_id", "bin_fill"]
     underfull = pieces.filter(F.col("bin_fill") < capacity - NEARLY_FULL).groupBy("bin_id").agg(F.first("bin_fill").alias("bin_fill")).select(names)
     moves, level = None, 0

@@ -15,6 +15,10 @@ from medwright.llm.exact_dedup import exact_dedup, normalised_text
 from medwright.llm.packing import pack
 
 
+#: Words of each half of the encoder's memory in packing: it comes last, when the executors have grown by all other stages.
+REMEMBERED = 100_000
+
+
 def _fresh(docs: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``docs`` has it."""
     taken = {c.lower() for c in docs.columns}
@@ -64,4 +68,4 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The pieces of what is left and their places in the training sequences."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from medwright.llm import common
 from medwright.llm import near_dedup as N
 from medwright.llm import packing as P
 from medwright.llm import token_output as O
@@ -94,6 +95,20 @@ def test_chunks_are_reached_by_the_index():
     assert Reader(io.BytesIO(out.getvalue())).chunk(2).tolist() == list(range(20, 30))
 
 
+def test_a_worker_is_emptied_before_an_encoder_is_made(monkeypatch):
+    """What a worker has left from decontamination and the encoder's memory do not add up."""
+    dropped = []
+    monkeypatch.setattr(common, "KEPT", [*common.KEPT, lambda: dropped.append(1)])
+    encoder.cache_clear()
+    assert encoder(WORD, 500) is encoder(WORD, 500)
+    assert dropped == [1]
+
+
+def test_packing_with_little_memory_equals_brute_force(spark):
+    docs = awkward(spark)
+    check_packing(P.pack(docs, WORD, 2048, 0, remembered=3).collect(), docs.collect(), 2048, 0, WORD)
+
+
 def test_token_files_equal_brute_force(spark):
     docs = awkward(spark)
     folder = scratch_dir(spark, "ids-test")
